@@ -1,0 +1 @@
+"""No streaming operators: the workload is batch only (see README, "Scope")."""
