@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pooltide.catalog.base import COUPONS, HEADERS, LEGS, VIEW, register
+from pooltide.catalog.base import COUPONS, HEADERS, LEGS, VIEW, register, rnd
 from pooltide.functions import odds as O
-from pooltide.functions import sequences as Q
 from pooltide.operators import coupons as C
 from pooltide.operators import legs as L
 from pooltide.operators import predict as P
@@ -64,18 +63,11 @@ SELECT coupon_id, position, po1 AS odds_p1, pon AS odds_pn, po2 AS odds_p2, pc1
   pt1 AS tip_p1, ptn AS tip_pn, pt2 AS tip_p2 FROM probs""",
           doubles="odds_p1 odds_pn odds_p2 crowd_p1 crowd_pn crowd_p2 tip_p1 tip_pn tip_p2")
 def leg_signals(spark, sf):
-    legs = A.legs(spark, sf)
-    named = lambda t, prefix: [c.alias(f"{prefix}_p{k}") for c, k in zip(t, ("1", "n", "2"))]
-    return legs.select(
-        "coupon_id", "position",
-        *named(O.implied_probabilities(O.odds()), "odds"),
-        *named(O.crowd_probabilities(O.shares()), "crowd"),
-        *named(O.tip_probabilities(F.col("tip")), "tip"))
+    exprs = {**O.implied_probabilities(), **O.crowd_probabilities(), **O.tip_probabilities()}
+    return A.legs(spark, sf).selectExpr("coupon_id", "position", *(f"{x} AS {k}" for k, x in exprs.items()))
 
 
 # Stored coupon metrics: the SQL twin of operators.coupons.grid_metrics.
-from pooltide.catalog.base import rnd  # noqa: E402
-
 GRID_METRICS = f"""grid_metrics AS (
   SELECT coupon_id,
     {rnd("coalesce(s, 0e0)", 2)} AS somme_cotes_fav, {rnd("coalesce(m, 0e0)", 2)} AS moyenne_cote_fav,
@@ -117,7 +109,7 @@ PROFILE = """profiles AS (
 @register("risk_profiles", f"""WITH {LEGS}, {HEADERS}, {VIEW}, {GRID_METRICS}, {PROFILE}
 SELECT coupon_id, risk_profile FROM profiles""")
 def risk_profiles(spark, sf):
-    return _metrics(spark, sf).select("coupon_id", P.risk_profile().alias("risk_profile"))
+    return _metrics(spark, sf).select("coupon_id", F.expr(P.RISK_PROFILE).alias("risk_profile"))
 
 
 ADJUSTED = """adjusted AS (
@@ -164,8 +156,8 @@ BLEND = f"{LEGS}, {HEADERS}, {VIEW}, {GRID_METRICS}, {PROFILE}, {PROBS}, {ADJUST
           doubles="pd1 pdn pd2")
 def leg_difficulty_adjusted(spark, sf):
     adj = P.signals(P.with_metrics(A.legs(spark, sf), _metrics(spark, sf)))
-    return adj.select("coupon_id", "position", "risk_profile", F.col("by_difficulty.home").alias("pd1"),
-                      F.col("by_difficulty.draw").alias("pdn"), F.col("by_difficulty.away").alias("pd2"))
+    return adj.select("coupon_id", "position", "risk_profile", F.col("adjusted_p1").alias("pd1"),
+                      F.col("adjusted_pn").alias("pdn"), F.col("adjusted_p2").alias("pd2"))
 
 
 @register("leg_predictions", f"""WITH {BLEND}, {predicted(BALANCED_SQL)}

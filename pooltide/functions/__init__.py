@@ -1 +1,6 @@
-"""Column functions: each takes Columns and returns a Column, all JVM-side."""
+"""Column functions, all JVM-side.
+
+Most are Spark SQL expressions kept as text and used through ``selectExpr`` or
+``F.expr``: one call builds a whole expression, and the same text can be read in
+a query plan.
+"""

@@ -1,18 +1,16 @@
 """Leg-level signals: implied probabilities, crowd shares, tips and favourites.
 
 Outcomes are always ordered home (``1``), draw (``N``), away (``2``); every
-"best of three" takes the first of equal values.
+"best of three" takes the first of equal values. Expressions read the leg
+columns ``odds_*``, ``share_*``, ``tip`` and ``result``.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.sql import Column, functions as F
-
 OUTCOMES = ("1", "N", "2")
 ODDS = ("odds_1", "odds_n", "odds_2")
 SHARES = ("share_1", "share_n", "share_2")
+SUFFIXES = ("1", "n", "2")
 
 # Long-run shares of home win, draw and away win.
 PRIOR = (0.40, 0.29, 0.31)
@@ -20,123 +18,65 @@ PRIOR = (0.40, 0.29, 0.31)
 # Tip weights for one named outcome, two named outcomes, and the rest.
 TIP_SINGLE, TIP_DOUBLE, TIP_OTHER = 0.80, 0.45, 0.10
 
-THIRD = 1.0 / 3.0
-
-
-class Triple(NamedTuple):
-    """One value per outcome."""
-
-    home: Column
-    draw: Column
-    away: Column
-
-    def map(self, fn) -> "Triple":
-        return Triple(*(fn(c) for c in self))
-
-    def total(self) -> Column:
-        return self.home + self.draw + self.away
-
-    def named(self, prefix: str) -> list[Column]:
-        return [c.alias(f"{prefix}_{k}") for c, k in zip(self, ("1", "n", "2"))]
-
-
-def triple(names, source: str | None = None) -> Triple:
-    dot = f"{source}." if source else ""
-    return Triple(*(F.col(dot + n) for n in names))
-
-
-def odds() -> Triple:
-    return triple(ODDS)
-
-
-def shares() -> Triple:
-    return triple(SHARES)
+THIRD = "(1.0D / 3.0D)"
 
 
-def _const(a: float, b: float, c: float) -> Triple:
-    return Triple(F.lit(a), F.lit(b), F.lit(c))
+def positive(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN {x} END"
 
 
-UNIFORM = (THIRD, THIRD, THIRD)
+ALL_ODDS = "(odds_1 > 0 AND odds_n > 0 AND odds_2 > 0)"
+FAVOURITE = f"least({', '.join(positive(c) for c in ODDS)})"
+OUTSIDER = f"greatest({', '.join(positive(c) for c in ODDS)})"
+HAS_TIP = "(length(trim(coalesce(tip, ''))) > 0)"
+RESULT_INDEX = "CASE result WHEN '1' THEN 1 WHEN 'N' THEN 2 WHEN '2' THEN 3 END"
 
 
-def either(cond: Column, yes: Triple, no: Triple) -> Triple:
-    return Triple(*(F.when(cond, y).otherwise(n) for y, n in zip(yes, no)))
+def first_max_index(a: str, b: str, c: str) -> str:
+    """1, 2 or 3: the first of three holding the largest value."""
+    return f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN 1 WHEN {b} >= {c} THEN 2 ELSE 3 END"
 
 
-def all_positive(t: Triple) -> Column:
-    return (t.home > 0) & (t.draw > 0) & (t.away > 0)
+def first_index_of(values: tuple[str, str, str], wanted: str) -> str:
+    a, b, c = values
+    return f"CASE WHEN {a} = {wanted} THEN 1 WHEN {b} = {wanted} THEN 2 WHEN {c} = {wanted} THEN 3 END"
 
 
-def any_positive(t: Triple) -> Column:
-    return (t.home > 0) | (t.draw > 0) | (t.away > 0)
+def pick(values: tuple[str, str, str], index: str) -> str:
+    a, b, c = values
+    return f"CASE {index} WHEN 1 THEN {a} WHEN 2 THEN {b} WHEN 3 THEN {c} END"
 
 
-def first_max_index(t: Triple) -> Column:
-    """1, 2 or 3: the first outcome holding the largest value."""
-    return (
-        F.when((t.home >= t.draw) & (t.home >= t.away), 1)
-        .when(t.draw >= t.away, 2)
-        .otherwise(3)
-    )
+def outcome(index: str) -> str:
+    return f"CASE {index} WHEN 1 THEN '1' WHEN 2 THEN 'N' ELSE '2' END"
 
 
-def outcome_at(index: Column) -> Column:
-    return F.when(index == 1, "1").when(index == 2, "N").otherwise("2")
+def implied_probabilities() -> dict[str, str]:
+    """Odds without the bookmaker margin; 1/3 each unless all three are positive."""
+    raw = {c: f"CASE WHEN {c} > 0 THEN 1.0D / {c} ELSE 0.0D END" for c in ODDS}
+    total = " + ".join(f"({x})" for x in raw.values())
+    return {f"odds_p{k}": f"CASE WHEN {ALL_ODDS} THEN ({raw[c]}) / ({total}) ELSE {THIRD} END"
+            for k, c in zip(SUFFIXES, ODDS)}
 
 
-def at_index(t: Triple, index: Column) -> Column:
-    return F.when(index == 1, t.home).when(index == 2, t.draw).when(index == 3, t.away)
-
-
-def at_outcome(t: Triple, outcome: Column) -> Column:
-    return F.when(outcome == "1", t.home).when(outcome == "N", t.draw).when(outcome == "2", t.away)
-
-
-def implied_probabilities(o: Triple) -> Triple:
-    """Odds to probabilities without the bookmaker margin; 1/3 each unless all are positive."""
-    raw = o.map(lambda c: F.when(c > 0, F.lit(1.0) / c).otherwise(F.lit(1.0)))
-    total = raw.total()
-    return either(all_positive(o), raw.map(lambda c: c / total), _const(*UNIFORM))
-
-
-def crowd_probabilities(s: Triple) -> Triple:
+def crowd_probabilities() -> dict[str, str]:
     """Player shares scaled to one; 1/3 each when nobody played."""
-    total = s.total()
-    safe = F.when(total > 0, total).otherwise(F.lit(1.0))
-    return either(total > 0, s.map(lambda c: c / safe), _const(*UNIFORM))
+    total = " + ".join(SHARES)
+    return {f"crowd_p{k}": f"CASE WHEN {total} > 0 THEN {c} / ({total}) ELSE {THIRD} END"
+            for k, c in zip(SUFFIXES, SHARES)}
 
 
-def tip_probabilities(tip: Column) -> Triple:
+def tip_probabilities() -> dict[str, str]:
     """A third-party tip (a subset of ``1N2``) as probabilities."""
-    text = F.upper(F.trim(F.coalesce(tip, F.lit(""))))
-    named = Triple(*(F.instr(text, o) > 0 for o in OUTCOMES))
-    count = named.map(lambda c: c.cast("int")).total()
-    return named.map(
-        lambda hit: F.when(count == 1, F.when(hit, TIP_SINGLE).otherwise(TIP_OTHER))
-        .when(count == 2, F.when(hit, TIP_DOUBLE).otherwise(TIP_OTHER))
-        .otherwise(F.lit(THIRD))
-    )
-
-
-def has_tip(tip: Column) -> Column:
-    return F.length(F.trim(F.coalesce(tip, F.lit("")))) > 0
-
-
-def favourite(o: Triple) -> Column:
-    """Smallest positive odds, null when there are none."""
-    return F.least(*o.map(lambda c: F.when(c > 0, c)))
-
-
-def outsider(o: Triple) -> Column:
-    """Largest positive odds, null when there are none."""
-    return F.greatest(*o.map(lambda c: F.when(c > 0, c)))
-
-
-def first_index_of(t: Triple, value: Column) -> Column:
-    return F.when(t.home == value, 1).when(t.draw == value, 2).when(t.away == value, 3)
+    text = "upper(trim(coalesce(tip, '')))"
+    named = {o: f"(instr({text}, '{o}') > 0)" for o in OUTCOMES}
+    count = "(" + " + ".join(f"int({x})" for x in named.values()) + ")"
+    return {
+        f"tip_p{k}": f"CASE {count} WHEN 1 THEN IF({named[o]}, {TIP_SINGLE}D, {TIP_OTHER}D) "
+                     f"WHEN 2 THEN IF({named[o]}, {TIP_DOUBLE}D, {TIP_OTHER}D) ELSE {THIRD} END"
+        for k, o in zip(SUFFIXES, OUTCOMES)}
 
 
-def leg_category(fav: Column) -> Column:
+def leg_category(fav: str = "fav") -> str:
     """Class of a leg by its favourite's odds."""
-    return F.when(fav < 1.5, "sure").when(fav < 2.0, "medium").when(fav.isNotNull(), "tight")
+    return f"CASE WHEN {fav} < 1.5D THEN 'sure' WHEN {fav} < 2.0D THEN 'medium' WHEN {fav} IS NOT NULL THEN 'tight' END"

@@ -1,70 +1,62 @@
-"""Functions of a results string such as ``1N21121``."""
+"""Functions of a results string such as ``1N21121``, as Spark SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
+def count_of(results: str, symbol: str) -> str:
+    return f"(length({results}) - length(replace({results}, '{symbol}', '')))"
 
-def count_of(results: Column, symbol: str) -> Column:
-    return F.length(results) - F.length(F.replace(results, F.lit(symbol), F.lit("")))
 
-
-def profile(results: Column) -> Column:
+def profile(results: str = "results") -> str:
     """Counts of home wins, draws and away wins as ``a-b-c``."""
-    return F.concat_ws("-", *(count_of(results, s).cast("string") for s in ("1", "N", "2")))
+    return f"concat_ws('-', {', '.join(count_of(results, s) for s in ('1', 'N', '2'))})"
 
 
-def _plogp(p: Column) -> Column:
-    return F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
+def _plogp(p: str) -> str:
+    return f"(CASE WHEN {p} > 0 THEN -({p}) * log2({p}) ELSE 0.0D END)"
 
 
-def entropy_1n2(results: Column) -> Column:
+def entropy_1n2(results: str = "results") -> str:
     """Shannon entropy of the three outcomes over the full length; 0 when empty."""
-    n = F.nullif(F.length(results), F.lit(0))
-    terms = [_plogp(count_of(results, s) / n) for s in ("1", "N", "2")]
-    return F.coalesce(terms[0] + terms[1] + terms[2], F.lit(0.0))
+    terms = " + ".join(_plogp(f"({count_of(results, s)} / length({results}))") for s in ("1", "N", "2"))
+    return f"(CASE WHEN length({results}) > 0 THEN {terms} ELSE 0.0D END)"
 
 
-def entropy(results: Column) -> Column:
+def entropy(results: str = "results") -> str:
     """Shannon entropy over whatever symbols occur; 0 when empty."""
-    n = F.length(results)
-    symbols = F.array_distinct(F.split(results, ""))
-    return F.when(n > 0, F.aggregate(
-        F.array_sort(symbols),
-        F.lit(0.0),
-        lambda acc, s: acc + _plogp((n - F.length(F.replace(results, s, F.lit("")))) / n),
-    )).otherwise(F.lit(0.0))
+    p = f"((length({results}) - length(replace({results}, s, ''))) / length({results}))"
+    return (f"(CASE WHEN length({results}) > 0 THEN aggregate(array_sort(array_distinct(split({results}, ''))), "
+            f"0.0D, (acc, s) -> acc + {_plogp(p)}) ELSE 0.0D END)")
+
+
+def _positions(n: str) -> str:
+    return f"sequence(1, greatest({n}, 1))"
 
 
-def alternation(results: Column) -> Column:
+def alternation(results: str = "results") -> str:
     """Share of neighbouring symbols that differ; 0 below two symbols."""
-    n = F.length(results)
-    changes = F.size(F.filter(
-        F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
-        lambda i: (i <= n) & (F.substr(results, i, F.lit(1)) != F.substr(results, i - 1, F.lit(1))),
-    ))
-    return F.when(n > 1, changes / (n - 1)).otherwise(F.lit(0.0))
+    n = f"length({results})"
+    changes = (f"size(filter({_positions(n)}, i -> i > 1 AND i <= {n} "
+               f"AND substr({results}, i, 1) <> substr({results}, i - 1, 1)))")
+    return f"(CASE WHEN {n} > 1 THEN {changes} / ({n} - 1) ELSE 0.0D END)"
 
 
-def longest_run(results: Column) -> Column:
+def longest_run(results: str = "results") -> str:
     """Length of the longest block of one repeated symbol; 0 when empty.
 
     The text is cut into its runs, so the longest run is the longest piece.
     """
-    runs = F.regexp_extract_all(results, F.lit(r"((.)\2*)"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0))
+    return (f"coalesce(array_max(transform(regexp_extract_all({results}, r'((.)\\2*)', 1), "
+            f"r -> length(r))), 0)")
 
 
-def chaos_without_odds(results: Column) -> Column:
+def chaos_without_odds(results: str = "results") -> str:
     """Share of draws and away wins."""
-    n = F.nullif(F.length(results), F.lit(0))
-    return F.coalesce((count_of(results, "N") + count_of(results, "2")) / n, F.lit(0.0))
+    return (f"(CASE WHEN length({results}) > 0 THEN ({count_of(results, 'N')} + {count_of(results, '2')}) "
+            f"/ length({results}) ELSE 0.0D END)")
 
 
-def matching_positions(left: Column, right: Column) -> Column:
+def matching_positions(left: str, right: str) -> str:
     """Number of positions where two strings agree, up to the shorter one."""
-    n = F.least(F.length(left), F.length(right))
-    return F.size(F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: (i <= n) & (F.substr(left, i, F.lit(1)) == F.substr(right, i, F.lit(1))),
-    ))
+    n = f"least(length({left}), length({right}))"
+    return f"size(filter({_positions(n)}, i -> i <= {n} AND substr({left}, i, 1) = substr({right}, i, 1)))"

@@ -3,73 +3,58 @@
 Both read the leg view once. The window columns and the aggregation share one
 hash partitioning on ``coupon_id``: the plan holds a single exchange of the legs.
 Only fixed-width accumulators are used, so the aggregation stays a hash
-aggregation and combines partial results.
+aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pooltide.functions import odds as O
-from pooltide.functions.numeric import n_where, ratio, rounded
-from pooltide.operators.legs import (
-    implied, leg_view, result_index, squared_distance, vote_dispersion)
+from pooltide.functions.numeric import ratio, rounded
+from pooltide.operators.legs import AGREEMENT, INVERSE_SPREAD, leg_scores, leg_view, with_exprs
 
-_COUPON = Window.partitionBy("coupon_id")
-_BY_POSITION = _COUPON.orderBy("position")
-_BY_FAV = _COUPON.orderBy(F.col("fav").asc_nulls_last(), "position")
+_COUPON = "OVER (PARTITION BY coupon_id)"
+_BY_POSITION = "OVER (PARTITION BY coupon_id ORDER BY position)"
+_BY_FAV = "OVER (PARTITION BY coupon_id ORDER BY fav ASC NULLS LAST, position)"
+_BY_REALISED = "OVER (PARTITION BY coupon_id ORDER BY realised ASC NULLS LAST, position)"
 
 # Digits kept for stored feature values: enough for every use, few enough to
 # hide the order in which a sum was taken, so a re-run task gives equal values.
 STORED_DIGITS = 9
 
 
-def _when(cond: Column, value: Column) -> Column:
-    return F.when(cond, value)
+def _median_sum(rank: str, n: str, value: str) -> str:
+    """SQL: median of ``value`` in a group of ``n`` rows carrying their sorted rank."""
+    low, high = f"(({n} + 1) div 2)", f"(({n} + 2) div 2)"
+    return (f"sum(CASE WHEN {rank} = {low} AND {rank} = {high} THEN {value} "
+            f"WHEN {rank} = {low} OR {rank} = {high} THEN {value} / 2 END)")
 
 
-def _median_terms(rank: Column, n: Column, value: Column) -> Column:
-    """Sum this over a sorted group of ``n`` to get its median."""
-    low, high = F.floor((n + 1) / 2), F.floor((n + 2) / 2)
-    return F.when((rank == low) & (rank == high), value).when((rank == low) | (rank == high), value / 2)
+def _aggregate(df: DataFrame, exprs: dict[str, str | Column]) -> DataFrame:
+    return df.groupBy("coupon_id").agg(*(
+        (F.expr(x) if isinstance(x, str) else x).alias(name) for name, x in exprs.items()))
 
 
 def grid_metrics(legs: DataFrame) -> DataFrame:
     """Stored coupon metrics (rounded as stored): favourites, surprises, spread, agreement."""
-    fav, has = F.col("fav"), F.col("fav").isNotNull()
-    view = leg_view(legs).withColumns({
-        "n_odds": F.count("fav").over(_COUPON),
-        "fav_rank": F.row_number().over(_BY_FAV),
+    view = with_exprs(leg_view(legs), {
+        "n_odds": f"count(fav) {_COUPON}", "fav_rank": f"row_number() {_BY_FAV}"})
+    sums = _aggregate(view, {
+        "s": "sum(fav)", "m": "avg(fav)", "sd": "coalesce(stddev_samp(fav), 0.0D)",
+        "md": _median_sum("fav_rank", "n_odds", "fav"),
+        "nb_surprises": "count_if(fav_index <> CASE result WHEN '1' THEN 1 WHEN 'N' THEN 2 WHEN '2' THEN 3 END)",
+        "spread_sum": f"sum({INVERSE_SPREAD})",
+        "nb_matchs_serres": "count_if(fav > 2.0D)", "nb_matchs_faciles": "count_if(fav < 1.5D)",
+        "agreement": f"avg({AGREEMENT})", "n_odds": "count(fav)", "n_legs": "count(1)",
     })
-    mean, sd = F.avg(fav), F.coalesce(F.stddev_samp(fav), F.lit(0.0))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return view.groupBy("coupon_id").agg(
-        zero(rounded(F.sum(fav), 2)).alias("somme_cotes_fav"),
-        zero(rounded(mean, 2)).alias("moyenne_cote_fav"),
-        zero(rounded(F.sum(_median_terms(F.col("fav_rank"), F.col("n_odds"), fav)), 2)).alias("mediane_cote_fav"),
-        rounded(sd, 2).alias("ecart_type_cotes"),
-        n_where(has & (result_index() != F.col("fav_index"))).alias("nb_surprises"),
-        rounded(sd, 4).alias("std_cote_fav"),
-        zero(rounded(F.sum(_inverse_spread()), 4)).alias("inv_spread_sum"),
-        n_where(fav > 2.0).alias("nb_matchs_serres"),
-        n_where(fav < 1.5).alias("nb_matchs_faciles"),
-        zero(rounded(F.avg(_agreement()), 4)).alias("accord_cotes_joueurs"),
-        zero(rounded(sd / mean, 4)).alias("coeff_variation_fav"),
-        F.count("fav").alias("n_odds"),
-        F.count(F.lit(1)).alias("n_legs"),
-    )
-
-
-def _inverse_spread() -> Column:
-    spread = F.col("spread")
-    return F.when(spread > 0, F.lit(1.0) / spread).when(spread.isNotNull(), 10.0)
-
-
-def _agreement() -> Column:
-    """1 when the crowd's pick is the favourite, 0 when not, null when either side is missing."""
-    return F.when(
-        F.col("fav").isNotNull() & F.col("has_share"),
-        F.when(F.col("crowd_index") == F.col("fav_index"), 1.0).otherwise(0.0))
+    stored = lambda x, digits: f"coalesce({rounded(x, digits)}, 0.0D)"
+    return sums.selectExpr(
+        "coupon_id",
+        f"{stored('s', 2)} AS somme_cotes_fav", f"{stored('m', 2)} AS moyenne_cote_fav",
+        f"{stored('md', 2)} AS mediane_cote_fav", f"{stored('sd', 2)} AS ecart_type_cotes",
+        "nb_surprises", f"{stored('sd', 4)} AS std_cote_fav", f"{stored('spread_sum', 4)} AS inv_spread_sum",
+        "nb_matchs_serres", "nb_matchs_faciles", f"{stored('agreement', 4)} AS accord_cotes_joueurs",
+        f"{stored('sd / m', 4)} AS coeff_variation_fav", "n_odds", "n_legs")
 
 
 def basic_metrics(legs: DataFrame) -> DataFrame:
@@ -80,222 +65,173 @@ def basic_metrics(legs: DataFrame) -> DataFrame:
 
 def payout_columns(coupons: DataFrame) -> DataFrame:
     """Winners and amount at the top rank and one below it, from the payout map."""
-    n = F.col("n_legs")
-    at = lambda k: F.try_element_at(F.col("payouts"), F.concat(k.cast("string"), F.lit("_sur_"), n.cast("string")))
-    return coupons.withColumns({
-        "top_winners": at(n)["winners"], "top_amount": at(n)["amount"],
-        "near_winners": at(n - 1)["winners"], "near_amount": at(n - 1)["amount"],
+    at = lambda k: f"try_element_at(payouts, concat({k}, '_sur_', n_legs))"
+    return with_exprs(coupons, {
+        "top_winners": f"{at('n_legs')}.winners", "top_amount": f"{at('n_legs')}.amount",
+        "near_winners": f"{at('n_legs - 1')}.winners", "near_amount": f"{at('n_legs - 1')}.amount",
     })
 
 
 def coupon_features(legs: DataFrame, headers: DataFrame) -> DataFrame:
-    """The feature table: one row per played coupon, 100 features.
+    """The feature table: one row per played coupon.
 
     ``headers`` has one row per coupon with ``difficulty``, ``n_tips`` and the
     payouts of the two top ranks. A coupon qualifies when every leg has a result
     and at least one leg has odds.
     """
-    fav, spread, pos = F.col("fav"), F.col("spread"), F.col("dense_pos")
-    n, has = F.col("n_odds"), F.col("fav").isNotNull()
-    changed = F.col("result") != F.lag("result").over(_BY_POSITION)
-    view = leg_view(legs).withColumns({
-        "n_legs": F.count(F.lit(1)).over(_COUPON),
-        "n_odds": F.count("fav").over(_COUPON),
-        "n_results": F.count("result").over(_COUPON),
-        "max_fav": F.max("fav").over(_COUPON),
-        "min_fav": F.min("fav").over(_COUPON),
-        "n_realised": F.count(_realised()).over(_COUPON),
-        "dense_pos": F.when(has, F.count("fav").over(_BY_POSITION)),
-        "changed": changed,
-        "fav_rank": F.row_number().over(_BY_FAV),
-        "realised_rank": F.row_number().over(_COUPON.orderBy(_realised().asc_nulls_last(), "position")),
-    }).withColumn(
-        "run_length",
-        F.col("position") + 1 - F.max(
-            F.when(F.col("changed") | (F.col("position") == 1), F.col("position"))).over(_BY_POSITION),
-    ).where((F.col("n_odds") > 0) & (F.col("n_results") == F.col("n_legs")))
-
-    p = implied(F.col("qsum"))
-    prob = F.lit(1.0) / fav
-    share_fav = O.at_index(O.shares(), F.col("fav_index"))
-    share_out = O.at_index(O.shares(), F.col("outsider_index"))
-    both = has & F.col("has_share")
-    res = result_index()
-    hit = res == F.col("fav_index")
-    realised = _realised()
-    tip = F.coalesce(F.col("tip"), F.lit(""))
-    real_tip = ~tip.isin("", "-")
-    mid = F.floor(n / 2)
-    first = {name: F.first(name).alias(name) for name in ("n_legs", "n_odds")}
-    base = view.groupBy("coupon_id").agg(
-        *first.values(),
-        F.avg(fav).alias("moy_cote_fav"),
-        F.sum(_median_terms(F.col("fav_rank"), n, fav)).alias("med_cote_fav"),
-        F.min(fav).alias("min_cote_fav"), F.max(fav).alias("max_cote_fav"),
-        F.stddev_samp(fav).alias("std_cote_fav"),
-        F.sum(fav).alias("somme_cotes_fav"), F.product(fav).alias("prod_cotes_fav"),
-        F.avg("outsider").alias("moy_cote_outsider"), F.max("outsider").alias("max_cote_outsider"),
-        F.sum("outsider").alias("somme_cotes_outsider"),
-        F.avg(spread).alias("moy_spread"), F.max(spread).alias("max_spread"),
-        F.min(spread).alias("min_spread"), F.stddev_samp(spread).alias("std_spread"),
-        F.avg(_when(has, F.col("odds_n"))).alias("moy_cote_nul"),
-        F.stddev_samp(_when(has, F.col("odds_n"))).alias("std_cote_nul"),
-        F.avg(prob).alias("moy_prob_fav"), F.min(prob).alias("min_prob_fav"),
-        F.max(prob).alias("max_prob_fav"), F.sum(prob).alias("somme_prob_fav"),
-        F.avg(-prob * F.log2(prob)).alias("entropie_cotes"),
-        F.avg(_when(has, _hhi(p))).alias("hhi_moyen"), F.max(_when(has, _hhi(p))).alias("hhi_max"),
-        F.min(_when(has, _hhi(p))).alias("hhi_min"),
-        F.avg(_when(has, F.col("qsum") - 1)).alias("marge_bookmaker_moy"),
-        F.sum(_when(has, (2 * F.col("fav_rank") - n - 1) * fav)).alias("gini_num"),
-        F.skewness(fav).alias("pop_skew"), F.kurtosis(fav).alias("pop_kurt"),
-        F.sum(_when(F.col("fav_rank") <= 3, prob)).alias("top3_prob"),
-        F.avg(_when(fav > 1, (prob * fav - 1) / (fav - 1))).alias("kelly_moyen"),
-        F.avg(_when(has, squared_distance(p, F.col("fav_index")))).alias("brier_ante"),
-        F.avg(_when(both, share_fav)).alias("moy_pct_fav"), F.min(_when(both, share_fav)).alias("min_pct_fav"),
-        F.max(_when(both, share_fav)).alias("max_pct_fav"), F.avg(_when(both, share_out)).alias("moy_pct_outsider"),
-        F.avg(_agreement()).alias("accord_cotes_joueurs"),
-        F.avg(vote_dispersion()).alias("moy_dispersion_votes"),
-        F.max(vote_dispersion()).alias("max_dispersion_votes"),
-        F.min(vote_dispersion()).alias("min_dispersion_votes"),
-        n_where(tip.isin("1", "N", "2")).alias("nb_tip_simple"),
-        n_where(F.length(tip) == 2).alias("nb_tip_double"),
-        n_where(tip.isin("1N2", "-", "")).alias("nb_tip_triple"),
-        n_where(fav > 2.0).alias("nb_matchs_serres"), n_where(fav < 1.5).alias("nb_matchs_faciles"),
-        n_where(fav > 2.5).alias("nb_matchs_tres_serres"),
-        F.sum(_inverse_spread()).alias("inv_spread_sum"),
-        F.min(_when(fav == F.col("max_fav"), pos)).alias("pos_match_plus_serre"),
-        F.min(_when(fav == F.col("min_fav"), pos)).alias("pos_match_plus_facile"),
-        F.avg(_when(pos <= mid, fav)).alias("first_half"), F.avg(_when(pos > mid, fav)).alias("second_half"),
-        F.max(_when(pos == 1, fav)).alias("first_fav"), F.max(_when(pos == n, fav)).alias("last_fav"),
-        n_where(F.col("result") == "1").alias("nb_1"), n_where(F.col("result") == "N").alias("nb_N"),
-        n_where(F.col("result") == "2").alias("nb_2"),
-        n_where(has & ~hit).alias("nb_surprises"), n_where(has & hit).alias("nb_fav_gagne"),
-        F.avg(_when(has, F.when(hit, fav - 1).otherwise(-1.0))).alias("roi_theorique"),
-        F.avg(realised).alias("moy_cote_resultat"), F.sum(realised).alias("somme_cotes_resultat"),
-        F.product(realised).alias("prod_cotes_resultat"),
-        F.max(realised).alias("max_cote_resultat"), F.min(realised).alias("min_cote_resultat"),
-        F.sum(_median_terms(F.col("realised_rank"), F.col("n_realised"), realised)).alias("med_cote_resultat"),
-        F.sum(F.ln(realised)).alias("log_prod"),
-        F.avg(_when(has & res.isNotNull(), squared_distance(p, res))).alias("brier_realise"),
-        n_where(real_tip).alias("n_real_tips"),
-        n_where(real_tip & (F.instr(tip, F.col("result")) > 0)).alias("nb_tip_correct"),
-        n_where((F.col("ssum") > 0) & (F.col("crowd_index") == res)).alias("n_crowd_correct"),
-        n_where(F.col("changed")).alias("n_changes"),
-        F.max("run_length").alias("plus_longue_suite"),
-        F.avg(_when(both, F.abs(share_fav - share_out))).alias("tension_moy"),
-        F.max(_when(both, F.abs(share_fav - share_out))).alias("tension_max"),
-    )
+    view = with_exprs(leg_scores(leg_view(legs)), {
+        "n_legs": f"count(1) {_COUPON}", "n_odds": f"count(fav) {_COUPON}",
+        "n_results": f"count(result) {_COUPON}", "n_realised": f"count(realised) {_COUPON}",
+        "max_fav": f"max(fav) {_COUPON}", "min_fav": f"min(fav) {_COUPON}",
+        "dense_pos": f"CASE WHEN fav IS NOT NULL THEN count(fav) {_BY_POSITION} END",
+        "changed": f"result <> lag(result) {_BY_POSITION}",
+        "fav_rank": f"row_number() {_BY_FAV}", "realised_rank": f"row_number() {_BY_REALISED}",
+    })
+    # Distance to the last change of result: its maximum is the longest run.
+    view = with_exprs(view, {
+        "run_length": f"position + 1 - max(CASE WHEN changed OR position = 1 THEN position END) {_BY_POSITION}",
+    }).where("n_odds > 0 AND n_results = n_legs")
+    real_tip = "coalesce(tip, '') NOT IN ('', '-')"
+    base = _aggregate(view, {
+        "n_legs": "first(n_legs)", "n_odds": "first(n_odds)",
+        "moy_cote_fav": "avg(fav)", "med_cote_fav": _median_sum("fav_rank", "n_odds", "fav"),
+        "min_cote_fav": "min(fav)", "max_cote_fav": "max(fav)", "std_cote_fav": "stddev_samp(fav)",
+        "somme_cotes_fav": "sum(fav)",
+        "moy_cote_outsider": "avg(outsider)", "max_cote_outsider": "max(outsider)",
+        "somme_cotes_outsider": "sum(outsider)",
+        "moy_spread": "avg(spread)", "max_spread": "max(spread)", "min_spread": "min(spread)",
+        "std_spread": "stddev_samp(spread)",
+        "moy_cote_nul": "avg(CASE WHEN fav IS NOT NULL THEN odds_n END)",
+        "std_cote_nul": "stddev_samp(CASE WHEN fav IS NOT NULL THEN odds_n END)",
+        "moy_prob_fav": "avg(prob_fav)", "min_prob_fav": "min(prob_fav)", "max_prob_fav": "max(prob_fav)",
+        "somme_prob_fav": "sum(prob_fav)", "entropie_cotes": "avg(-prob_fav * log2(prob_fav))",
+        "hhi_moyen": "avg(hhi)", "hhi_max": "max(hhi)", "hhi_min": "min(hhi)", "marge_bookmaker_moy": "avg(margin)",
+        "gini_num": "sum((2 * fav_rank - n_odds - 1) * fav)",
+        "pop_skew": "skewness(fav)", "pop_kurt": "kurtosis(fav)",
+        "top3_prob": "sum(CASE WHEN fav_rank <= 3 THEN prob_fav END)",
+        "kelly_moyen": "avg(CASE WHEN fav > 1 THEN (prob_fav * fav - 1) / (fav - 1) END)",
+        "brier_ante": "avg(brier_fav)",
+        "moy_pct_fav": "avg(share_fav)", "min_pct_fav": "min(share_fav)", "max_pct_fav": "max(share_fav)",
+        "moy_pct_outsider": "avg(share_outsider)", "accord_cotes_joueurs": f"avg({AGREEMENT})",
+        "moy_dispersion_votes": "avg(dispersion)", "max_dispersion_votes": "max(dispersion)",
+        "min_dispersion_votes": "min(dispersion)",
+        "nb_tip_simple": "count_if(tip IN ('1', 'N', '2'))", "nb_tip_double": "count_if(length(tip) = 2)",
+        "nb_tip_triple": "count_if(coalesce(tip, '') IN ('1N2', '-', ''))",
+        "nb_matchs_serres": "count_if(fav > 2.0D)", "nb_matchs_faciles": "count_if(fav < 1.5D)",
+        "nb_matchs_tres_serres": "count_if(fav > 2.5D)",
+        "inv_spread_sum": f"sum({INVERSE_SPREAD})",
+        "pos_match_plus_serre": "min(CASE WHEN fav = max_fav THEN dense_pos END)",
+        "pos_match_plus_facile": "min(CASE WHEN fav = min_fav THEN dense_pos END)",
+        "first_half": "avg(CASE WHEN dense_pos <= n_odds div 2 THEN fav END)",
+        "second_half": "avg(CASE WHEN dense_pos > n_odds div 2 THEN fav END)",
+        "first_fav": "max(CASE WHEN dense_pos = 1 THEN fav END)",
+        "last_fav": "max(CASE WHEN dense_pos = n_odds THEN fav END)",
+        "nb_1": "count_if(result = '1')", "nb_N": "count_if(result = 'N')", "nb_2": "count_if(result = '2')",
+        "nb_surprises": "count_if(result_index <> fav_index)", "nb_fav_gagne": "count_if(result_index = fav_index)",
+        "roi_theorique": "avg(CASE WHEN result_index = fav_index THEN fav - 1 WHEN fav IS NOT NULL THEN -1.0D END)",
+        "moy_cote_resultat": "avg(realised)", "somme_cotes_resultat": "sum(realised)",
+        "max_cote_resultat": "max(realised)", "min_cote_resultat": "min(realised)",
+        "med_cote_resultat": _median_sum("realised_rank", "n_realised", "realised"),
+        "log_prod": "sum(ln(realised))", "brier_realise": "avg(brier_result)",
+        "n_real_tips": f"count_if({real_tip})", "nb_tip_correct": f"count_if({real_tip} AND instr(tip, result) > 0)",
+        "n_crowd_correct": "count_if(ssum > 0 AND crowd_index = result_index)",
+        "n_changes": "count_if(changed)", "plus_longue_suite": "max(run_length)",
+        "tension_moy": "avg(abs(share_fav - share_outsider))", "tension_max": "max(abs(share_fav - share_outsider))",
+        "prod_cotes_fav": F.product("fav"), "prod_cotes_resultat": F.product("realised"),
+    })
     return _derive(base.join(headers, "coupon_id"))
 
 
-def _realised() -> Column:
-    """Positive odds of the outcome that happened, else null."""
-    c = O.at_outcome(O.odds(), F.col("result"))
-    return F.when(c > 0, c)
-
-
-def _hhi(p: O.Triple) -> Column:
-    return p.map(lambda c: c * c).total()
-
-
-def _plogp(p: Column) -> Column:
-    return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
+def _plogp(p: str) -> str:
+    return f"(CASE WHEN {p} > 0 THEN -({p}) * log2({p}) ELSE 0.0D END)"
+
+
+def _zero(x: str) -> str:
+    return f"coalesce({x}, 0.0D)"
+
+
+# Feature columns kept as whole numbers; every other feature is a double.
+WHOLE = frozenset((
+    "nb_pronostics", "nb_tip_simple", "nb_tip_double", "nb_tip_triple", "nb_matchs_serres", "nb_matchs_faciles",
+    "nb_matchs_tres_serres", "pos_match_plus_serre", "pos_match_plus_facile", "nb_1", "nb_N", "nb_2",
+    "nb_surprises", "nb_fav_gagne", "nb_tip_correct", "gagnants_parfait", "gagnants_presque",
+    "has_gagnant_parfait", "plus_longue_suite"))
+
+_FIRST_STEP = {
+    "difficulty": _zero("difficulty"), "n_tips": "coalesce(n_tips, 0)",
+    "top_winners": "coalesce(top_winners, 0)", "top_amount": _zero("top_amount"),
+    "near_winners": "coalesce(near_winners, 0)", "near_amount": _zero("near_amount"),
+    "std_cote_fav": _zero("std_cote_fav"), "moy_pct_fav": _zero("moy_pct_fav"),
+    "moy_pct_outsider": _zero("moy_pct_outsider"), "moy_cote_resultat": _zero("moy_cote_resultat"),
+    "prod_cotes_resultat": "CASE WHEN somme_cotes_resultat IS NOT NULL THEN prod_cotes_resultat ELSE 0.0D END",
+    "log_prod": _zero("log_prod"), "shrink": "(n_odds - 1) / n_odds",
+    "accord_cotes_joueurs": _zero("accord_cotes_joueurs"),
+    "pct_fav_gagne": "nb_fav_gagne / n_legs",
+    "tip_accuracy": ratio("nb_tip_correct", "n_real_tips"),
+    "entropie_resultat": " + ".join(_plogp(f"({k} / n_legs)") for k in ("nb_1", "nb_N", "nb_2")),
+    "alternance": ratio("n_changes", "n_legs - 1"),
+}
+
+# Published features in order; a name alone passes the aggregated column through.
+_FEATURES: dict[str, str | None] = {
+    "difficulty": None, "nb_pronostics": "n_tips",
+    "moy_cote_fav": None, "med_cote_fav": None, "min_cote_fav": None, "max_cote_fav": None,
+    "std_cote_fav": None, "somme_cotes_fav": None, "prod_cotes_fav": None,
+    "moy_cote_outsider": None, "max_cote_outsider": None, "somme_cotes_outsider": None,
+    "moy_spread": None, "max_spread": None, "min_spread": None, "std_spread": _zero("std_spread"),
+    "moy_cote_nul": None, "std_cote_nul": _zero("std_cote_nul"),
+    "ratio_fav_outsider": ratio("moy_cote_fav", "moy_cote_outsider"),
+    "ratio_nul_fav": ratio("moy_cote_nul", "moy_cote_fav"),
+    "diff_x_std": "difficulty * std_cote_fav", "prod_min_max_fav": "min_cote_fav * max_cote_fav",
+    "range_cote_fav": "max_cote_fav - min_cote_fav", "coeff_variation_fav": ratio("std_cote_fav", "moy_cote_fav"),
+    "moy_prob_fav": None, "min_prob_fav": None, "max_prob_fav": None, "somme_prob_fav": None, "entropie_cotes": None,
+    "hhi_moyen": None, "hhi_max": None, "hhi_min": None, "marge_bookmaker_moy": None,
+    "gini_cotes_fav": f"CASE WHEN n_odds > 1 THEN {ratio('gini_num', 'n_odds * somme_cotes_fav')} ELSE 0.0D END",
+    # Population moments restated over the sample deviation.
+    "skewness_cotes_fav": "CASE WHEN n_odds > 2 AND std_cote_fav > 0 THEN coalesce(pop_skew, 0.0D) * pow(shrink, 1.5D) ELSE 0.0D END",
+    "kurtosis_cotes_fav": "CASE WHEN n_odds > 3 AND std_cote_fav > 0 THEN (coalesce(pop_kurt, 0.0D) + 3) * shrink * shrink - 3 ELSE 0.0D END",
+    "concentration_top3": "CASE WHEN n_odds >= 3 THEN top3_prob / somme_prob_fav ELSE 1.0D END",
+    "kelly_moyen": _zero("kelly_moyen"), "brier_ante": None,
+    "moy_pct_fav": None, "min_pct_fav": _zero("min_pct_fav"), "max_pct_fav": _zero("max_pct_fav"),
+    "moy_pct_outsider": None, "accord_cotes_joueurs": None, "ecart_pct_fav_outsider": "moy_pct_fav - moy_pct_outsider",
+    "moy_dispersion_votes": _zero("moy_dispersion_votes"), "max_dispersion_votes": _zero("max_dispersion_votes"),
+    "min_dispersion_votes": _zero("min_dispersion_votes"),
+    "nb_tip_simple": None, "nb_tip_double": None, "nb_tip_triple": None, "ratio_tip_simple": "nb_tip_simple / n_legs",
+    "nb_matchs_serres": None, "nb_matchs_faciles": None, "nb_matchs_tres_serres": None,
+    "inv_spread_sum": None, "harmonic_mean_fav": ratio("n_odds", "somme_prob_fav"),
+    "pos_match_plus_serre": None, "pos_match_plus_facile": None,
+    "asymetrie_cotes": "coalesce(abs(first_half - second_half), 0.0D)",
+    "gradient_difficulte": "CASE WHEN n_odds > 2 THEN (last_fav - first_fav) / (n_odds - 1) ELSE 0.0D END",
+    "nb_1": None, "nb_N": None, "nb_2": None, "nb_surprises": None, "nb_fav_gagne": None, "pct_fav_gagne": None,
+    "roi_theorique": _zero("roi_theorique"),
+    "moy_cote_resultat": None, "somme_cotes_resultat": _zero("somme_cotes_resultat"), "prod_cotes_resultat": None,
+    "max_cote_resultat": _zero("max_cote_resultat"), "min_cote_resultat": _zero("min_cote_resultat"),
+    "med_cote_resultat": _zero("med_cote_resultat"),
+    "surprise_index": "prod_cotes_resultat", "log_surprise_index": "log_prod", "brier_realise": _zero("brier_realise"),
+    "tip_accuracy": None, "nb_tip_correct": None, "joueurs_accuracy": "n_crowd_correct / n_legs",
+    "gagnants_parfait": "top_winners", "montant_parfait": "top_amount",
+    "gagnants_presque": "near_winners", "montant_presque": "near_amount",
+    "has_gagnant_parfait": "IF(top_winners > 0, 1, 0)",
+    "entropie_resultat": None, "alternance": None, "plus_longue_suite": None,
+    "indice_chaos": "nb_surprises * entropie_resultat * alternance",
+    "indice_previsibilite": "pct_fav_gagne * accord_cotes_joueurs * tip_accuracy",
+    "ratio_resultat_fav": ratio("moy_cote_resultat", "moy_cote_fav"),
+    "log_prod_cotes_resultat": "log_prod", "diff_x_surprises": "difficulty * nb_surprises",
+    "inv_somme_prob_fav": ratio("1.0D", "somme_prob_fav"),
+    "tension_moy": _zero("tension_moy"), "tension_max": _zero("tension_max"),
+    "pool_estime_parfait": "top_amount * top_winners",
+}
+
+FEATURES = tuple(_FEATURES)
 
 
 def _derive(joined: DataFrame) -> DataFrame:
-    """Ratios and cross products of the aggregated columns, in the published column order."""
-    c = F.col
-    n, legs = c("n_odds"), c("n_legs")
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    std = zero(c("std_cote_fav"))
-    shrink = (n - 1) / n
-    difficulty = zero(c("difficulty"))
-    entropie = _plogp(c("nb_1") / legs) + _plogp(c("nb_N") / legs) + _plogp(c("nb_2") / legs)
-    alternance = ratio(c("n_changes"), legs - 1)
-    tip_accuracy = ratio(c("nb_tip_correct"), c("n_real_tips"))
-    fav_rate, accord = c("nb_fav_gagne") / legs, zero(c("accord_cotes_joueurs"))
-    prod = F.when(c("somme_cotes_resultat").isNotNull(), c("prod_cotes_resultat")).otherwise(0.0)
-    log_prod = zero(c("log_prod"))
-    count = lambda x: F.coalesce(x, F.lit(0)).cast("bigint")
-    top_w, near_w = count(c("top_winners")), count(c("near_winners"))
-    top_a, near_a = zero(c("top_amount")), zero(c("near_amount"))
-    values: dict[str, Column] = {
-        "difficulty": difficulty, "nb_pronostics": count(c("n_tips")),
-        "moy_cote_fav": c("moy_cote_fav"), "med_cote_fav": c("med_cote_fav"),
-        "min_cote_fav": c("min_cote_fav"), "max_cote_fav": c("max_cote_fav"),
-        "std_cote_fav": std, "somme_cotes_fav": c("somme_cotes_fav"), "prod_cotes_fav": c("prod_cotes_fav"),
-        "moy_cote_outsider": c("moy_cote_outsider"), "max_cote_outsider": c("max_cote_outsider"),
-        "somme_cotes_outsider": c("somme_cotes_outsider"),
-        "moy_spread": c("moy_spread"), "max_spread": c("max_spread"), "min_spread": c("min_spread"),
-        "std_spread": zero(c("std_spread")),
-        "moy_cote_nul": c("moy_cote_nul"), "std_cote_nul": zero(c("std_cote_nul")),
-        "ratio_fav_outsider": ratio(c("moy_cote_fav"), c("moy_cote_outsider")),
-        "ratio_nul_fav": ratio(c("moy_cote_nul"), c("moy_cote_fav")),
-        "diff_x_std": difficulty * std,
-        "prod_min_max_fav": c("min_cote_fav") * c("max_cote_fav"),
-        "range_cote_fav": c("max_cote_fav") - c("min_cote_fav"),
-        "coeff_variation_fav": ratio(std, c("moy_cote_fav")),
-        "moy_prob_fav": c("moy_prob_fav"), "min_prob_fav": c("min_prob_fav"),
-        "max_prob_fav": c("max_prob_fav"), "somme_prob_fav": c("somme_prob_fav"),
-        "entropie_cotes": c("entropie_cotes"),
-        "hhi_moyen": c("hhi_moyen"), "hhi_max": c("hhi_max"), "hhi_min": c("hhi_min"),
-        "marge_bookmaker_moy": c("marge_bookmaker_moy"),
-        "gini_cotes_fav": F.when(n > 1, ratio(c("gini_num"), n * c("somme_cotes_fav"))).otherwise(0.0),
-        # Population moments restated over the sample deviation.
-        "skewness_cotes_fav": F.when((n > 2) & (std > 0), zero(c("pop_skew")) * F.pow(shrink, F.lit(1.5))).otherwise(0.0),
-        "kurtosis_cotes_fav": F.when(
-            (n > 3) & (std > 0), (zero(c("pop_kurt")) + 3) * shrink * shrink - 3).otherwise(0.0),
-        "concentration_top3": F.when(n >= 3, c("top3_prob") / c("somme_prob_fav")).otherwise(1.0),
-        "kelly_moyen": zero(c("kelly_moyen")), "brier_ante": c("brier_ante"),
-        "moy_pct_fav": zero(c("moy_pct_fav")), "min_pct_fav": zero(c("min_pct_fav")),
-        "max_pct_fav": zero(c("max_pct_fav")), "moy_pct_outsider": zero(c("moy_pct_outsider")),
-        "accord_cotes_joueurs": accord,
-        "ecart_pct_fav_outsider": zero(c("moy_pct_fav")) - zero(c("moy_pct_outsider")),
-        "moy_dispersion_votes": zero(c("moy_dispersion_votes")),
-        "max_dispersion_votes": zero(c("max_dispersion_votes")),
-        "min_dispersion_votes": zero(c("min_dispersion_votes")),
-        "nb_tip_simple": c("nb_tip_simple"), "nb_tip_double": c("nb_tip_double"),
-        "nb_tip_triple": c("nb_tip_triple"), "ratio_tip_simple": c("nb_tip_simple") / legs,
-        "nb_matchs_serres": c("nb_matchs_serres"), "nb_matchs_faciles": c("nb_matchs_faciles"),
-        "nb_matchs_tres_serres": c("nb_matchs_tres_serres"),
-        "inv_spread_sum": c("inv_spread_sum"), "harmonic_mean_fav": ratio(n, c("somme_prob_fav")),
-        "pos_match_plus_serre": c("pos_match_plus_serre"), "pos_match_plus_facile": c("pos_match_plus_facile"),
-        "asymetrie_cotes": zero(F.abs(c("first_half") - c("second_half"))),
-        "gradient_difficulte": F.when(n > 2, (c("last_fav") - c("first_fav")) / (n - 1)).otherwise(0.0),
-        "nb_1": c("nb_1"), "nb_N": c("nb_N"), "nb_2": c("nb_2"),
-        "nb_surprises": c("nb_surprises"), "nb_fav_gagne": c("nb_fav_gagne"), "pct_fav_gagne": fav_rate,
-        "roi_theorique": zero(c("roi_theorique")),
-        "moy_cote_resultat": zero(c("moy_cote_resultat")), "somme_cotes_resultat": zero(c("somme_cotes_resultat")),
-        "prod_cotes_resultat": prod, "max_cote_resultat": zero(c("max_cote_resultat")),
-        "min_cote_resultat": zero(c("min_cote_resultat")), "med_cote_resultat": zero(c("med_cote_resultat")),
-        "surprise_index": prod, "log_surprise_index": log_prod,
-        "brier_realise": zero(c("brier_realise")),
-        "tip_accuracy": tip_accuracy, "nb_tip_correct": c("nb_tip_correct"),
-        "joueurs_accuracy": c("n_crowd_correct") / legs,
-        "gagnants_parfait": top_w, "montant_parfait": top_a,
-        "gagnants_presque": near_w, "montant_presque": near_a,
-        "has_gagnant_parfait": F.when(top_w > 0, 1).otherwise(0),
-        "entropie_resultat": entropie, "alternance": alternance,
-        "plus_longue_suite": c("plus_longue_suite"),
-        "indice_chaos": c("nb_surprises") * entropie * alternance,
-        "indice_previsibilite": fav_rate * accord * tip_accuracy,
-        "ratio_resultat_fav": ratio(zero(c("moy_cote_resultat")), c("moy_cote_fav")),
-        "log_prod_cotes_resultat": log_prod,
-        "diff_x_surprises": difficulty * c("nb_surprises"),
-        "inv_somme_prob_fav": ratio(F.lit(1.0), c("somme_prob_fav")),
-        "tension_moy": zero(c("tension_moy")), "tension_max": zero(c("tension_max")),
-        "pool_estime_parfait": top_a * top_w,
-    }
-    integers = {
-        "nb_pronostics", "nb_tip_simple", "nb_tip_double", "nb_tip_triple", "nb_matchs_serres", "nb_matchs_faciles",
-        "nb_matchs_tres_serres", "pos_match_plus_serre", "pos_match_plus_facile", "nb_1", "nb_N", "nb_2",
-        "nb_surprises", "nb_fav_gagne", "nb_tip_correct", "gagnants_parfait", "gagnants_presque",
-        "has_gagnant_parfait", "plus_longue_suite"}
-    return joined.select(
-        "coupon_id", F.concat(F.lit("LF"), legs.cast("string")).alias("grid_type"), legs.alias("nb_matchs"),
-        F.concat_ws("-", *(c(k).cast("string") for k in ("nb_1", "nb_N", "nb_2"))).alias("profil"),
-        *(
-            (v.cast("bigint") if k in integers else rounded(v.cast("double"), STORED_DIGITS)).alias(k)
-            for k, v in values.items()
-        ),
-    )
+    """Ratios and cross products of the aggregated columns, in the published order."""
+    staged = with_exprs(joined, _FIRST_STEP)
+    raw = staged.selectExpr(
+        "coupon_id", "concat('LF', n_legs) AS grid_type", "n_legs AS nb_matchs",
+        "concat_ws('-', nb_1, nb_N, nb_2) AS profil",
+        *(f"{x or name} AS {name}" for name, x in _FEATURES.items()))
+    return raw.selectExpr("coupon_id", "grid_type", "nb_matchs", "profil", *(
+        f"CAST({name} AS BIGINT) AS {name}" if name in WHOLE
+        else f"{rounded(f'CAST({name} AS DOUBLE)', STORED_DIGITS)} AS {name}" for name in FEATURES))

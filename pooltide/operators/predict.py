@@ -1,13 +1,18 @@
-"""Blended outcome prediction of legs."""
+"""Blended outcome prediction of legs.
+
+Each step is its own projection, so Catalyst keeps the shared parts as columns
+instead of repeating them inside one large expression.
+"""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from pooltide.functions import odds as O
 from pooltide.operators.coupons import basic_metrics
+from pooltide.operators.legs import with_exprs
 
 
 class Weights(NamedTuple):
@@ -26,40 +31,20 @@ BALANCED = Weights(0.60, 0.15, 0.10, 0.10, 0.05)
 BOLD = Weights(0.45, 0.20, 0.15, 0.10, 0.10)
 STRATEGIES = {"cautious": CAUTIOUS, "balanced": BALANCED, "bold": BOLD}
 
-# Thresholds of the risk profile.
-SECURE_MAX_DIFFICULTY, SECURE_MAX_FAV = 5.0, 1.70
-RISKY_MIN_DIFFICULTY, RISKY_MIN_FAV = 8.0, 2.20
-SECURE_MAX_INV_SPREAD, RISKY_MIN_INV_SPREAD = 2.0, 3.5
-SECURE_MIN_ACCORD, SECURE_MAX_STD = 0.80, 0.26
-
 METRIC_COLUMNS = ("difficulty", "moyenne_cote_fav", "inv_spread_sum", "std_cote_fav", "accord_cotes_joueurs")
 
+# The ordered rules of the risk profile. A null never matches.
+RISK_PROFILE = """CASE
+  WHEN inv_spread_sum < 2.0D THEN 'secure'
+  WHEN inv_spread_sum > 3.5D THEN 'risky'
+  WHEN accord_cotes_joueurs > 0.80D THEN 'secure'
+  WHEN std_cote_fav < 0.26D THEN 'secure'
+  WHEN difficulty < 5.0D AND moyenne_cote_fav < 1.70D THEN 'secure'
+  WHEN difficulty > 8.0D THEN 'risky'
+  WHEN moyenne_cote_fav > 2.20D THEN 'risky'
+  ELSE 'balanced' END"""
 
-def risk_profile() -> Column:
-    """secure / balanced / risky; rules apply in this order and a null never matches."""
-    c = F.col
-    return (
-        F.when(c("inv_spread_sum") < SECURE_MAX_INV_SPREAD, "secure")
-        .when(c("inv_spread_sum") > RISKY_MIN_INV_SPREAD, "risky")
-        .when(c("accord_cotes_joueurs") > SECURE_MIN_ACCORD, "secure")
-        .when(c("std_cote_fav") < SECURE_MAX_STD, "secure")
-        .when((c("difficulty") < SECURE_MAX_DIFFICULTY) & (c("moyenne_cote_fav") < SECURE_MAX_FAV), "secure")
-        .when(c("difficulty") > RISKY_MIN_DIFFICULTY, "risky")
-        .when(c("moyenne_cote_fav") > RISKY_MIN_FAV, "risky")
-        .otherwise("balanced")
-    )
-
-
-def adjusted_for_profile(p: O.Triple, profile: Column) -> O.Triple:
-    """Strengthen the favourite of a secure coupon, flatten a risky one, rescale to one."""
-    top = O.first_max_index(p)
-    moved = O.Triple(*(
-        F.when(profile == "secure", c + F.when(top == k, 0.05).otherwise(0.0))
-        .when(profile == "risky", 0.8 * c + 0.2 * O.THIRD)
-        .otherwise(c)
-        for k, c in enumerate(p, start=1)))
-    total = moved.total()
-    return moved.map(lambda c: c / total)
+_SIGNALS = ("odds", "crowd", "tip", "adjusted")
 
 
 def with_metrics(legs: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
@@ -73,49 +58,57 @@ def with_metrics(legs: DataFrame, metrics: DataFrame | None = None) -> DataFrame
         metrics = basic_metrics(legs)
     elif "moyenne_cote_fav" not in metrics.columns:
         metrics = metrics.join(basic_metrics(legs).select("coupon_id", "moyenne_cote_fav"), "coupon_id", "left")
-    known = [F.col(k) if k in metrics.columns else F.lit(None).cast("double").alias(k) for k in METRIC_COLUMNS]
-    return legs.join(metrics.select("coupon_id", *known), "coupon_id", "left")
+    known = [k if k in metrics.columns else f"CAST(NULL AS DOUBLE) AS {k}" for k in METRIC_COLUMNS]
+    return legs.join(metrics.selectExpr("coupon_id", *known), "coupon_id", "left")
 
 
 def signals(legs_with_metrics: DataFrame) -> DataFrame:
-    """Probabilities of the four data-driven signals as structs, with presence flags."""
-    as_struct = lambda t: F.struct(t.home.alias("home"), t.draw.alias("draw"), t.away.alias("away"))
-    first = legs_with_metrics.withColumns({
-        "by_odds": as_struct(O.implied_probabilities(O.odds())),
-        "by_crowd": as_struct(O.crowd_probabilities(O.shares())),
-        "by_tip": as_struct(O.tip_probabilities(F.col("tip"))),
-        "risk_profile": risk_profile(),
-        "has_odds": O.all_positive(O.odds()),
-        "has_crowd": O.shares().total() > 0,
-        "has_tip": O.has_tip(F.col("tip")),
+    """Probabilities of the four data-driven signals, with presence flags.
+
+    The fourth signal is the odds signal moved by the risk profile: a secure
+    coupon strengthens the favourite, a risky one is flattened.
+    """
+    first = with_exprs(legs_with_metrics, {
+        **O.implied_probabilities(), **O.crowd_probabilities(), **O.tip_probabilities(),
+        "risk_profile": RISK_PROFILE, "has_odds": O.ALL_ODDS,
+        "has_crowd": " + ".join(O.SHARES) + " > 0", "has_tip": O.HAS_TIP,
     })
-    base = O.triple(("home", "draw", "away"), "by_odds")
-    return first.withColumn("by_difficulty", as_struct(adjusted_for_profile(base, F.col("risk_profile"))))
+    p = [f"odds_p{k}" for k in O.SUFFIXES]
+    second = with_exprs(first, {"top": O.first_max_index(*p)})
+    third = with_exprs(second, {
+        f"moved_{k}": f"CASE risk_profile WHEN 'secure' THEN {c} + IF(top = {i}, 0.05D, 0.0D) "
+                      f"WHEN 'risky' THEN 0.8D * {c} + 0.2D * {O.THIRD} ELSE {c} END"
+        for i, (k, c) in enumerate(zip(O.SUFFIXES, p), start=1)})
+    total = " + ".join(f"moved_{k}" for k in O.SUFFIXES)
+    moved = [f"moved_{k}" for k in O.SUFFIXES]
+    return with_exprs(third, {f"adjusted_p{k}": f"moved_{k} / ({total})" for k in O.SUFFIXES}).drop(*moved, "top")
 
 
-def blend(w: Weights) -> O.Triple:
-    """Weighted mix of the signals; a missing signal's weight goes to the others.
+def blended(df: DataFrame, weights: tuple[str, str, str, str, str]) -> DataFrame:
+    """Mix the signals with five weight expressions; a missing signal's weight goes to the others.
 
     The difficulty signal keeps its weight even when the leg has no odds.
     """
-    kept = [
-        F.when(F.col("has_odds"), w.odds).otherwise(0.0),
-        F.when(F.col("has_crowd"), w.crowd).otherwise(0.0),
-        F.when(F.col("has_tip"), w.tip).otherwise(0.0),
-        F.lit(w.difficulty), F.lit(w.prior),
-    ]
-    total = kept[0] + kept[1] + kept[2] + kept[3] + kept[4]
-    scaled = [F.when((total > 0) & (total != 1.0), k / total).otherwise(k) for k in kept]
-
-    def mix(part: str, prior: float) -> Column:
-        return (
-            scaled[0] * F.col(f"by_odds.{part}") + scaled[1] * F.col(f"by_crowd.{part}")
-            + scaled[2] * F.col(f"by_tip.{part}") + scaled[3] * F.col(f"by_difficulty.{part}")
-            + scaled[4] * prior)
-
-    raw = O.Triple(*(mix(part, prior) for part, prior in zip(("home", "draw", "away"), O.PRIOR)))
-    total_p = raw.total()
-    return raw.map(lambda c: F.when(total_p > 0, c / total_p).otherwise(O.THIRD))
+    w_odds, w_crowd, w_tip, w_difficulty, w_prior = weights
+    kept = with_exprs(df, {
+        "k1": f"IF(has_odds, {w_odds}, 0.0D)", "k2": f"IF(has_crowd, {w_crowd}, 0.0D)",
+        "k3": f"IF(has_tip, {w_tip}, 0.0D)", "k4": w_difficulty, "k5": w_prior})
+    kept = with_exprs(kept, {"kept_weight": "k1 + k2 + k3 + k4 + k5"})
+    scaled = with_exprs(kept, {
+        f"s{i}": f"IF(kept_weight > 0, k{i} / kept_weight, k{i})" for i in range(1, 6)})
+    mixed = with_exprs(scaled, {
+        f"mix_{k}": f"s1 * odds_p{k} + s2 * crowd_p{k} + s3 * tip_p{k} + s4 * adjusted_p{k} + s5 * {prior}D"
+        for k, prior in zip(O.SUFFIXES, O.PRIOR)})
+    total = "(mix_1 + mix_n + mix_2)"
+    out = with_exprs(mixed, {
+        f"prob_{k}": f"IF({total} > 0, mix_{k} / {total}, {O.THIRD})" for k in O.SUFFIXES})
+    return with_exprs(out, {
+        "prediction": O.outcome("(" + O.first_max_index("prob_1", "prob_n", "prob_2") + ")"),
+    }).drop("kept_weight", *(f"{x}{i}" for x in "ks" for i in range(1, 6)), *(f"mix_{k}" for k in O.SUFFIXES))
+
+
+def literal_weights(w: Weights) -> tuple[str, ...]:
+    return tuple(f"{x!r}D" for x in w)
 
 
 def predict_legs(legs: DataFrame, metrics: DataFrame | None = None, weights: Weights = BALANCED) -> DataFrame:
@@ -124,11 +117,9 @@ def predict_legs(legs: DataFrame, metrics: DataFrame | None = None, weights: Wei
     Confidence is the gap between the two largest probabilities. The coupon's
     risk profile is kept, for reports.
     """
-    mixed = signals(with_metrics(legs, metrics)).withColumns(
-        {f"prob_{k}": c for k, c in zip(("1", "n", "2"), blend(weights))})
-    p = O.triple(("prob_1", "prob_n", "prob_2"))
-    ordered = F.sort_array(F.array(*p), asc=False)
-    return mixed.withColumns({
-        "prediction": O.outcome_at(O.first_max_index(p)),
-        "confidence": ordered[0] - ordered[1],
-    }).drop("by_odds", "by_crowd", "by_tip", "by_difficulty", "has_odds", "has_crowd", "has_tip", *METRIC_COLUMNS)
+    mixed = blended(signals(with_metrics(legs, metrics)), literal_weights(weights))
+    top = "greatest(prob_1, prob_n, prob_2)"
+    return with_exprs(mixed, {
+        "confidence": f"{top} - (prob_1 + prob_n + prob_2 - {top} - least(prob_1, prob_n, prob_2))",
+    }).drop("has_odds", "has_crowd", "has_tip", *METRIC_COLUMNS,
+            *(f"{s}_p{k}" for s in _SIGNALS for k in O.SUFFIXES))
