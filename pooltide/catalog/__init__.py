@@ -6,7 +6,7 @@ import importlib
 
 from pooltide.catalog.base import ORACLE, QUERIES, Query
 
-_SECTIONS = ("legs",)
+_SECTIONS = ("legs", "features")
 
 
 def _load() -> None:

@@ -7,49 +7,41 @@ the Parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-LEG_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+LEG_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _odds(expr: Column, cents: int) -> Column:
-    return F.when(F.col("l_partkey") % 23 == 0, 0.0).otherwise((expr + cents) / F.lit(100.0))
+def _odds(cents: str) -> str:
+    return f"IF(l_partkey % 23 = 0, 0.0D, ({cents}) / 100.0D)"
 
 
-def _share(expr: Column) -> Column:
-    return F.when(F.col("l_partkey") % 17 == 0, 0.0).otherwise(expr.cast("double"))
+def _share(points: str) -> str:
+    return f"IF(l_partkey % 17 = 0, 0.0D, CAST({points} AS DOUBLE))"
 
 
-def _tip() -> Column:
-    code = F.col("l_partkey") % 9
-    out = F.when(code == 0, "")
-    for k, text in enumerate(("1", "N", "2", "1N", "N2", "12", "1N2", "-"), start=1):
-        out = out.when(code == k, text)
-    return out
+_LEG_COLUMNS = (
+    "l_orderkey AS coupon_id",
+    f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {LEG_ORDER}) AS position",
+    "l_partkey AS part_id", "l_suppkey AS supplier_id",
+    f"{_odds('105 + (l_partkey * 37 + l_linenumber * 11) % 420')} AS odds_1",
+    f"{_odds('260 + (l_suppkey * 53 + l_partkey) % 240')} AS odds_n",
+    f"{_odds('110 + (l_partkey * 91 + l_suppkey * 7) % 650')} AS odds_2",
+    f"{_share('10 + l_partkey % 60')} AS share_1",
+    f"{_share('10 + l_suppkey % 25')} AS share_n",
+    f"{_share('10 + (l_partkey + l_suppkey) % 50')} AS share_2",
+    "CASE l_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN 'N' WHEN 3 THEN '2' WHEN 4 THEN '1N' "
+    "WHEN 5 THEN 'N2' WHEN 6 THEN '12' WHEN 7 THEN '1N2' ELSE '-' END AS tip",
+    "CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN 'N' WHEN 'R' THEN '2' END AS result",
+)
 
 
 def _raw_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    order = Window.partitionBy("l_orderkey").orderBy(*LEG_ORDER)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("coupon_id"),
-        F.row_number().over(order).alias("position"),
-        part.alias("part_id"),
-        supp.alias("supplier_id"),
-        _odds((part * 37 + line * 11) % 420, 105).alias("odds_1"),
-        _odds((supp * 53 + part) % 240, 260).alias("odds_n"),
-        _odds((part * 91 + supp * 7) % 650, 110).alias("odds_2"),
-        _share(10 + part % 60).alias("share_1"),
-        _share(10 + supp % 25).alias("share_n"),
-        _share(10 + (part + supp) % 50).alias("share_2"),
-        _tip().alias("tip"),
-        F.when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "N", "N")
-        .when(F.col("l_returnflag") == "R", "2").alias("result"),
-    )
+    return table(spark, sf_dir, "lineitem").selectExpr(*_LEG_COLUMNS)
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,46 +73,29 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coupon-level inputs that need no leg: date, season, difficulty, tips, payouts."""
-    key, price = F.col("o_orderkey"), F.col("o_totalprice")
-    year = F.year("o_orderdate")
-    return table(spark, sf_dir, "orders").select(
-        key.alias("coupon_id"),
-        F.to_date("o_orderdate").alias("date"),
-        F.concat(year.cast("string"), F.lit("-"), (year + 1).cast("string")).alias("season"),
-        ((key % 90) / F.lit(10.0)).alias("difficulty"),
-        (key % 200).alias("n_tips"),
-        (key % 4).alias("top_winners"),
-        (price / F.lit(100.0)).alias("top_amount"),
-        (key % 50).alias("near_winners"),
-        (price / F.lit(1000.0)).alias("near_amount"),
-    )
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS coupon_id", "to_date(o_orderdate) AS date",
+        "concat(year(o_orderdate), '-', year(o_orderdate) + 1) AS season",
+        "(o_orderkey % 90) / 10.0D AS difficulty", "o_orderkey % 200 AS n_tips",
+        "o_orderkey % 4 AS top_winners", "o_totalprice / 100.0D AS top_amount",
+        "o_orderkey % 50 AS near_winners", "o_totalprice / 1000.0D AS near_amount")
 
 
 def coupons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per coupon with results and the payout map; a coupon has at least one leg."""
     per_coupon = legs(spark, sf_dir).groupBy("coupon_id").agg(
-        F.count(F.lit(1)).cast("int").alias("n_legs"),
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("position", "result"))), lambda leg: leg["result"]), "").alias("results"),
-    )
-    n = F.col("n_legs")
-    rank = lambda k: F.concat(k.cast("string"), F.lit("_sur_"), n.cast("string"))
-    payout = lambda w, a: F.struct(F.col(w).cast("bigint").alias("winners"), F.col(a).alias("amount"))
-    return headers(spark, sf_dir).join(per_coupon, "coupon_id").select(
-        "coupon_id", "date", "season", F.concat(F.lit("LF"), n.cast("string")).alias("grid_type"),
-        "n_legs", "difficulty", "n_tips", "results",
-        F.map_from_arrays(
-            F.array(rank(n), rank(n - 1)),
-            F.array(payout("top_winners", "top_amount"), payout("near_winners", "near_amount")),
-        ).alias("payouts"),
-    )
+        F.expr("int(count(1))").alias("n_legs"),
+        F.expr("array_join(transform(array_sort(collect_list(struct(position, result))), x -> x.result), '')")
+        .alias("results"))
+    payout = "named_struct('winners', {}_winners, 'amount', {}_amount)".format
+    return headers(spark, sf_dir).join(per_coupon, "coupon_id").selectExpr(
+        "coupon_id", "date", "season", "concat('LF', n_legs) AS grid_type", "n_legs", "difficulty", "n_tips", "results",
+        "map(concat(n_legs, '_sur_', n_legs), {}, concat(n_legs - 1, '_sur_', n_legs), {}) AS payouts".format(
+            payout("top", "top"), payout("near", "near")))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Money movements per account, ordered by (ts, event_id)."""
-    kind, value = F.col("event_type"), F.col("value")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("account"), "ts", "event_id",
-        F.when(kind == "purchase", value).otherwise(0.0).alias("cost"),
-        F.when(kind == "signup", value).otherwise(0.0).alias("payout"),
-    )
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS account", "ts", "event_id",
+        "IF(event_type = 'purchase', value, 0.0D) AS cost", "IF(event_type = 'signup', value, 0.0D) AS payout")
