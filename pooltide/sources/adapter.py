@@ -25,8 +25,8 @@ def _share(points: str) -> str:
 
 
 _LEG_COLUMNS = (
-    "l_orderkey AS coupon_id",
-    f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {LEG_ORDER}) AS position",
+    # The window names the renamed key, so later grouping by coupon reuses its partitioning.
+    "coupon_id", f"row_number() OVER (PARTITION BY coupon_id ORDER BY {LEG_ORDER}) AS position",
     "l_partkey AS part_id", "l_suppkey AS supplier_id",
     f"{_odds('105 + (l_partkey * 37 + l_linenumber * 11) % 420')} AS odds_1",
     f"{_odds('260 + (l_suppkey * 53 + l_partkey) % 240')} AS odds_n",
@@ -41,7 +41,9 @@ _LEG_COLUMNS = (
 
 
 def _raw_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*_LEG_COLUMNS)
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS coupon_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    return lines.selectExpr(*_LEG_COLUMNS)
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
