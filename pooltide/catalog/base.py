@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pooltide.functions.numeric import tidy
+from pooltide.operators.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,17 @@ def register(name: str, oracle: str | None = None, doubles: str = "", digits: in
     return wrap
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame:
+    """A derived table several reports read: written once per application, then scanned."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = staged(build(spark, sf_dir), name)
+    return _STORED[key]
+
+
 LEGS = """legs AS (
   SELECT l_orderkey AS coupon_id,
     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS position,
