@@ -6,7 +6,7 @@ import importlib
 
 from pooltide.catalog.base import ORACLE, QUERIES, Query
 
-_SECTIONS = ("legs", "features", "backtest")
+_SECTIONS = ("legs", "features", "backtest", "reports")
 
 
 def _load() -> None:
