@@ -67,24 +67,33 @@ OPTIONS = """ranked AS (
 )"""
 
 COMBOS = OPTIONS + """, options AS MATERIALIZED (
-  SELECT r.coupon_id, strategy, budget, n_legs, position, outcome, p,
+  SELECT r.coupon_id, strategy, budget, n_legs, position, outcome, p, choice, vary_rank <= n_varied AS is_varied,
     CASE WHEN vary_rank <= n_varied THEN (choice - 1) * CAST(pow(3, n_varied - vary_rank) AS INT) ELSE 0 END AS ord
   FROM ranked r JOIN varied v USING (coupon_id)
   WHERE choice <= CASE WHEN vary_rank > n_varied THEN 1 WHEN strategy = 'cautious' THEN 2 WHEN strategy = 'bold' THEN 3 WHEN confidence < 0.15 THEN 3 ELSE 2 END
+), slots AS MATERIALIZED (
+  SELECT o.*, dense_rank() OVER (PARTITION BY coupon_id ORDER BY position) AS slot FROM options o WHERE is_varied
+), kept AS (
+  SELECT coupon_id, any_value(strategy) AS strategy, any_value(budget) AS budget, any_value(n_legs) AS n_legs,
+    coalesce(list_reduce(list(p ORDER BY position) FILTER (NOT is_varied), lambda a, b: a * b), 1e0) AS probability,
+    coalesce(list_reduce(list(p ORDER BY position) FILTER (NOT is_varied), lambda a, b: a + b), 0e0) AS total,
+    string_agg(outcome, '' ORDER BY position) AS results, count(*) FILTER (is_varied) AS n_slots
+  FROM options WHERE choice = 1 GROUP BY coupon_id
 ), combos AS (
-  SELECT coupon_id, strategy, budget, n_legs, position, outcome AS results, 1e0 * p AS probability, 0e0 + p AS total, ord AS ordinal FROM options WHERE position = 1
+  SELECT coupon_id, strategy, budget, n_legs, n_slots, 0 AS slot, results, probability, total, 0 AS ordinal FROM kept
   UNION ALL
-  SELECT c.coupon_id, c.strategy, c.budget, c.n_legs, o.position, c.results || o.outcome, c.probability * o.p, c.total + o.p, c.ordinal + o.ord
-  FROM combos c JOIN options o ON o.coupon_id = c.coupon_id AND o.position = c.position + 1
+  SELECT c.coupon_id, c.strategy, c.budget, c.n_legs, c.n_slots, c.slot + 1,
+    substr(c.results, 1, o.position - 1) || o.outcome || substr(c.results, o.position + 1), c.probability * o.p, c.total + o.p, c.ordinal + o.ord
+  FROM combos c JOIN slots o ON o.coupon_id = c.coupon_id AND o.slot = c.slot + 1
 ), full_combos AS MATERIALIZED (
-  SELECT coupon_id, strategy, budget, n_legs, results, probability, total / n_legs AS confidence, ordinal FROM combos WHERE position = n_legs
+  SELECT coupon_id, strategy, budget, n_legs, results, probability, total / n_legs AS confidence, ordinal FROM combos WHERE slot = n_slots
 )"""
 
 
 @register("generate_combinations", f"WITH RECURSIVE {PREDICTED}, {REQUESTS}, {VARIED}, {COMBOS} SELECT coupon_id, strategy, CAST(budget AS INTEGER) AS budget, n_legs, results, probability, confidence, CAST(ordinal AS INTEGER) AS ordinal FROM full_combos",
           doubles="probability confidence", digits=12)
 def generate_combinations(spark, sf):
-    return G.combinations(predictions(spark, sf), G.legs_to_vary(requests(spark, sf), _metrics(spark, sf)))
+    return G.combinations(predictions(spark, sf), G.legs_to_vary(requests(spark, sf), _metrics(spark, sf))).drop("n_1", "n_n")
 
 
 _COUPONS_ONLY = COUPONS.replace(LEGS + ", " + HEADERS + ", ", "")
@@ -141,20 +150,21 @@ def expected_values(spark, sf):
     return G.expected_value(grids, "mean_payout").select("coupon_id", "grid_type", "expected_value")
 
 
+VARIANT_COMBOS = (COMBOS[COMBOS.index("slots AS MATERIALIZED"):].replace("full_combos", "variant_combos")
+                  .replace("any_value(budget) AS budget, ", "").replace("c.budget, ", "").replace("budget, ", ""))
+
+
 @register("variant_grids", f"""WITH RECURSIVE {PREDICTED}, {REQUESTS}, {OPTIONS}, options AS MATERIALIZED (
-  SELECT r.coupon_id, strategy, position, outcome, p, n_legs, CASE WHEN vary_rank <= n_varied THEN
+  SELECT r.coupon_id, strategy, position, outcome, p, n_legs, vary_rank <= n_varied AS is_varied,
+    row_number() OVER (PARTITION BY r.coupon_id, position ORDER BY choice) AS choice,
+    CASE WHEN vary_rank <= n_varied THEN
     (row_number() OVER (PARTITION BY r.coupon_id, position ORDER BY choice) - 1) * CAST(pow(3, n_varied - vary_rank) AS INT) ELSE 0 END AS ord
   FROM ranked r JOIN (SELECT coupon_id, strategy, n_legs, least(CASE strategy WHEN 'cautious' THEN 1 WHEN 'bold' THEN 4 ELSE 3 END, n_legs) AS n_varied
     FROM requests JOIN grid_metrics USING (coupon_id)) v USING (coupon_id)
   WHERE CASE WHEN vary_rank <= n_varied THEN outcome <> prediction ELSE outcome = prediction END
-), combos AS (
-  SELECT coupon_id, strategy, n_legs, position, outcome AS results, 1e0 * p AS probability, 0e0 + p AS total, ord AS ordinal FROM options WHERE position = 1
-  UNION ALL
-  SELECT c.coupon_id, c.strategy, c.n_legs, o.position, c.results || o.outcome, c.probability * o.p, c.total + o.p, c.ordinal + o.ord
-  FROM combos c JOIN options o ON o.coupon_id = c.coupon_id AND o.position = c.position + 1
-)
+), {VARIANT_COMBOS}
 SELECT coupon_id, strategy, CAST(row_number() OVER (PARTITION BY coupon_id ORDER BY probability DESC, ordinal) AS INTEGER) AS rank, results,
-  total / n_legs AS confidence, probability FROM combos WHERE position = n_legs
+  confidence, probability FROM variant_combos
 QUALIFY row_number() OVER (PARTITION BY coupon_id ORDER BY probability DESC, ordinal) <= 3""", doubles="confidence probability", digits=12)
 def variant_grids(spark, sf):
     return G.variants(predictions(spark, sf), requests(spark, sf).drop("budget"), 3)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from pooltide.operators.legs import with_exprs
+from pooltide.operators.staging import spread
 
 # Fixed value: largest number of combinations of one system.
 MAX_COMBINATIONS = 5000
@@ -61,19 +62,20 @@ def _cover(selections: list[list[str]], guarantees: list[tuple[int, float]]) ->
         distance += codes[:, leg][:, None] != codes[:, leg][None, :]
     chosen: list[int] = []
     for radius, coverage in guarantees:
-        within = distance <= radius
+        # Symmetric, so the rows of newly covered combinations are the columns to subtract.
+        within = (distance <= radius).view(np.uint8)
         covered = within[chosen].any(axis=0) if chosen else np.zeros(total, dtype=bool)
-        gains = within[:, ~covered].sum(axis=1).astype(np.int64)
+        gains = within[~covered].sum(axis=0, dtype=np.int32)
         gains[chosen] = -1
         target = ceil(coverage * total)
         n_covered = int(covered.sum())
         while n_covered < target:
             best = int(gains.argmax())
-            fresh = within[best] & ~covered
+            fresh = np.flatnonzero(within[best] & ~covered)
             chosen.append(best)
-            covered |= fresh
-            n_covered += int(fresh.sum())
-            gains -= within[:, fresh].sum(axis=1)
+            covered[fresh] = True
+            n_covered += len(fresh)
+            gains -= within[fresh].sum(axis=0, dtype=np.int32)
             gains[best] = -1
     return [combos[i] for i in chosen]
 
@@ -95,21 +97,35 @@ def covering_systems(systems: DataFrame) -> DataFrame:
                 for row in batch.itertuples(index=False)]
             yield pd.DataFrame({"system_id": batch["system_id"], "grids": grids})
 
-    solved = checked.where("error IS NULL").select("system_id", "selections", "guarantees").mapInPandas(
+    solvable = checked.where("error IS NULL").select("system_id", "selections", "guarantees")
+    solved = spread(solvable, "system_id").mapInPandas(
         run, "system_id bigint, grids array<string>")
     return with_exprs(checked.join(solved, "system_id", "left"), {
         "n_grids": "size(grids)", "reduction": "1 - size(grids) / n_combinations"})
 
 
+def _code(text: str) -> str:
+    """SQL: a results string as a number, two bits per leg."""
+    return (f"aggregate(split({text}, ''), CAST(0 AS BIGINT), (acc, s) -> "
+            "acc * 4 + CASE s WHEN '1' THEN 1 WHEN 'N' THEN 2 ELSE 3 END)")
+
+
+def _wrong_legs(a: str, b: str) -> str:
+    """SQL: number of legs where two coded strings differ (up to 31 legs)."""
+    return f"bit_count((({a} ^ {b}) | shiftright({a} ^ {b}, 1)) & {0x1555555555555555})"
+
+
 def coverage(covered: DataFrame) -> DataFrame:
     """Share of a system's combinations within each guaranteed radius of a chosen one.
 
     The chosen set travels as an array beside each combination: pairs are
     compared in place and never become rows.
     """
-    combos = covered.where("error IS NULL").selectExpr(
-        "system_id", "grids", "guarantees", f"explode({COMBINATIONS}) AS combo")
-    wrong = "array_min(transform(grids, g -> size(filter(sequence(1, length(combo)), i -> substr(g, i, 1) <> substr(combo, i, 1)))))"
-    nearest = combos.selectExpr("system_id", f"{wrong} AS wrong", "inline(guarantees)")
+    coded = with_exprs(spread(covered.where("error IS NULL"), "system_id"), {
+        "codes": f"transform(grids, g -> {_code('g')})"})
+    combos = coded.selectExpr("system_id", "codes", "guarantees", f"explode({COMBINATIONS}) AS combo")
+    wrong = f"array_min(transform(codes, g -> {_wrong_legs('g', 'code')}))"
+    nearest = with_exprs(combos, {"code": _code("combo")}).selectExpr(
+        "system_id", f"{wrong} AS wrong", "inline(guarantees)")
     return nearest.groupBy("system_id", "radius").agg(
         F.expr("max(coverage)").alias("target"), F.expr("avg(int(wrong <= radius))").alias("covered"))

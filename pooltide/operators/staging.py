@@ -28,3 +28,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(staging_dir(spark), "pooltide", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` into a fixed number of tasks.
+
+    For few bytes that mean much work (rows about to multiply, or to be solved
+    one by one): adaptive execution would merge them into a handful of tasks by
+    size alone.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
