@@ -6,7 +6,7 @@ import importlib
 
 from pooltide.catalog.base import ORACLE, QUERIES, Query
 
-_SECTIONS = ("legs", "features", "backtest", "reports", "dashboards", "play")
+_SECTIONS = ("legs", "features", "backtest", "reports", "dashboards", "play", "ingest")
 
 
 def _load() -> None:
