@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pooltide.catalog.base import COUPONS, FIXTURES, HEADERS, LEGS, VIEW, register, rnd
+from pooltide.catalog.base import COUPONS, FIXTURES, HEADERS, LEGS, VIEW, register, rnd, stored
 from pooltide.catalog.features import SYMBOLS
 from pooltide.catalog.legs import GRID_METRICS
 from pooltide.functions import text as X
@@ -12,6 +12,7 @@ from pooltide.operators import coupon_stats as S
 from pooltide.operators import coupons as C
 from pooltide.operators import fuzzy as Z
 from pooltide.operators.legs import with_exprs
+from pooltide.operators.staging import spread
 from pooltide.sources import adapter as A
 from pooltide.sources import documents as D
 from pooltide.sources import pages as P
@@ -106,12 +107,17 @@ def event_odds(spark, sf):
 
 # ---- pages: rendered from coupons, then read back ----
 
+def elements_of(pages):
+    """Elements of rendered pages, stored once for the queries that share them."""
+    return lambda spark, sf: stored(spark, sf, pages.__name__, lambda s, d: P.page_elements(pages(s, d)))
+
+
 _CELL = """CASE WHEN {s} > 0 AND {o} > 0 THEN format_string('%.1f%%%.2f', {s}, {o}) WHEN {s} > 0 THEN format_string('%.0f%%', {s})
   WHEN {o} > 0 THEN concat('-', replace(format_string('%.2f', {o}), '.', ',')) ELSE '0' END"""
 
 
 def _packed(spark, sf):
-    return A.fixtures(spark, sf).groupBy("coupon_id").agg(F.expr("""array_sort(collect_list(struct(position, home, away,
+    return spread(A.fixtures(spark, sf), "coupon_id").groupBy("coupon_id").agg(F.expr("""array_sort(collect_list(struct(position, home, away,
       odds_1, odds_n, odds_2, share_1, share_n, share_2, tip, result)))""").alias("legs"), F.expr("int(count(1))").alias("n"))
 
 
@@ -126,12 +132,12 @@ def distribution_pages(spark, sf):
 @register("distribution_page_legs", f"""WITH {FIXTURES} SELECT coupon_id AS page_id, position, home, away, odds_1, odds_2, odds_n, share_1, share_2, share_n, tip, position || '-0' AS score FROM fixtures""",
           doubles="odds_1 odds_n odds_2 share_1 share_n share_2")
 def distribution_page_legs(spark, sf):
-    return P.distribution_legs(P.page_elements(distribution_pages(spark, sf)))
+    return P.distribution_legs(elements_of(distribution_pages)(spark, sf))
 
 
 @register("distribution_page_headers", f"""WITH {LEGS}, {HEADERS} SELECT coupon_id AS page_id, difficulty, n_tips FROM headers WHERE coupon_id IN (SELECT coupon_id FROM legs)""", doubles="difficulty")
 def distribution_page_headers(spark, sf):
-    return P.distribution_headers(P.page_elements(distribution_pages(spark, sf)))
+    return P.distribution_headers(elements_of(distribution_pages)(spark, sf))
 
 
 def result_page_html(spark, sf):
@@ -151,7 +157,7 @@ def result_page_html(spark, sf):
 
 @register("result_page_results", f"WITH {COUPONS}, {SYMBOLS} SELECT coupon_id AS page_id, results, profile FROM coupons JOIN (SELECT coupon_id, profile FROM stats) USING (coupon_id)")
 def result_page_results(spark, sf):
-    return P.result_pages(P.page_elements(result_page_html(spark, sf)))
+    return P.result_pages(elements_of(result_page_html)(spark, sf))
 
 
 @register("result_page_payouts", f"""WITH {COUPONS}
@@ -159,18 +165,18 @@ SELECT coupon_id AS page_id, n_legs || '_sur_' || n_legs AS rank_key, top_winner
 UNION ALL SELECT coupon_id, (n_legs - 1) || '_sur_' || n_legs, near_winners, round(near_amount, 2) FROM coupons""", doubles="amount", digits=1)
 def result_page_payouts(spark, sf):
     pages = result_page_html(spark, sf)
-    return P.payout_rows(P.page_elements(pages), pages.selectExpr("page_id", "n AS n_legs"))
+    return P.payout_rows(elements_of(result_page_html)(spark, sf), pages.selectExpr("page_id", "n AS n_legs"))
 
 
 @register("result_page_facts", f"WITH {COUPONS} SELECT coupon_id AS page_id, 'somme' AS fact, CAST(n_legs AS VARCHAR) AS value FROM coupons")
 def result_page_facts(spark, sf):
-    return P.combination_facts(P.page_elements(result_page_html(spark, sf)))
+    return P.combination_facts(elements_of(result_page_html)(spark, sf))
 
 
 @register("page_results_joined", f"WITH {FIXTURES} SELECT coupon_id AS page_id, position, home, away, result FROM fixtures")
 def page_results_joined(spark, sf):
-    legs = P.distribution_legs(P.page_elements(distribution_pages(spark, sf)))
-    results = P.result_pages(P.page_elements(result_page_html(spark, sf)))
+    legs = P.distribution_legs(elements_of(distribution_pages)(spark, sf))
+    results = P.result_pages(elements_of(result_page_html)(spark, sf))
     return P.assembled_legs(legs, results).select("page_id", "position", "home", "away", "result")
 
 
@@ -189,13 +195,13 @@ SELECT coupon_id AS page_id, grid_type, any_value(grid_number) AS grid_number, a
   string_agg(home || '/' || away, ';' ORDER BY position) AS legs
 FROM named JOIN headers USING (coupon_id) JOIN fixtures USING (coupon_id) WHERE position <= size GROUP BY coupon_id, grid_type""")
 def upcoming_page_coupons(spark, sf):
-    return P.upcoming_coupons(P.page_elements(upcoming_pages(spark, sf)), 2000).selectExpr(
+    return P.upcoming_coupons(elements_of(upcoming_pages)(spark, sf), 2000).selectExpr(
         "page_id", "grid_type", "grid_number", "date", "array_join(transform(legs, l -> concat(l.home, '/', l.away)), ';') AS legs")
 
 
 @register("upcoming_not_past", f"""WITH {FIXTURES}, {HEADERS} SELECT DISTINCT coupon_id AS page_id FROM headers JOIN fixtures USING (coupon_id) WHERE date >= DATE '2000-01-01'""")
 def upcoming_not_past(spark, sf):
-    found = P.upcoming_coupons(P.page_elements(upcoming_pages(spark, sf)), 2000)
+    found = P.upcoming_coupons(elements_of(upcoming_pages)(spark, sf), 2000)
     return found.where(T.not_past("date", "DATE'2000-01-01'")).select("page_id").distinct()
 
 
@@ -356,7 +362,7 @@ def coupon_legs_with_odds(spark, sf):
     odds = legs.where("odds_1 > 0").select("coupon_id", "position", "odds_1")
     joined = legs.select("coupon_id", "position").join(odds, ["coupon_id", "position"], "left")
     return joined.groupBy("coupon_id").agg(F.expr(
-        "array_join(transform(array_sort(collect_list(struct(position, odds_1))), x -> concat(x.position, '=', coalesce(format_string('%.2f', x.odds_1), ''))), ' ')").alias("odds"))
+        "array_join(transform(array_sort(collect_list(struct(position, odds_1))), x -> concat(x.position, '=', IF(x.odds_1 IS NULL, '', format_string('%.2f', x.odds_1)))), ' ')").alias("odds"))
 
 
 @register("normalized_teams", f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' FC (' || p_type || ')')),
@@ -408,7 +414,7 @@ def odds_filled_exact(spark, sf):
           doubles="moyenne_cote_fav inv_spread_sum")
 def assembled_metrics(spark, sf):
     """Page to metrics in one chain: cells, legs, results, coupon metrics."""
-    legs = P.assembled_legs(P.distribution_legs(P.page_elements(distribution_pages(spark, sf))),
-                            P.result_pages(P.page_elements(result_page_html(spark, sf))))
+    legs = P.assembled_legs(P.distribution_legs(elements_of(distribution_pages)(spark, sf)),
+                            P.result_pages(elements_of(result_page_html)(spark, sf)))
     return C.grid_metrics(legs.withColumnRenamed("page_id", "coupon_id")).selectExpr(
         "coupon_id AS page_id", "moyenne_cote_fav", "inv_spread_sum", "nb_matchs_serres")

@@ -100,8 +100,8 @@ def money(text: str) -> str:
 
 def day_month(text: str, year: str) -> str:
     """``dd/MM`` inside a text, in a given year."""
-    part = f"regexp_extract({text}, '(\\\\d{{2}})/(\\\\d{{2}})', {{}})"
-    return f"try_to_date(concat({year}, '-', {part.format(2)}, '-', {part.format(1)}), 'yyyy-MM-dd')"
+    day, month = (f"regexp_extract({text}, '([0-9][0-9])/([0-9][0-9])', {k})" for k in (1, 2))
+    return f"try_to_date(concat({year}, '-', {month}, '-', {day}), 'yyyy-MM-dd')"
 
 
 def page_date(utc: str, text: str, year: str) -> str:

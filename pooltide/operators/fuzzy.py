@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pooltide.functions import odds as O
 from pooltide.functions import text as X
 from pooltide.operators.legs import with_exprs
+from pooltide.operators.staging import staged
 
 # Score of a contained name, and the lowest accepted mean score.
 CONTAINED, THRESHOLD = 0.85, 0.55
@@ -79,6 +80,9 @@ def fill_missing_odds(legs: DataFrame, events: DataFrame) -> DataFrame:
     ``event_no`` (their order). The best event is the first with the highest mean
     score of the two names, at least 0.55; only then are its odds required to be
     complete. Names that normalise to nothing take no part.
+
+    Runs jobs: the distinct names to compare and their scores are stored, since
+    several joins read them. They are as small as the vocabulary of teams.
     """
     named = with_exprs(legs, {"h": X.normalized_team("home"), "a": X.normalized_team("away"),
                               "lacks": f"NOT coalesce({O.ALL_ODDS}, false)"})
@@ -86,18 +90,19 @@ def fill_missing_odds(legs: DataFrame, events: DataFrame) -> DataFrame:
     feed = events.selectExpr("event_no", f"{X.normalized_team('home')} AS eh", f"{X.normalized_team('away')} AS ea",
                              *(f"{c} AS event_{c}" for c in O.ODDS)).where("eh <> '' AND ea <> ''")
     # Equal pairs compare alike: the first event of each pair of names stands for it.
-    first = feed.groupBy("eh", "ea").agg(F.expr("min(event_no)").alias("event_no"))
+    first = staged(feed.groupBy("eh", "ea").agg(F.expr("min(event_no)").alias("event_no")), "event_names")
+    wanted = staged(wanted, "wanted_names")
     exact = wanted.join(first, F.expr("h = eh AND a = ea")).selectExpr("h", "a", "event_no", "1.0D AS score")
     # A score of 1 cannot be beaten, so only the other pairs of names are compared at all.
     rest = wanted.join(exact.select("h", "a"), ["h", "a"], "left_anti")
     home = similar_names(rest.selectExpr("h AS name"), first.selectExpr("eh AS name")).selectExpr("a AS h", "b AS eh")
     away = similar_names(rest.selectExpr("a AS name"), first.selectExpr("ea AS name")).selectExpr("a", "b AS ea")
     # A mean of 0.55 needs 0.55 on one side at least.
-    pairs = rest.join(home, "h").join(first, "eh").select("h", "a", "eh", "ea", "event_no").unionByName(
-        rest.join(away, "a").join(first, "ea").select("h", "a", "eh", "ea", "event_no")).distinct()
+    pairs = staged(rest.join(home, "h").join(first, "eh").select("h", "a", "eh", "ea", "event_no").unionByName(
+        rest.join(away, "a").join(first, "ea").select("h", "a", "eh", "ea", "event_no")).distinct(), "name_candidates")
     # Each distinct pair of names is scored once.
     name_pairs = pairs.selectExpr("h AS x", "eh AS y").unionByName(pairs.selectExpr("a AS x", "ea AS y")).distinct()
-    scores = name_score(name_pairs, "x", "y")
+    scores = staged(name_score(name_pairs, "x", "y"), "name_scores")
     both = (
         pairs.join(scores.selectExpr("x AS h", "y AS eh", "score AS home_score"), ["h", "eh"])
         .join(scores.selectExpr("x AS a", "y AS ea", "score AS away_score"), ["a", "ea"])
