@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pooltide.catalog.base import register, rnd, stored
+from pooltide.catalog.base import LEGS, register, rnd, stored
 from pooltide.catalog.legs import BALANCED_SQL, BLEND, STRATEGY_WEIGHTS_SQL, _metrics, predicted
 from pooltide.operators.predict import STRATEGIES
 from pooltide.plans import backtest as B
+from pooltide.plans import baselines as L
 from pooltide.plans import rules as R
 from pooltide.plans import weights as W
 from pooltide.sources import adapter as A
@@ -225,3 +226,28 @@ SELECT w_name AS strategy, n_legs, count(*) AS n_coupons, sum(n_correct) / sum(n
 FROM scores JOIN best USING (candidate) GROUP BY w_name, n_legs""", doubles="accuracy")
 def optimized_backtest(spark, sf):
     return B.full_backtest(A.legs(spark, sf), _metrics(spark, sf), A.headers(spark, sf), SWEEP)["optimized_backtest"]
+
+
+def _evaluation(name, prediction, p1, pn, p2):
+    backed = f"CASE {prediction} WHEN '1' THEN odds_1 WHEN 'N' THEN odds_n ELSE odds_2 END"
+    truth = f"CASE result WHEN '1' THEN {p1} WHEN 'N' THEN {pn} ELSE {p2} END"
+    return f"""SELECT '{name}' AS name, n_legs, accuracy, log_loss, stake, gains, (gains - stake) / stake AS roi FROM (
+  SELECT count(*) AS n_legs, avg(({prediction} = result)::INT) AS accuracy, avg(-ln(greatest(1e-7, least(1 - 1e-7, {truth})))) AS log_loss,
+    count(*) FILTER ({backed} > 0) AS stake, sum({backed}) FILTER ({backed} > 0 AND {prediction} = result) AS gains FROM drawn)"""
+
+
+_THIRD = "(1e0/3e0)"
+_INVERSE = {k: f"CASE WHEN odds_1 > 0 THEN (1e0/odds_{k}) / (1e0/odds_1 + 1e0/odds_n + 1e0/odds_2) ELSE {_THIRD} END" for k in "1n2"}
+_FAVOURITE = "CASE WHEN f1 >= fn AND f1 >= f2 THEN '1' WHEN fn >= f2 THEN 'N' ELSE '2' END"
+
+
+@register("baselines", f"""WITH {LEGS}, shares AS (SELECT avg((result = '1')::INT) AS h, avg((result = 'N')::INT) AS d, avg((result = '2')::INT) AS a FROM legs),
+drawn AS (SELECT *, {", ".join(f"{x} AS f{k}" for k, x in _INVERSE.items())},
+  CAST(('0x' || substr(md5(coupon_id || '-' || position || '-42'), 1, 8)) AS BIGINT) / 4294967296e0 AS u FROM legs, shares)
+{_evaluation("random", f"CASE WHEN u < {_THIRD} THEN '1' WHEN u < 2 * {_THIRD} THEN 'N' ELSE '2' END", _THIRD, _THIRD, _THIRD)}
+UNION ALL {_evaluation("always_home", "'1'", "1e0", "0e0", "0e0")}
+UNION ALL {_evaluation("odds_favorite", _FAVOURITE, "f1", "fn", "f2")}
+UNION ALL {_evaluation("distribution", "CASE WHEN u < h THEN '1' WHEN u < h + d THEN 'N' ELSE '2' END", "h", "d", "a")}""",
+          doubles="accuracy log_loss gains roi")
+def baselines(spark, sf):
+    return L.compare_baselines(A.legs(spark, sf))

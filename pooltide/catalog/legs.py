@@ -166,3 +166,32 @@ SELECT coupon_id, position, prob_1, prob_n, prob_2, prediction, confidence FROM
 def leg_predictions(spark, sf):
     return P.predict_legs(A.legs(spark, sf), _metrics(spark, sf)).select(
         "coupon_id", "position", "prob_1", "prob_n", "prob_2", "prediction", "confidence")
+
+
+# Single legs: no coupon metrics, so every leg counts as balanced.
+@register("scored_legs", f"""WITH {LEGS}, {VIEW}, {PROBS}, adjusted AS (SELECT *, po1 AS pd1, pon AS pdn, po2 AS pd2 FROM probs), {predicted(BALANCED_SQL)}
+SELECT coupon_id, position, prob_1, prob_n, prob_2, prediction, confidence FROM predicted""", doubles="prob_1 prob_n prob_2 confidence")
+def scored_legs(spark, sf):
+    return P.score_legs(A.legs(spark, sf)).select(
+        "coupon_id", "position", "prob_1", "prob_n", "prob_2", "prediction", "confidence")
+
+
+# Coupons without stored metrics: only the mean favourite odds and the difficulty decide the profile.
+@register("predictions_without_metrics", f"""WITH {LEGS}, {HEADERS}, {VIEW}, {GRID_METRICS}, profiles AS (
+  SELECT g.coupon_id, CASE WHEN difficulty < 5.0 AND moyenne_cote_fav < 1.70 THEN 'secure' WHEN difficulty > 8.0 THEN 'risky'
+    WHEN moyenne_cote_fav > 2.20 THEN 'risky' ELSE 'balanced' END AS risk_profile FROM grid_metrics g LEFT JOIN headers h USING (coupon_id)),
+{PROBS}, {ADJUSTED}, {predicted(BALANCED_SQL)}
+SELECT coupon_id, position, prob_1, prob_n, prob_2, prediction, risk_profile FROM predicted""", doubles="prob_1 prob_n prob_2")
+def predictions_without_metrics(spark, sf):
+    return P.predict_legs(A.legs(spark, sf), A.headers(spark, sf).select("coupon_id", "difficulty")).select(
+        "coupon_id", "position", "prob_1", "prob_n", "prob_2", "prediction", "risk_profile")
+
+
+@register("played_coupons", f"""WITH {LEGS.replace("l_partkey AS part_id", "l_linestatus AS ls, l_partkey AS part_id")}
+SELECT coupon_id, count(*) AS n_legs FROM legs GROUP BY coupon_id HAVING count(*) FILTER (ls = 'O') = 0""")
+def played_coupons(spark, sf):
+    """Only coupons whose every leg has a result qualify."""
+    from pooltide.plans.backtest import played_only
+    line = A.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS coupon_id", "IF(l_linestatus = 'O', NULL, l_returnflag) AS result")
+    return played_only(line).groupBy("coupon_id").agg(F.count(F.lit(1)).alias("n_legs"))

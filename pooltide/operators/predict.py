@@ -111,13 +111,22 @@ def literal_weights(w: Weights) -> tuple[str, ...]:
     return tuple(f"{x!r}D" for x in w)
 
 
+def score_legs(legs: DataFrame, weights: Weights = BALANCED) -> DataFrame:
+    """Prediction of single legs that belong to no coupon: the risk profile stays balanced."""
+    bare = with_exprs(legs, {k: "CAST(NULL AS DOUBLE)" for k in METRIC_COLUMNS})
+    return _finished(blended(signals(bare), literal_weights(weights)))
+
+
 def predict_legs(legs: DataFrame, metrics: DataFrame | None = None, weights: Weights = BALANCED) -> DataFrame:
     """Outcome probabilities, pick and confidence per leg.
 
     Confidence is the gap between the two largest probabilities. The coupon's
     risk profile is kept, for reports.
     """
-    mixed = blended(signals(with_metrics(legs, metrics)), literal_weights(weights))
+    return _finished(blended(signals(with_metrics(legs, metrics)), literal_weights(weights)))
+
+
+def _finished(mixed: DataFrame) -> DataFrame:
     top = "greatest(prob_1, prob_n, prob_2)"
     return with_exprs(mixed, {
         "confidence": f"{top} - (prob_1 + prob_n + prob_2 - {top} - least(prob_1, prob_n, prob_2))",
