@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from pooltide.functions import odds as O
 from pooltide.functions import text as X
@@ -23,7 +24,7 @@ from pooltide.operators.staging import staged
 CONTAINED, THRESHOLD = 0.85, 0.55
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])

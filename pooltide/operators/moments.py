@@ -100,8 +100,10 @@ def pair_parts(
 def merged_pairs(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Merge partial sums into r, slope, intercept and residual deviation per pair.
 
-    ``distinct_x`` and ``distinct_y`` are exact up to three. Pairs with a
-    constant side have a null r.
+    ``distinct_x`` and ``distinct_y`` are exact for one and two values and only
+    known to be at least three beyond; each task adds up to three values, so
+    what they collect is bounded by the number of tasks. Pairs with a constant
+    side have a null r.
     """
     summed = parts.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"),
