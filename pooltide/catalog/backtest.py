@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pooltide.catalog.base import LEGS, register, rnd, stored
-from pooltide.catalog.legs import BALANCED_SQL, BLEND, STRATEGY_WEIGHTS_SQL, _metrics, predicted
+from pooltide.catalog.legs import BALANCED_SQL, BLEND, STRATEGY_WEIGHTS_SQL, _metrics, predicted, rated_legs
 from pooltide.operators.predict import STRATEGIES
 from pooltide.plans import backtest as B
 from pooltide.plans import baselines as L
@@ -17,7 +17,7 @@ PER_COUPON = f"""{DEFAULT}, per_coupon AS (
 
 
 def _leg_results(spark, sf):
-    return B.backtest_legs(A.legs(spark, sf), _metrics(spark, sf))
+    return B.backtest_legs(rated_legs(spark, sf))
 
 
 @register("backtest_legs", f"""{DEFAULT} SELECT coupon_id, position, prediction AS predicted, result AS actual,
@@ -58,7 +58,7 @@ STRATEGY_SCORES = f"""WITH {BLEND}, {predicted(STRATEGY_WEIGHTS_SQL)}, scores AS
 
 
 def _strategy_scores(spark, sf):
-    return B.candidate_scores(A.legs(spark, sf), _metrics(spark, sf), STRATEGIES)
+    return B.candidate_scores(rated_legs(spark, sf), None, STRATEGIES)
 
 
 @register("strategy_comparison", f"""{STRATEGY_SCORES}
@@ -182,7 +182,7 @@ FROM scores JOIN headers USING (coupon_id) GROUP BY candidate, w_name"""
 
 
 def _sweep(spark, sf, candidates=SWEEP):
-    return B.candidate_scores(A.legs(spark, sf), _metrics(spark, sf), candidates)
+    return B.candidate_scores(rated_legs(spark, sf), None, candidates)
 
 
 @register("weight_sweep", f"{_sweep_sql(SWEEP)} {_EVALUATE}", doubles="accuracy roi")
@@ -225,7 +225,7 @@ SELECT w_name AS strategy, n_legs, count(*) AS n_coupons, sum(n_correct) / sum(n
   count(*) FILTER (n_correct = n_legs) AS n_perfect, count(*) FILTER (n_correct >= n_legs - 1) AS n_near_perfect
 FROM scores JOIN best USING (candidate) GROUP BY w_name, n_legs""", doubles="accuracy")
 def optimized_backtest(spark, sf):
-    return B.full_backtest(A.legs(spark, sf), _metrics(spark, sf), A.headers(spark, sf), SWEEP)["optimized_backtest"]
+    return B.full_backtest(rated_legs(spark, sf), None, A.headers(spark, sf), SWEEP)["optimized_backtest"]
 
 
 def _evaluation(name, prediction, p1, pn, p2):

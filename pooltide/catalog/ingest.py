@@ -33,7 +33,9 @@ def dated_fixtures(spark, sf):
 
 def season_files(spark, sf):
     lines = dated_fixtures(spark, sf).selectExpr(
-        "concat(replace(league, 'NATION_', 'L'), '_', date_format(date, 'yy'), lpad((year(date) + 1) % 100, 2, '0'), '_', position % 8, '_', coupon_id % 16, '_', date_format(date, 'yy'), lpad((year(date) + 1) % 100, 2, '0'), '.csv') AS file",
+        # 256 neighbouring coupons per file: a file stays small however much data there is.
+        "concat(replace(league, 'NATION_', 'L'), '_', shiftright(coupon_id, 8), '_', "
+        "date_format(date, 'yy'), lpad((year(date) + 1) % 100, 2, '0'), '.csv') AS file",
         "struct(date, coupon_id, position) AS o", f"{_LINE} AS line")
     header = "'Div,Date,HomeTeam,AwayTeam,FTR,FTHG,FTAG,B365H,BWH,B365D,B365A'"
     return lines.groupBy("file").agg(F.expr(

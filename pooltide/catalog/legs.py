@@ -96,6 +96,11 @@ def _metrics(spark, sf):
     return C.grid_metrics(A.legs(spark, sf)).join(A.headers(spark, sf).select("coupon_id", "difficulty"), "coupon_id", "left")
 
 
+def rated_legs(spark, sf):
+    """Legs carrying their coupon's metrics, from one shuffle of the legs."""
+    return P.with_window_metrics(A.legs(spark, sf), A.headers(spark, sf))
+
+
 PROFILE = """profiles AS (
   SELECT g.*, h.difficulty,
     CASE WHEN inv_spread_sum < 2.0 THEN 'secure' WHEN inv_spread_sum > 3.5 THEN 'risky'
@@ -155,7 +160,7 @@ BLEND = f"{LEGS}, {HEADERS}, {VIEW}, {GRID_METRICS}, {PROFILE}, {PROBS}, {ADJUST
 @register("leg_difficulty_adjusted", f"WITH {BLEND} SELECT coupon_id, position, risk_profile, pd1, pdn, pd2 FROM adjusted",
           doubles="pd1 pdn pd2")
 def leg_difficulty_adjusted(spark, sf):
-    adj = P.signals(P.with_metrics(A.legs(spark, sf), _metrics(spark, sf)))
+    adj = P.signals(rated_legs(spark, sf))
     return adj.select("coupon_id", "position", "risk_profile", F.col("adjusted_p1").alias("pd1"),
                       F.col("adjusted_pn").alias("pdn"), F.col("adjusted_p2").alias("pd2"))
 
@@ -164,7 +169,7 @@ def leg_difficulty_adjusted(spark, sf):
 SELECT coupon_id, position, prob_1, prob_n, prob_2, prediction, confidence FROM predicted""",
           doubles="prob_1 prob_n prob_2 confidence")
 def leg_predictions(spark, sf):
-    return P.predict_legs(A.legs(spark, sf), _metrics(spark, sf)).select(
+    return P.predict_legs(rated_legs(spark, sf)).select(
         "coupon_id", "position", "prob_1", "prob_n", "prob_2", "prediction", "confidence")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pooltide.catalog.base import COUPONS, HEADERS, LEGS, register, stored
-from pooltide.catalog.legs import BALANCED_SQL, BLEND, _metrics, predicted
+from pooltide.catalog.legs import BALANCED_SQL, BLEND, _metrics, predicted, rated_legs
 from pooltide.operators import covering as V
 from pooltide.operators import generate as G
 from pooltide.operators import ledger as J
@@ -27,7 +27,7 @@ def requests(spark, sf):
 
 
 def _predict(spark, sf):
-    return P.predict_legs(A.legs(spark, sf), _metrics(spark, sf)).select(
+    return P.predict_legs(rated_legs(spark, sf)).select(
         "coupon_id", "position", "prob_1", "prob_n", "prob_2", "prediction", "confidence")
 
 
@@ -216,7 +216,7 @@ def covering_systems(spark, sf):
 
 # Entries: every coupon backs the blended pick and the pick read backwards.
 def entries(spark, sf):
-    picks = B.backtest_coupons(B.backtest_legs(A.legs(spark, sf), _metrics(spark, sf)))
+    picks = B.backtest_coupons(B.backtest_legs(rated_legs(spark, sf)))
     subs = picks.selectExpr("concat('LF', n_legs) AS grid_type", "coupon_id AS grid_number", "CAST(NULL AS DATE) AS entry_date",
                             "array(predicted, reverse(predicted)) AS bets")
     return J.pending_entries(subs)

@@ -58,7 +58,7 @@ def running_totals(
     }).drop("_block", *(f"_b_{k}" for k in totals))
 
 
-def with_halo(df: DataFrame, seq: str, width: int, block_rows: int = 1 << 20) -> DataFrame:
+def with_halo(df: DataFrame, seq: str, width: int, block_rows: int = 1 << 14) -> DataFrame:
     """Cut a sequence (1, 2, 3 ...) into blocks that also hold the ``width`` rows before them.
 
     Adds ``_block`` and ``_halo``. A trailing frame of up to ``width`` rows taken

@@ -11,8 +11,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from pooltide.functions import odds as O
+from pooltide.functions.numeric import rounded
 from pooltide.operators.coupons import basic_metrics
-from pooltide.operators.legs import with_exprs
+from pooltide.operators.legs import AGREEMENT, INVERSE_SPREAD, leg_view, with_exprs
 
 
 class Weights(NamedTuple):
@@ -47,14 +48,34 @@ RISK_PROFILE = """CASE
 _SIGNALS = ("odds", "crowd", "tip", "adjusted")
 
 
+def with_window_metrics(legs: DataFrame, headers: DataFrame) -> DataFrame:
+    """Legs with the stored-form metrics of their coupon, computed in place.
+
+    Windows over the coupon instead of an aggregate joined back: the legs are
+    shuffled once. ``headers`` gives the difficulty.
+    """
+    over = "OVER (PARTITION BY coupon_id)"
+    sums = with_exprs(leg_view(legs), {
+        "_mean": f"avg(fav) {over}", "_sd": f"stddev_samp(fav) {over}",
+        "_spread": f"sum({INVERSE_SPREAD}) {over}", "_agree": f"avg({AGREEMENT}) {over}"})
+    stored = lambda x, digits: f"coalesce({rounded(x, digits)}, 0.0D)"
+    rated = sums.selectExpr(
+        *legs.columns, f"{stored('_mean', 2)} AS moyenne_cote_fav", f"{stored('_sd', 4)} AS std_cote_fav",
+        f"{stored('_spread', 4)} AS inv_spread_sum", f"{stored('_agree', 4)} AS accord_cotes_joueurs")
+    return rated.join(headers.select("coupon_id", "difficulty"), "coupon_id", "left")
+
+
 def with_metrics(legs: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """Attach coupon metrics to the legs.
 
-    ``metrics`` holds one row per coupon with any of METRIC_COLUMNS. Without a
+    ``metrics`` holds one row per coupon with any of METRIC_COLUMNS; legs that
+    already carry all of them need none. Without a
     ``moyenne_cote_fav`` the mean favourite odds are computed from the legs and
     the other rules stay unused.
     """
     if metrics is None:
+        if set(METRIC_COLUMNS) <= set(legs.columns):
+            return legs
         metrics = basic_metrics(legs)
     elif "moyenne_cote_fav" not in metrics.columns:
         metrics = metrics.join(basic_metrics(legs).select("coupon_id", "moyenne_cote_fav"), "coupon_id", "left")

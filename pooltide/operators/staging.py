@@ -13,6 +13,8 @@ def staging_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set (local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pooltide-ckpt-"))
         named = spark.sparkContext.getCheckpointDir()
     return named

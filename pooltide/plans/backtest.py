@@ -15,7 +15,7 @@ def played_only(legs: DataFrame) -> DataFrame:
         .where("_open = 0").drop("_open")
 
 
-def backtest_legs(legs: DataFrame, metrics: DataFrame, weights: Weights = BALANCED) -> DataFrame:
+def backtest_legs(legs: DataFrame, metrics: DataFrame | None = None, weights: Weights = BALANCED) -> DataFrame:
     """Predicted against actual outcome per leg."""
     return predict_legs(played_only(legs), metrics, weights).selectExpr(
         "coupon_id", "position", "prediction AS predicted", "result AS actual", "prediction = result AS correct",
@@ -63,7 +63,7 @@ def weight_table(candidates: dict[str, Weights]) -> str:
     return f"inline(array({rows}))"
 
 
-def candidate_scores(legs: DataFrame, metrics: DataFrame, candidates: dict[str, Weights]) -> DataFrame:
+def candidate_scores(legs: DataFrame, metrics: DataFrame | None, candidates: dict[str, Weights]) -> DataFrame:
     """Correct legs per coupon and weight candidate.
 
     Every leg is scored by every candidate inside one projection; the count per
@@ -84,7 +84,7 @@ def compare_strategies(scores: DataFrame) -> DataFrame:
         F.expr("count_if(n_correct >= n_legs - 1)").alias("n_near_perfect"))
 
 
-def full_backtest(legs: DataFrame, metrics: DataFrame, headers: DataFrame, candidates: dict[str, Weights]) -> dict[str, DataFrame]:
+def full_backtest(legs: DataFrame, metrics: DataFrame | None, headers: DataFrame, candidates: dict[str, Weights]) -> dict[str, DataFrame]:
     """Default backtest, strategy comparison, best candidate and its scores, as lazy DataFrames."""
     from pooltide.plans.weights import evaluate_candidates, best_candidate
 

@@ -78,7 +78,7 @@ def coupon_sequence(headers: DataFrame) -> DataFrame:
 
 def sliding_weights(
     headers: DataFrame, scores: DataFrame, n_candidates: int, window: int = 20, metric: str = "accuracy",
-    block_rows: int = 1 << 20,
+    block_rows: int = 1 << 14,
 ) -> DataFrame:
     """Best candidate over the ``window`` coupons before each coupon.
 

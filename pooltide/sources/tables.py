@@ -67,7 +67,7 @@ def not_past(date: str, as_of: str) -> str:
     return f"({date} IS NULL OR {date} >= {as_of})"
 
 
-def season_cut(coupons: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
+def season_cut(coupons: DataFrame, block_rows: int = 1 << 14) -> DataFrame:
     """Coupons of each (type, season) up to the point where results start to repeat.
 
     The second consecutive repeat of non-empty results ends the season; the
