@@ -41,3 +41,18 @@ def test_query_matches_sql(spark, con, name):
     con.execute(f"CREATE OR REPLACE TEMP TABLE want AS {ref}")
     for a, b in (("got", "want"), ("want", "got")):
         assert con.execute(f"SELECT count(*) FROM (SELECT {cols} FROM {a} EXCEPT ALL SELECT {cols} FROM {b})").fetchall()[0][0] == 0
+
+
+def test_python_functions_travel_by_value():
+    """Executors need no installed copy of the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from pooltide.operators import covering
+
+    code = "import pickle, sys; print(pickle.load(sys.stdin.buffer)([['1', 'N'], ['2']], [(0, 1.0)]))"
+    out = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(covering._cover), cwd="/",
+                         env={"PATH": "/usr/bin:/usr/local/bin"}, capture_output=True, timeout=120)
+    assert out.stdout.decode().strip() == "['12', 'N2']", out.stderr.decode()
