@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pooltide.llm import ann, bpe, chat, near_dup, quality, token_counts
+from pooltide.llm import ann, bpe, chat, decontaminate, line_dedup, near_dup, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,11 +105,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "lines", "dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "similarity", "start_word", "end_word")
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
+    "op3_line_dedup": op3_line_dedup,
     "op5_nearest": op5_nearest,
     "op7_near_dup": op7_near_dup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
 }

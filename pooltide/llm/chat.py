@@ -56,7 +56,7 @@ def fold_events(events: DataFrame, conv: str = "conv_id", seq: str = "seq") -> D
         F.min(F.when(F.col("kind") == "message", F.col("at"))).alias("opened"))
     return folded.select(
         "conv", "message",
-        F.expr("coalesce(element_at(filter(events, e -> e.at = opened), 1), events[0]).role").alias("role"),
+        F.expr("coalesce(get(filter(events, e -> e.at = opened), 0), events[0]).role").alias("role"),
         F.expr("array_join(transform(filter(events, e -> e.at >= coalesce(reset, 0)), e -> e.text), '')").alias("text"))
 
 
