@@ -6,12 +6,14 @@ derives digest columns from the operator's output.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pooltide.llm import ann, bpe, chat, decontaminate, line_dedup, near_dup, quality, token_counts
+from pooltide.llm import ann, bpe, chat, decontaminate, language, line_dedup, near_dup, quality, token_counts, token_store
+from pooltide.operators.staging import staging_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,11 +117,29 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "score", "similarity", "start_word", "end_word")
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{staging_dir(spark)}/pooltide/tokens-{uuid.uuid4().hex}"
+    token_store.write(table(spark, sf_dir, "documents"), folder)
+    return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared language and source) and web pages (markup language, suffix and host) in one run."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("bigint")
+    both = docs.select("doc_id", none.alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")).unionByName(
+        pages.select(none.alias("doc_id"), "page_id", language.page_text(F.col("html")).alias("text"),
+                     language.page_language(F.col("html")).alias("declared"), language.address_host(F.col("url")).alias("host")))
+    return language.identify(both, language.fit(docs), "text", "declared", "host")
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_store": op4_token_store,
     "op5_nearest": op5_nearest,
+    "op6_language": op6_language,
     "op7_near_dup": op7_near_dup,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,

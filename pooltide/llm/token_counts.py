@@ -53,8 +53,25 @@ class MergeTable:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Symbols that survive in each word (none of them empty)."""
+        result = np.zeros(len(words), np.int64)
+        for word, sizes, _ in self.rounds(words):
+            result[word] = sizes
+        return result
+
+    def pieces(self, words: list[bytes]) -> list[bytes]:
+        """The surviving symbols of each word, packed as little-endian unsigned 32-bit integers."""
+        result = [b""] * len(words)
+        for word, sizes, symbols in self.rounds(words):
+            packed, ends = symbols.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+            for w, a, b in zip(word.tolist(), [0, *ends], ends):
+                result[w] = packed[a:b]
+        return result
+
+    def rounds(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """After each round the words that are finished: their numbers, sizes and symbols."""
+        if not words:
+            return
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        result = sizes.copy()
         raw = np.frombuffer(b"".join(words), np.uint8)
         symbols = self.bytes[raw]
         rank = np.full(len(raw), _NONE, np.int32)
@@ -68,8 +85,8 @@ class MergeTable:
             lowest = np.minimum.reduceat(rank, starts)
             live = lowest != _NONE
             if not live.all():
-                result[word[~live]] = sizes[~live]
                 keep = np.repeat(live, sizes)
+                yield word[~live], sizes[~live], symbols[~keep]
                 symbols, rank = symbols[keep], rank[keep]
                 word, sizes, lowest = word[live], sizes[live], lowest[live]
                 ends = np.cumsum(sizes)
@@ -95,7 +112,6 @@ class MergeTable:
             touched = touched[~last[touched]]
             rank[new[last[new]]] = _NONE
             rank[touched] = self._find(symbols[touched], symbols[touched + 1])
-        return result
 
     def _apart(self, hits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of hits that overlap (a run of equal symbols) every other one, from the left."""
@@ -133,6 +149,25 @@ def count_texts(texts: list[str], store: dict) -> list[int]:
     return [sum(map(of, words)) + n for words, n in zip(parts, extra)]
 
 
+def encode_texts(texts: list[str], store: dict) -> list[bytes]:
+    """Packed ids of several texts; the words that are new are merged together."""
+    bpe: ByteBpe = store["bpe"]
+    if "table" not in store:
+        store["table"] = MergeTable(bpe)
+    known = store.get("pieces")
+    if known is None or len(known) > MAX_WORDS:
+        known = store["pieces"] = {}
+    parts = [[(bpe.words(part), special) for part, special in bpe.segments(text)] for text in texts]
+    fresh = list(set().union(*(words for segments in parts for words, _ in segments)).difference(known))
+    made = dict(zip(fresh, store["table"].pieces([w.encode() for w in fresh])))
+    known.update((w, p) for w, p in made.items() if len(w) <= MAX_WORD_CHARS)
+    if any(len(w) > MAX_WORD_CHARS for w in made):
+        known = known | made
+    of = known.__getitem__
+    return [b"".join(b"".join(map(of, words)) + (special.to_bytes(4, "little") if special is not None else b"")
+                     for words, special in segments) for segments in parts]
+
+
 def token_counts(df: DataFrame, text: str = "text", n_bytes: str = "n_bytes", n_tokens: str = "n_tokens",
                  path: str | None = None) -> DataFrame:
     """Add the text's UTF-8 bytes and its number of tokens (both long), special strings inside texts as one token."""
