@@ -6,12 +6,15 @@ the union estimates their similarity, and the full shingle sets decide.
 
 Which lists are read. Two documents of similarity s = 0.75 share each of the
 smallest k values of their union with chance s, so of 64 values fewer than 32
-agree about once in 10^6 such pairs (less often above s). A document therefore
-needs 32 shared values (small sets: three quarters of their values, exactly), and
-it is enough to list the rarest of them: with values ordered by how many sets
-hold them, two sets that share t values share one of the first (shared - t + 1)
-of either. Values in one set only are never listed, and passages that many
-unlike documents share are listed only by documents made of little else.
+agree about once in 10^6 such pairs (less often above s). A document whose sketch
+has fewer than 32 values that others retain too (small sets: three quarters of
+their values, exactly) has no partner and is left out. For the rest the full sets
+are listed, exactly: a document needs three quarters of its values in other sets
+too, and it is enough to list the rarest of them. With values ordered by how many
+sets hold them, two sets that share t values share one of the first
+(shared - t + 1) of either, and where they first do, what is left of both lists
+must still hold t values. So passages that many unlike documents share are
+listed only by documents made of little else.
 
 Large groups. Copies with equal sets are one node. In each list the most central
 set (its values are the most widely held) is compared with all others; then,
@@ -39,7 +42,7 @@ from pooltide.llm.tables import components, discard, written
 
 WORDS, KEEP, PERCENT = 5, 64, 75
 #: Least share of the union's sketch that both must hold for the full sets to be compared.
-ESTIMATE = 0.45
+ESTIMATE = 0.5
 #: Shared values of a pair of full sketches (see above); sets of up to EXACT values reach no further than the sketch.
 NEED, EXACT = 32, 48
 #: Members of a list that are compared pairwise in one task.
@@ -137,6 +140,17 @@ def _estimate(one: str, other: str, keep: int) -> str:
     return f"size(array_intersect(array_intersect({one}, {other}), {union})) / size({union})"
 
 
+def _shared(values: DataFrame, need: str) -> DataFrame:
+    """(node, n, shared, need) of nodes with at least ``need`` values that other nodes hold too; rarest first.
+
+    ``values`` is (node, n, value); what is gathered for a node are its own values.
+    """
+    held = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    return (values.join(held, "value").groupBy("node", "n")
+            .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+            .withColumn("need", F.expr(need)).where("size(shared) >= need"))
+
+
 class _Comparison:
     """Pairs of nodes: estimated by sketches, confirmed on full sets."""
 
@@ -171,8 +185,13 @@ class _Comparison:
         return written(own.join(mixed.where("low < high").select("value", "members"), "value"), "lists"), groups
 
 
-def _ratio(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def _reach(n: str, left: str, other_n: str, other_left: str, percent: int) -> str:
+    """Can two sets that share a value be similar enough, given how many widely held values stand from it on?
+
+    It holds at the first value they share for all pairs that are linked: they
+    share at least percent / (100 + percent) of the sum of their sizes.
+    """
+    return f"{100 + percent} * least({left}, {other_left}) >= {percent} * ({n} + {other_n})"
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, keep: int = KEEP,
@@ -189,43 +208,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
         .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
-    postings = nodes.select("node", "n", F.explode("sketch").alias("value"))
-    held = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = (postings.join(held, "value").groupBy("node", "n")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))  # at most ``keep`` of them
-              .withColumn("need", F.expr(f"CASE WHEN n <= {exact} THEN CAST(ceil(n * {percent} / 100) AS INT) ELSE {need} END"))
-              .where("size(shared) >= need"))
-    lists = written(shared.select(
-        "node", "n", F.expr("aggregate(shared, 0L, (s, x) -> s + x.df)").alias("central"),
-        F.expr("explode(slice(shared, 1, size(shared) - need + 1).value)").alias("value")), "lists")
-
-    listed = nodes.join(lists.select("node").distinct(), "node")
+    sketched = nodes.select("node", "n", F.explode("sketch").alias("value"))
+    likely = _shared(sketched, f"CASE WHEN n <= {exact} THEN CAST(ceil(n * {percent} / 100) AS INT) ELSE {need} END")
+    listed = written(nodes.join(likely.select("node"), "node"), "listed")
     sets = written(_full_sets(docs, listed, doc_id, text, size), "full")
-    compare = _Comparison(written(listed, "listed"), sets, percent, keep)
+    whole = sets.select("node", F.size("values").alias("n"), F.explode("values").alias("value"))
+    lists = written(_shared(whole, f"CAST(ceil(n * {percent} / 100) AS INT)").select(
+        "node", "n", F.expr("aggregate(shared, 0L, (s, x) -> s + x.df)").alias("central"), F.size("shared").alias("held"),
+        F.expr("posexplode(slice(shared, 1, size(shared) - need + 1).value) AS (at, value)")).select(
+        "node", "n", "central", "value", (F.col("held") - F.col("at")).alias("left")), "lists")
+    compare = _Comparison(listed, sets, percent, keep)
 
     def centres(of: DataFrame) -> DataFrame:
-        return of.groupBy("value").agg(F.max(F.struct("central", -F.col("node"), "n")).alias("c")).select(
-            "value", (-F.col("c.col2")).alias("centre"), F.col("c.n").alias("centre_n"))
+        return of.groupBy("value").agg(F.max(F.struct("central", -F.col("node"), "n", "left")).alias("c")).select(
+            "value", (-F.col("c.col2")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.left").alias("centre_left"))
 
     first = centres(lists)
-    compare.add(lists.join(first, "value").where(f"node <> centre AND {_ratio('n', 'centre_n', percent)}")
+    compare.add(lists.join(first, "value").where(f"node <> centre AND {_reach('n', 'left', 'centre_n', 'centre_left', percent)}")
                 .select(F.col("node").alias("a"), F.col("centre").alias("b")))
     open_lists, groups = compare.labelled(lists)
     if not open_lists.isEmpty():
         first_own = open_lists.join(first, "value").where("node = centre").select("value", F.col("own").alias("first_own"))
         second = centres(open_lists.join(first_own, "value").where("own <> first_own"))
-        compare.add(open_lists.join(second, "value").where(f"node <> centre AND {_ratio('n', 'centre_n', percent)}")
+        compare.add(open_lists.join(second, "value").where(f"node <> centre AND {_reach('n', 'left', 'centre_n', 'centre_left', percent)}")
                     .select(F.col("node").alias("a"), F.col("centre").alias("b")))
         open_lists, groups = compare.labelled(lists)
     if not open_lists.isEmpty():
-        full = open_lists.join(compare.nodes.select("node", "sketch"), "node").withColumn(
-            "chunks", F.expr(f"CAST(ceil(members / {CHUNK}) AS INT)"))
+        full = open_lists.withColumn("chunks", F.expr(f"CAST(ceil(members / {CHUNK}) AS INT)"))
         one = full.select("value", F.expr("pmod(hash(node), chunks)").alias("chunk"), F.col("node").alias("a"),
-                          F.col("n").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"))
+                          F.col("n").alias("na"), F.col("left").alias("la"), F.col("own").alias("oa"))
         other = full.select("value", F.expr("explode(sequence(0, chunks - 1))").alias("chunk"), F.col("node").alias("b"),
-                            F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"))
-        compare.add(one.join(other, ["value", "chunk"]).where(
-            f"oa < ob AND {_ratio('na', 'nb', percent)} AND {_estimate('sa', 'sb', keep)} >= {ESTIMATE}").select("a", "b"))
+                            F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("own").alias("ob"))
+        compare.add(one.join(other, ["value", "chunk"]).where(f"oa < ob AND {_reach('na', 'la', 'nb', 'lb', percent)}").select("a", "b"))
         groups = components(compare.links)
     named = written(nodes.select("digest", "node").join(groups, "node", "left")
                     .select("digest", F.coalesce("component", "node").alias("component_id")), "named")
