@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from pooltide.llm.tables import components, discard, written
 
 MIN_WORDS, BITS, SIMILARITY = 3, 3, 0.8
+#: Rounds of comparison with one node of each key, before the rest is compared pairwise.
+ROUNDS = 4
 #: Widths of the blocks of a SimHash.
 BLOCKS = (13, 13, 13, 13, 12)
 #: Words a worker remembers before it forgets all of them; words whose weights are summed together.
@@ -156,19 +158,58 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_lines(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of nodes (node, row, line, simhash, chars)."""
-    keyed = nodes.select("node", "simhash", "chars", F.explode(block_keys("simhash")).alias("key"))
-    one = keyed.select("key", F.col("node").alias("a"), F.col("simhash").alias("ha"), F.col("chars").alias("ca"))
-    other = keyed.select("key", F.col("node").alias("b"), F.col("simhash").alias("hb"), F.col("chars").alias("cb"))
-    near = written(one.join(other, "key").where(
-        f"a < b AND bit_count(ha ^ hb) <= {BITS} AND least(ca, cb) >= {SIMILARITY} * greatest(ca, cb)")
-        .select("a", "b").distinct(), "near-lines")
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    """Verified pairs (a, b) that connect all similar nodes (node, row, line, simhash, chars, n).
+
+    Nodes of a key are first compared with its commonest node, then, in ROUNDS - 1
+    further rounds, with one drawn by hash, each time only across components; what
+    is still apart is compared pairwise. So copies of one line give a few pairs
+    each, and no pair that could connect two components is left out.
+    """
+    near = f"bit_count(ha ^ hb) <= {BITS} AND least(ca, cb) >= {SIMILARITY}D * greatest(ca, cb)"
+    keyed = nodes.select(F.explode(block_keys("simhash")).alias("key"), F.col("node").alias("a"),
+                         F.col("simhash").alias("ha"), F.col("chars").alias("ca"), F.col("n").alias("na"))
+    full = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    crowded = written(keyed.join(full, "key"), "crowded")
+    other = crowded.select("key", F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("ca").alias("cb"))
+    close = written(crowded.alias("x").join(other.alias("y"), F.expr(f"x.key = y.key AND a <> b AND {near}"), "left_semi"), "close")
+    discard(crowded)
+    ends = close.select(F.col("a").alias("node")).distinct()
     said = written(_line_texts(docs, nodes.join(ends, "node").select("node", "row", "line")), "said")
-    both = (near.join(said.select(F.col("node").alias("a"), F.col("said").alias("sa")), "a")
-            .join(said.select(F.col("node").alias("b"), F.col("said").alias("sb")), "b")
-            .withColumn("most", F.greatest(F.length("sa"), F.length("sb"))))
-    return both.where(f"levenshtein(sa, sb) <= {round(1 - SIMILARITY, 6)} * most").select("a", "b")
+    tested: DataFrame | None = None
+    links: DataFrame | None = None
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal tested, links
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "line-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        both = (pairs.join(said.select(F.col("node").alias("a"), F.col("said").alias("sa")), "a")
+                .join(said.select(F.col("node").alias("b"), F.col("said").alias("sb")), "b")
+                .withColumn("most", F.expr(f"CAST(floor({round(1 - SIMILARITY, 6)} * greatest(length(sa), length(sb))) AS INT)")))
+        fresh = written(both.where("levenshtein(sa, sb, most) >= 0").select("a", "b"), "line-links")
+        links = fresh if links is None else links.unionByName(fresh)
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows of the keys whose nodes are still in several components, with their component."""
+        own = rows.drop("own").join(components(links).select(F.col("node").alias("a"), F.col("component").alias("own")), "a", "left")
+        own = own.withColumn("own", F.coalesce("own", "a"))
+        mixed = own.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key")
+        return written(own.join(mixed, "key"), "apart")
+
+    left = close.withColumn("own", F.col("a"))
+    for turn in range(ROUNDS):
+        rank = F.col("na") if turn == 0 else F.xxhash64("a", F.lit(turn))
+        centre = left.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "a", "ha", "ca", "own")).alias("c")).select(
+            "key", F.col("c.a").alias("b"), F.col("c.ha").alias("hb"), F.col("c.ca").alias("cb"), F.col("c.own").alias("other_own"))
+        compare(left.join(centre, "key").where(f"own <> other_own AND {near}").select("a", "b"))
+        left = apart(left)
+        if left.isEmpty():
+            return links
+    second = left.select("key", F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("ca").alias("cb"), F.col("own").alias("other_own"))
+    compare(left.join(second, "key").where(f"own < other_own AND {near}").select("a", "b"))
+    return links
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -177,7 +218,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     nodes = written(held.groupBy("node").agg(
         F.min(F.struct(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), "row", "line")).alias("first"), F.count("*").alias("n"),
         F.min("simhash").alias("simhash"), F.min("chars").alias("chars")), "line-nodes")
-    links = written(similar_lines(nodes.select("node", "first.row", "first.line", "simhash", "chars"), docs), "line-links")
+    links = written(similar_lines(nodes.select("node", "first.row", "first.line", "simhash", "chars", "n"), docs), "line-links")
     groups = components(links)
     joined = nodes.join(groups, "node")
     best = joined.groupBy("component").agg(F.min("first").alias("best"))
