@@ -50,12 +50,15 @@ WITH RECURSIVE words AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
 ), sizes AS (SELECT doc_id, len(s) AS n FROM shingles),
-each AS (SELECT doc_id, unnest(s) AS v FROM shingles),
-links AS (
+each AS MATERIALIZED (SELECT doc_id, unnest(list_transform(s, lambda x: md5_number(x))) AS v FROM shingles),
+held AS MATERIALIZED (SELECT v FROM each GROUP BY v HAVING count(*) > 1),
+likely AS MATERIALIZED (
+  SELECT doc_id, n FROM each JOIN held USING (v) JOIN sizes USING (doc_id) GROUP BY doc_id, n HAVING 100 * count(*) >= 75 * n
+), few AS MATERIALIZED (SELECT doc_id, n, v FROM each JOIN likely USING (doc_id)),
+links AS MATERIALIZED (
   SELECT a.doc_id AS x, b.doc_id AS y
-  FROM each a JOIN each b ON a.v = b.v AND a.doc_id <> b.doc_id
-    JOIN sizes sa ON sa.doc_id = a.doc_id JOIN sizes sb ON sb.doc_id = b.doc_id
-  GROUP BY 1, 2, sa.n, sb.n HAVING 100 * count(*) >= 75 * (sa.n + sb.n - count(*))
+  FROM few a JOIN few b ON a.v = b.v AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
 ), reach AS (
   SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
 ), smallest AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)

@@ -139,8 +139,8 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
     own = [F.sum(F.get("__own", F.lit(i))).alias(f"s{i}") for i in range(len(names))]
     sums = F.array(*(F.col(f"s{i}") for i in range(len(names))))
     total = e.agg(*own).select(sums.alias("g")).select(F.expr("transform(g, x -> (x + 1) / (aggregate(g, 0D, (s, y) -> s + y) + size(g)))").alias("g"))
-    top = total.collect()[0]["g"] or [1 / len(names)] * len(names)
-    share = F.array(*(F.lit(float(x)) for x in top))
+    top = total.collect()[0]["g"]  # one number per language; null over an empty table
+    share = F.array(*(F.lit(1 / len(names) if x is None else float(x)) for x in top))
 
     def smoothed(counts: str, above: str) -> Column:
         return F.expr(f"zip_with({counts}, {above}, (c, p) -> (greatest(c, 0D) + {SMOOTH} * p) / (greatest(aggregate({counts}, 0D, (s, y) -> s + y), 0D) + {SMOOTH}))")
