@@ -18,8 +18,11 @@ def con():
 
 
 def test_every_sql_belongs_to_a_query():
-    queries, oracle = entry.queries(), entry.oracle_sql()
+    from pooltide import catalog
+
+    queries, oracle = catalog.queries(), catalog.oracle_sql()
     assert set(oracle) <= set(queries) and len(queries) > 100
+    assert set(queries) <= set(entry.queries()) and set(oracle) <= set(entry.oracle_sql())
     assert set(queries) - set(oracle) == {"covering_systems", "similar_team_names", "odds_filled_from_events"}
 
 
