@@ -117,13 +117,9 @@ def _stats_sql(columns, source="features"):
     return f"SELECT grid_type, metric, count(*) AS n, {cols} FROM {long_sql(columns, 'grid_type', source=source)} GROUP BY grid_type, metric"
 
 
-# Surprise index is a product of odds: compared at a coarser rounding, in its own query.
-_TYPE = tuple(m for m in M.TYPE_METRICS if m != "surprise_index")
-
-
-@register("type_statistics", f"{F_SQL} {_stats_sql(_TYPE)}", doubles="mean median std min max")
+@register("type_statistics", f"{F_SQL} {_stats_sql(M.TYPE_METRICS)}", doubles="mean median std min max")
 def type_statistics(spark, sf):
-    return X.type_statistics(feats(spark, sf), _TYPE)
+    return X.type_statistics(feats(spark, sf), M.TYPE_METRICS)
 
 
 @register("per_leg_statistics", f"""{F_SQL}, scaled AS (SELECT grid_type, {", ".join(f"{rnd(f'{m} / nb_matchs::DOUBLE', 9)} AS {m}_norm" for m in M.PER_LEG)} FROM features)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 _PART_COLUMNS = "n bigint, sx double, sy double, cxx double, cyy double, cxy double, xs array<double>, ys array<double>"
 
@@ -100,21 +100,27 @@ def pair_parts(
 def merged_pairs(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Merge partial sums into r, slope, intercept and residual deviation per pair.
 
-    ``distinct_x`` and ``distinct_y`` are exact for one and two values and only
-    known to be at least three beyond; each task adds up to three values, so
-    what they collect is bounded by the number of tasks. Pairs with a constant
-    side have a null r.
+    Parts are merged about the mean of all of them, so digits do not cancel when a
+    mean is large beside its deviation. A side whose deviation is lost in rounding
+    counts as constant; pairs with a constant side have a null r. ``distinct_x``
+    and ``distinct_y`` are exact for one and two values and 3 beyond.
     """
-    summed = parts.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"),
-        F.expr("sum(cxx) + sum(sx * sx / n) - sum(sx) * sum(sx) / sum(n)").alias("cxx"),
-        F.expr("sum(cyy) + sum(sy * sy / n) - sum(sy) * sum(sy) / sum(n)").alias("cyy"),
-        F.expr("sum(cxy) + sum(sx * sy / n) - sum(sx) * sum(sy) / sum(n)").alias("cxy"),
-        F.expr("size(array_distinct(flatten(collect_set(xs))))").alias("distinct_x"),
-        F.expr("size(array_distinct(flatten(collect_set(ys))))").alias("distinct_y"))
+    whole = Window.partitionBy(*keys)
+    placed = parts.withColumns({
+        "mx": F.sum("sx").over(whole) / F.sum("n").over(whole), "my": F.sum("sy").over(whole) / F.sum("n").over(whole),
+        **{f"{low}{c}": f(f"{c}s").over(whole) for c in "xy" for low, f in (
+            ("lo_", lambda v: F.min(F.array_min(v))), ("hi_", lambda v: F.max(F.array_max(v))))}})
+    distinct = {c: f"IF(min(lo_{c}) = max(hi_{c}), 1, 2 + max(int(exists({c}s, v -> v > lo_{c} AND v < hi_{c}))))" for c in "xy"}
+    summed = placed.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.first("mx").alias("mean_x"), F.first("my").alias("mean_y"),
+        F.expr("sum(cxx + n * (sx / n - mx) * (sx / n - mx))").alias("cxx"),
+        F.expr("sum(cyy + n * (sy / n - my) * (sy / n - my))").alias("cyy"),
+        F.expr("sum(cxy + n * (sx / n - mx) * (sy / n - my))").alias("cxy"),
+        F.expr(distinct["x"]).alias("distinct_x"), F.expr(distinct["y"]).alias("distinct_y"))
+    spread = " AND ".join(f"sqrt(c{c}{c} / n) > 1e-13D * abs(mean_{c})" for c in "xy")
     return summed.selectExpr(
-        *keys, "n", "distinct_x", "distinct_y", "sx / n AS mean_x", "sy / n AS mean_y",
-        "CASE WHEN distinct_x > 1 AND distinct_y > 1 THEN try_divide(cxy, sqrt(cxx * cyy)) END AS r",
+        *keys, "n", "distinct_x", "distinct_y", "mean_x", "mean_y",
+        f"CASE WHEN distinct_x > 1 AND distinct_y > 1 AND {spread} THEN try_divide(cxy, sqrt(cxx) * sqrt(cyy)) END AS r",
         "try_divide(cxy, cxx) AS slope",
-        "sy / n - try_divide(cxy, cxx) * sx / n AS intercept",
+        "mean_y - try_divide(cxy, cxx) * mean_x AS intercept",
         "sqrt(greatest(cyy - try_divide(cxy * cxy, cxx), 0.0D) / n) AS residual_sd")

@@ -26,7 +26,7 @@ def correlation_coefficients(features: DataFrame, by: str | None = None, minimum
     """r, slope and intercept of every pre/post pair with enough coupons and three distinct values a side."""
     keys = [by, "left", "right"] if by else ["left", "right"]
     pairs = merged_pairs(pair_parts(features, list(M.PRE), list(M.POST), by=by), keys)
-    return pairs.where(f"n >= {minimum} AND distinct_x >= 3 AND distinct_y >= 3 AND r IS NOT NULL")
+    return pairs.where(f"n >= {minimum} AND distinct_x >= 3 AND distinct_y >= 3 AND r IS NOT NULL AND NOT isnan(r)")
 
 
 def correlation_table(features: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def combo_correlations(features: DataFrame, top: int = 50, minimum_r: float = 0.
     """Ratios and products of two features most correlated with a target."""
     pairs = merged_pairs(pair_parts(
         features, list(M.COMBO_PRE), list(M.COMBO_TARGETS), derive=_combo_columns), ["left", "right"])
-    kept = pairs.where(f"n >= 10 AND distinct_x >= 3 AND distinct_y >= 3 AND abs(r) > {minimum_r}D")
+    kept = pairs.where(f"n >= 10 AND distinct_x >= 3 AND distinct_y >= 3 AND NOT isnan(r) AND abs(r) > {minimum_r}D")
     names = ", ".join(f"'{n}'" for n in COMBO_NAMES)
     targets = ", ".join(f"'{n}'" for n in M.COMBO_TARGETS)
     place = with_exprs(kept, {

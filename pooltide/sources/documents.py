@@ -15,7 +15,9 @@ def _read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Documents under ``path``; an absent path gives no rows, a corrupt document is left out."""
     try:
         return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -53,12 +55,12 @@ def write_history(coupons: DataFrame, path: str) -> None:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger document; an absent or corrupt one gives the default, empty ledger."""
+    """All ledger documents under ``path``; the default, empty ledger if none is there or readable. Runs a job."""
     found = _read_json(spark, path, schemas.LEDGER_DOC).where("entries IS NOT NULL OR initial_bankroll IS NOT NULL")
     default = spark.range(1).selectExpr(
         "100.0D AS initial_bankroll", "1.0D AS cost_per_grid", "5 AS grids_per_draw",
         f"CAST(array() AS {schemas.LEDGER_DOC['entries'].dataType.simpleString()}) AS entries")
-    return found.withColumn("rank", F.lit(0)).unionByName(default.withColumn("rank", F.lit(1))).orderBy("rank").limit(1).drop("rank")
+    return default if found.isEmpty() else found
 
 
 def ledger_entries(ledger: DataFrame) -> DataFrame:
