@@ -37,20 +37,44 @@ MAX_WORDS = 250_000
 _RUNS = re.compile(r"(.)\1+")
 
 
+class _Kinds(dict):
+    """For ``str.translate``: capital, small and other letters and digits by one sign each, other signs as they are."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else "x" if c.isalpha() else c
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 def shape(word: str) -> str:
     """Capital, small and other letters, digits and signs, runs of the same shortened to two."""
-    kinds = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else "x" if c.isalpha() else c for c in word)
-    return _RUNS.sub(r"\1\1", kinds)
+    return _RUNS.sub(r"\1\1", word.translate(_KINDS))
+
+
+class _ShapeBuckets(dict):
+    """Bucket of a shape by the word's kinds, of which there are far fewer than words."""
+
+    def __missing__(self, kinds: str) -> int:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        value = self[kinds] = zlib.crc32(_RUNS.sub(r"\1\1", kinds).encode()) % SHAPE_BUCKETS
+        return value
 
 
 class WordFeatures(dict):
     """Buckets of a word and of its shape, packed into one number."""
 
+    def __init__(self) -> None:
+        self.kinds, self.shapes = _Kinds(), _ShapeBuckets()
+
     def __missing__(self, word: str) -> int:
         if len(self) >= MAX_WORDS:
             self.clear()
         w = zlib.crc32(word.lower().encode()) % WORD_BUCKETS
-        value = self[word] = w * SHAPE_BUCKETS + zlib.crc32(shape(word).encode()) % SHAPE_BUCKETS
+        value = self[word] = w * SHAPE_BUCKETS + self.shapes[word.translate(self.kinds)]
         return value
 
 
@@ -131,7 +155,9 @@ class Model:
             k = min(NEIGHBOURS, near.shape[1])
             # Equally near vectors vote together, so rounding does not pick among them.
             least = np.partition(near, near.shape[1] - k, axis=1)[:, [near.shape[1] - k]]
-            vote = np.where(near >= least - 1e-5, np.maximum(near, 1e-6), 0).astype(np.float64) ** 4
+            vote = np.where(near >= least - 1e-5, np.maximum(near, 1e-6), 0).astype(np.float64)
+            vote *= vote
+            vote *= vote
             out[some] = np.clip((vote @ self.labels) / vote.sum(axis=1), 0, 1)
         return out
 
