@@ -32,8 +32,8 @@ PER_CLASS, NEIGHBOURS, DIMENSIONS, BLOCK = 2_000, 15, 48, 512
 #: Buckets of words, of shapes and of pairs of shapes.
 WORD_BUCKETS, SHAPE_BUCKETS, PAIR_BUCKETS = 4_096, 512, 1_536
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS + PAIR_BUCKETS + 2
-#: Words a worker remembers before it forgets all of them.
-MAX_WORDS = 250_000
+#: Words a worker remembers before it forgets all of them; characters of texts whose new words are worked out together.
+MAX_WORDS, SLICE_CHARS = 400_000, 1 << 20
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -46,16 +46,8 @@ class _Kinds(dict):
         return kind
 
 
-_KINDS = _Kinds()
-
-
-def shape(word: str) -> str:
-    """Capital, small and other letters, digits and signs, runs of the same shortened to two."""
-    return _RUNS.sub(r"\1\1", word.translate(_KINDS))
-
-
 class _ShapeBuckets(dict):
-    """Bucket of a shape by the word's kinds, of which there are far fewer than words."""
+    """Bucket of a shape (runs of the same kind shortened to two) by the kinds of a word, of which there are far fewer than words."""
 
     def __missing__(self, kinds: str) -> int:
         if len(self) >= MAX_WORDS:
@@ -64,33 +56,59 @@ class _ShapeBuckets(dict):
         return value
 
 
-class WordFeatures(dict):
-    """Buckets of a word and of its shape, packed into one number."""
+class WordFeatures:
+    """Buckets of words and of their shapes, packed into one number each; the new words of several texts are worked out together."""
 
     def __init__(self) -> None:
         self.kinds, self.shapes = _Kinds(), _ShapeBuckets()
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        w = zlib.crc32(word.lower().encode()) % WORD_BUCKETS
-        value = self[word] = w * SHAPE_BUCKETS + self.shapes[word.translate(self.kinds)]
-        return value
-
-
-def features(text: str | None, known: WordFeatures) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that occur in a text, ascending, and log counts."""
-    words = (text or "").split()
-    if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
-    packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    w, s = np.divmod(packed, SHAPE_BUCKETS)
-    same = np.count_nonzero(w[1:] == w[:-1])
-    pairs = (s[:-1] * 769 + s[1:] * 31) % PAIR_BUCKETS
-    counts = np.bincount(np.concatenate((w, WORD_BUCKETS + s, WORD_BUCKETS + SHAPE_BUCKETS + pairs)), minlength=BUCKETS)
-    counts[-1], counts[-2] = same, len(words)
-    at = np.flatnonzero(counts)
-    return at, np.log1p(counts[at]).astype(np.float32)
+        self.plain = bytes(ord(self.kinds[code]) if code < 128 else 0 for code in range(256))
+        self.packed: dict[str, int] = {}
+
+    def _work_out(self, words: list[str]) -> dict[str, int]:
+        joined = "\n".join(words)  # words hold no white space
+        kinds = joined.encode().translate(self.plain).decode() if joined.isascii() else joined.translate(self.kinds)
+        lower, shapes = joined.lower().encode().split(b"\n"), map(self.shapes.__getitem__, kinds.split("\n"))
+        return dict(zip(words, [zlib.crc32(low) % WORD_BUCKETS * SHAPE_BUCKETS + s for low, s in zip(lower, shapes)])) if words else {}
+
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Packed buckets of each text's words, in order."""
+        used = list(set().union(*texts))
+        own = dict(zip(used, map(self.packed.get, used)))  # a small dictionary stays in the processor's cache
+        new = [word for word, value in own.items() if value is None]
+        fresh = self._work_out([w for w in new if w.isascii()]) | self._work_out([w for w in new if not w.isascii()])
+        own |= fresh
+        if len(self.packed) > MAX_WORDS:
+            self.packed = {}
+        self.packed |= fresh
+        return [np.fromiter(map(own.__getitem__, words), np.int64, len(words)) for words in texts]
+
+
+def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """``texts`` in order, cut where BLOCK texts or SLICE_CHARS characters are full; a longer text is whole."""
+    start = chars = 0
+    for i, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= SLICE_CHARS or i - start + 1 == BLOCK:
+            yield texts[start:i + 1]
+            start, chars = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
+def features(texts: list[str | None], known: WordFeatures) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the buckets that occur, ascending, and log counts."""
+    for part in slices(texts):
+        for packed in known.of([(text or "").split() for text in part]):
+            if not len(packed):
+                yield np.empty(0, np.int64), np.empty(0, np.float32)
+                continue
+            w, s = np.divmod(packed, SHAPE_BUCKETS)
+            same = np.count_nonzero(w[1:] == w[:-1])
+            pairs = (s[:-1] * 769 + s[1:] * 31) % PAIR_BUCKETS
+            counts = np.bincount(np.concatenate((w, WORD_BUCKETS + s, WORD_BUCKETS + SHAPE_BUCKETS + pairs)), minlength=BUCKETS)
+            counts[-1], counts[-2] = same, len(packed)
+            at = np.flatnonzero(counts)
+            yield at, np.log1p(counts[at]).astype(np.float32)
 
 
 def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -99,8 +117,8 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, rows = WordFeatures(), np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for value in batch.column(0):
-                total[features(value.as_py(), known)[0]] += 1
+            for at, _ in features(batch.column(0).to_pylist(), known):
+                total[at] += 1
             rows += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([rows, *total[at].tolist()], pa.int64())],
@@ -144,8 +162,7 @@ class Model:
 
     def scores(self, texts: list[str | None], known: WordFeatures) -> np.ndarray:
         v = np.zeros((len(texts), self.projection.shape[1]), np.float32)
-        for i, text in enumerate(texts):
-            at, weight = features(text, known)
+        for i, (at, weight) in enumerate(features(texts, known)):
             v[i] = weight @ self.projection[at]
         size = np.linalg.norm(v, axis=1)
         out = np.full(len(texts), 0.5)
@@ -155,10 +172,10 @@ class Model:
             k = min(NEIGHBOURS, near.shape[1])
             # Equally near vectors vote together, so rounding does not pick among them.
             least = np.partition(near, near.shape[1] - k, axis=1)[:, [near.shape[1] - k]]
-            vote = np.where(near >= least - 1e-5, np.maximum(near, 1e-6), 0).astype(np.float64)
-            vote *= vote
-            vote *= vote
-            out[some] = np.clip((vote @ self.labels) / vote.sum(axis=1), 0, 1)
+            row, voter = np.nonzero(near >= least - 1e-5)
+            vote = np.maximum(near[row, voter], 1e-6).astype(np.float64) ** 4
+            for_one, all_votes = (np.bincount(row, votes, len(near)) for votes in (vote * self.labels[voter], vote))
+            out[some] = np.clip(for_one / all_votes, 0, 1)
         return out
 
 
@@ -173,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures()
         for batch in batches:
-            got = [features(value.as_py(), known) for value in batch.column(1)]
+            got = list(features(batch.column(1).to_pylist(), known))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float32()))],
                 ["y", "at", "weight"])
