@@ -111,7 +111,7 @@ FROM sized GROUP BY conv_id
 """
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=None)
     return done.select("doc_id", "lines", "dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

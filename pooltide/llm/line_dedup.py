@@ -4,9 +4,13 @@ Lines are normalised (lower case, ASCII punctuation as space, white space joined
 Equal normalised lines are one node. Each node has a 64-bit SimHash of its
 distinct words, a word weighing its letters (8 at most). Two SimHashes that differ
 in at most 3 bits agree in two of five blocks, so nodes meet in a join on pairs of
-blocks; pairs within 3 bits are verified by edit similarity of the normalised
-lines (at least 0.8). Verified pairs connect nodes, and of all occurrences of a
-connected group the first by document id, then by line number stays.
+blocks. A changed word moves more bits than that, so nodes also meet on bands of
+minima over their letter n-grams, and every pair that meets is verified by edit
+similarity of the normalised lines (at least 0.8). With a ``radius`` there are no
+bands, and only pairs within so many bits are verified. Verified pairs connect
+nodes, and of all occurrences of a connected group the first by document id, then
+by line number stays. Bands are drawn by hash: a pair may be missed, and the README
+gives the share that is found.
 
 Lines of fewer than MIN_WORDS words (blank ones too) take no part and stay. A
 document whose every line goes has the empty text and ``dropped = lines``. Null
@@ -29,6 +33,9 @@ from pyspark.sql import types as T
 from pooltide.llm.tables import components, discard, written
 
 MIN_WORDS, BITS, SIMILARITY = 3, 3, 0.8
+#: Bands of a line, minima in each, and the letters of an n-gram: the short ones for lines of at most SHORT
+#: characters, the long ones from SIMILARITY * SHORT on, so that lines of similar length have a kind in common.
+BANDS, MINIMA, SHORT, GRAM_SHORT, GRAM_LONG = 40, 3, 40, 3, 6
 #: Rounds of comparison with one node of each key, before the rest is compared pairwise.
 ROUNDS = 4
 #: Widths of the blocks of a SimHash.
@@ -80,18 +87,64 @@ class SimHasher:
         return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
 
 
+def _mixed(value: np.ndarray) -> np.ndarray:
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return value ^ (value >> np.uint64(29))
+
+
+def bands(lines: list[bytes], letters: int) -> np.ndarray:
+    """Keys of the BANDS bands of each line (32 bits each): minima over its n-grams, which are dealt over the bands by hash."""
+    padded = [b" " * letters + line + b" " * letters for line in lines]
+    b = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    value = np.zeros(len(b) - letters + 1, np.uint64)
+    for i in range(letters):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + b[i:len(value) + i] + np.uint64(1)
+    # Windows that begin in the last letters - 1 places of a line would reach into the next one; the first and last of the others are blank.
+    line = np.repeat(np.arange(len(lines)), sizes - letters - 1)
+    at = np.arange(len(line)) + np.repeat(np.cumsum(sizes) - sizes + 1 - np.cumsum(sizes - letters - 1) + (sizes - letters - 1), sizes - letters - 1)
+    value, keys, none = _mixed(value[at]), np.zeros((len(lines), BANDS), np.uint64), np.uint64(2**64 - 1)
+    for turn in range(MINIMA):
+        drawn = _mixed(value + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        band = ((drawn >> np.uint64(32)) * np.uint64(BANDS) >> np.uint64(32)).astype(np.int64)
+        least = np.full(len(lines) * BANDS, none)
+        np.minimum.at(least, line * BANDS + band, _mixed(drawn))
+        least = least.reshape(-1, BANDS)
+        for _ in range(BANDS):  # a band without n-grams takes over from the one before it
+            if not (least == none).any():
+                break
+            before = np.roll(least, 1, axis=1)
+            least = np.where((least == none) & (before != none), _mixed(before + np.uint64(1)), least)
+        keys = _mixed(keys + least)
+    return keys.astype(np.uint32)
+
+
+def band_lists(lines: list[bytes], chars: np.ndarray) -> pa.Array:
+    """Keys of each line, each with the number of its band: of its short n-grams, its long ones or both, as its length wants."""
+    of: list[list[np.ndarray]] = [[] for _ in lines]
+    kinds = ((GRAM_SHORT, chars <= SHORT), (GRAM_LONG, chars >= SIMILARITY * SHORT))
+    for kind, (letters, wanted) in enumerate(kinds):
+        rows = np.flatnonzero(wanted)
+        if len(rows):
+            number = np.int64(1 << 40) + (np.arange(BANDS) + kind * BANDS << 32)  # above all keys of blocks
+            for r, own in zip(rows, bands([lines[r] for r in rows], letters).astype(np.int64) + number):
+                of[r].append(own)
+    ends = np.cumsum([0, *(sum(map(len, own)) for own in of)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([k for own in of for k in own]), pa.int64()))
+
+
 def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(row, doc, line, node, simhash, chars) of every line that takes part, from (row, doc, text)."""
+def occurrences(docs: DataFrame, banded: bool = False) -> DataFrame:
+    """(row, doc, line, node, simhash, chars, bands) of every line that takes part, from (row, doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hasher = SimHasher()
-        names = ["row", "doc", "line", "node", "simhash", "chars"]
+        names = ["row", "doc", "line", "node", "simhash", "chars", "bands"]
         for batch in batches:
             held: list[list[bytes]] = []
             at: list[tuple[int, int]] = []
@@ -100,10 +153,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
             def flush() -> pa.RecordBatch:
                 joined = [b" ".join(w) for w in held]
                 take = pa.array([a for a, _ in at], pa.int64())
+                chars = np.array([len(j.decode("utf-8", "replace")) for j in joined])
                 return pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array([n for _, n in at], pa.int32()),
                      pa.array(map(xxhash.xxh3_128_digest, joined), pa.binary()), pa.array(hasher.of(held), pa.int64()),
-                     pa.array([len(j.decode("utf-8", "replace")) for j in joined], pa.int32())], names)
+                     pa.array(chars, pa.int32()), band_lists(joined, chars) if banded else pa.nulls(len(joined), pa.list_(pa.int64()))], names)
 
             for i, value in enumerate(batch.column(2)):
                 for n, line in enumerate(split_lines(value.as_py())):
@@ -118,7 +172,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 yield flush()
 
     return docs.where("text IS NOT NULL").select("row", "doc", "text").mapInArrow(
-        run, "row bigint, doc bigint, line int, node binary, simhash bigint, chars int")
+        run, "row bigint, doc bigint, line int, node binary, simhash bigint, chars int, bands array<bigint>")
 
 
 def block_keys(simhash: str) -> Column:
@@ -157,16 +211,17 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("text", "lines").mapInArrow(run, "node binary, said string").groupBy("node").agg(F.max("said").alias("said"))
 
 
-def similar_lines(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) that connect all similar nodes (node, row, line, simhash, chars, n).
+def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = BITS) -> DataFrame:
+    """Verified pairs (a, b) that connect all similar nodes (node, row, line, simhash, chars, bands, n) that meet.
 
     Nodes of a key are first compared with its commonest node, then, in ROUNDS - 1
     further rounds, with one drawn by hash, each time only across components; what
     is still apart is compared pairwise. So copies of one line give a few pairs
     each, and no pair that could connect two components is left out.
     """
-    near = f"bit_count(ha ^ hb) <= {BITS} AND least(ca, cb) >= {SIMILARITY}D * greatest(ca, cb)"
-    keyed = nodes.select(F.explode(block_keys("simhash")).alias("key"), F.col("node").alias("a"),
+    near = f"least(ca, cb) >= {SIMILARITY}D * greatest(ca, cb)" + ("" if radius is None else f" AND bit_count(ha ^ hb) <= {radius}")
+    keys = block_keys("simhash") if radius is not None else F.concat(block_keys("simhash"), F.col("bands"))
+    keyed = nodes.select(F.explode(keys).alias("key"), F.col("node").alias("a"),
                          F.col("simhash").alias("ha"), F.col("chars").alias("ca"), F.col("n").alias("na"))
     full = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     crowded = written(keyed.join(full, "key"), "crowded")
@@ -212,30 +267,34 @@ def similar_lines(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, radius: int | None = BITS) -> DataFrame:
     """(row, lines): numbers of the lines of each document (row, doc, text) that go."""
-    held = written(occurrences(docs), "occurrences")
+    held = written(occurrences(docs, radius is None), "occurrences")
     nodes = written(held.groupBy("node").agg(
         F.min(F.struct(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), "row", "line")).alias("first"), F.count("*").alias("n"),
-        F.min("simhash").alias("simhash"), F.min("chars").alias("chars")), "line-nodes")
-    links = written(similar_lines(nodes.select("node", "first.row", "first.line", "simhash", "chars", "n"), docs), "line-links")
+        F.min("simhash").alias("simhash"), F.min("chars").alias("chars"), F.min("bands").alias("bands")), "line-nodes")
+    links = written(similar_lines(nodes.select("node", "first.row", "first.line", "simhash", "chars", "bands", "n"), docs, radius), "line-links")
     groups = components(links)
     joined = nodes.join(groups, "node")
     best = joined.groupBy("component").agg(F.min("first").alias("best"))
     linked = joined.select("node", "component").join(best, "component").select("node", "best")
     alone = nodes.where("n > 1").join(groups, "node", "left_anti").select("node", F.col("first").alias("best"))
     stays = linked.unionByName(alone)
-    gone = held.join(stays, "node").where("NOT (row = best.row AND line = best.line)")
+    gone = held.drop("bands").join(stays, "node").where("NOT (row = best.row AND line = best.line)")
     out = written(gone.groupBy("row").agg(F.collect_set("line").alias("lines")), "gone-lines")  # lines of one document
     for table in (held, nodes):
         discard(table)
     return out
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and how many: ``lines`` and ``dropped`` (long). Runs jobs."""
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int | None = BITS) -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``, and how many: ``lines`` and ``dropped`` (long). Runs jobs.
+
+    ``radius`` None compares all lines that meet; a number only those whose
+    SimHashes differ in at most so many bits (5 blocks: 3 at most).
+    """
     slim = docs.select(row_key(doc_id, text).alias("row"), F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
-    gone = duplicate_lines(slim)
+    gone = duplicate_lines(slim, radius)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name not in ("lines", "dropped")),
                            T.StructField("lines", T.LongType()), T.StructField("dropped", T.LongType())])
     stay = schema.names[:-2]

@@ -167,6 +167,23 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_finds_lines_of_edit_similarity(spark):
+    rng = random.Random(12)
+    groups = []
+    for n in (8, 12, 20, 27, 40, 60) * 12:
+        base = prose(n, rng).split()
+        edited = list(base)
+        for i in rng.sample(range(n), max(1, n // 10)):
+            edited[i] = edited[i][:2] + "q" if rng.random() < 0.5 else edited[i][:-1] + "zz"
+        groups.append((" ".join(base), " ".join(edited)))
+    # No other two of these lines are alike; the edited words are changed by less than a fifth of their line.
+    df = docs_of(spark, ["\n".join(a for a, _ in groups), "\n".join(b for _, b in groups)])
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, radius=None).collect()}
+    assert got[0].dropped == 0 and got[1].dropped >= 0.97 * len(groups)
+    assert line_dedup.dedup_lines(df, radius=3).where("doc_id = 1").first().dropped < 0.5 * len(groups)
+    assert line_dedup.dedup_lines(df.limit(0), radius=None).count() == 0
+
+
 def test_decontamination_finds_copies_and_edits(spark):
     rng = random.Random(6)
     items = [prose(40, rng) for _ in range(5)] + ["too short", None, ""]
