@@ -12,7 +12,9 @@ nodes, and of all occurrences of a connected group the first by document id, the
 by line number stays. Bands are drawn by hash: a pair may be missed, and the README
 gives the share that is found.
 
-Lines of fewer than MIN_WORDS words (blank ones too) take no part and stay. A
+Lines without words (blank ones, and those of punctuation only) take no part and
+stay. All others can equal another; lines of fewer than FUZZY_CHARS characters,
+which one edit takes below the edit similarity, are no more than that. A
 document whose every line goes has the empty text and ``dropped = lines``. Null
 text stays null. Documents without an id come last in the order. Rows that are
 equal in id and text count as one document: they keep the same lines. Other
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from pooltide.llm.tables import components, discard, written
 
-MIN_WORDS, BITS, SIMILARITY = 3, 3, 0.8
+MIN_WORDS, FUZZY_CHARS, BITS, SIMILARITY = 1, 5, 3, 0.8
 #: Bands of a line, minima in each, and the letters of an n-gram: the short ones for lines of at most SHORT
 #: characters, the long ones from SIMILARITY * SHORT on, so that lines of similar length have a kind in common.
 BANDS, MINIMA, SHORT, GRAM_SHORT, GRAM_LONG = 40, 3, 40, 3, 6
@@ -221,7 +223,7 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = BITS)
     """
     near = f"least(ca, cb) >= {SIMILARITY}D * greatest(ca, cb)" + ("" if radius is None else f" AND bit_count(ha ^ hb) <= {radius}")
     keys = block_keys("simhash") if radius is not None else F.concat(block_keys("simhash"), F.col("bands"))
-    keyed = nodes.select(F.explode(keys).alias("key"), F.col("node").alias("a"),
+    keyed = nodes.where(F.col("chars") >= FUZZY_CHARS).select(F.explode(keys).alias("key"), F.col("node").alias("a"),
                          F.col("simhash").alias("ha"), F.col("chars").alias("ca"), F.col("n").alias("na"))
     full = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     crowded = written(keyed.join(full, "key"), "crowded")

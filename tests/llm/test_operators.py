@@ -184,6 +184,14 @@ def test_line_dedup_finds_lines_of_edit_similarity(spark):
     assert line_dedup.dedup_lines(df.limit(0), radius=None).count() == 0
 
 
+def test_line_dedup_takes_short_lines_and_lines_without_spaces(spark):
+    said = "日本語の文章には空白がないので一行が一語になる"
+    texts = [f"Home\nle treque\n{said}\n\n--", f"home!\nLe  treque\n{said}\n\n--", "ab\nac", f"{said[:-1]}た\nab"]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, texts), radius=None).collect()}
+    assert [got[i].text for i in range(4)] == [texts[0], "\n--", "ab\nac", ""]
+    assert [got[i].dropped for i in range(4)] == [0, 3, 0, 2]
+
+
 def test_decontamination_finds_copies_and_edits(spark):
     rng = random.Random(6)
     items = [prose(40, rng) for _ in range(5)] + ["too short", None, ""]
