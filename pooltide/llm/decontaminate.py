@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Words are lower case, ASCII punctuation counts as space. Every run of 4 words of
 a test item is a seed. One scan of the documents finds the places where a seed may
 stand (a filter of fixed size over all seeds), and cuts a passage around places
-that lie close together, with room for the longest item on both sides. How many
-passages hold a seed tells how rare it is: an item keeps the seeds that stand in at
-most 1 of 1000 documents or in at most twice as many passages as its median seed,
-so at least half of its seeds. Passages and items that share a kept seed are
-aligned word by word (match 2, mismatch and gap -1); similarity is the score as a
-share of the item's own.
+that lie close together, with room for the longest item on both sides. Passages
+and items that share a seed, however common it is, are aligned word by word (match
+2, mismatch and gap -1); similarity is the score as a share of the item's own.
+Passages of the same words, and items of the same words, are aligned once, and all
+their copies get the result. A pair in which too few of the item's words stand in
+the passage to reach the similarity is not aligned.
 
 Items of fewer than 4 words carry too little to be told from chance and take no
 part; nor do null and empty texts. Repeated items or documents are compared each,
@@ -29,7 +29,7 @@ from pooltide.llm.line_dedup import _PUNCTUATION, row_key
 from pooltide.llm.near_dup import WordHashes
 from pooltide.llm.tables import written
 
-SEED_WORDS, RARE_SHARE, RARE_FACTOR, SIMILARITY = 4, 0.001, 2, 0.5
+SEED_WORDS, SIMILARITY = 4, 0.5
 MATCH, MISS, GAP = 2, -1, 1
 #: Bits of the filter over all seeds (1 MB, however many seeds there are); cells of one block of alignments.
 FILTER_BITS, CELLS = 1 << 23, 1 << 20
@@ -74,12 +74,14 @@ def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def passages(docs: DataFrame, doc_id: str, text: str, bits: np.ndarray, longest: int) -> DataFrame:
-    """(doc_id, row, start, words, seeds): stretches of documents around places where a seed may stand."""
+    """(doc_id, row, start, words, seeds, said): stretches of documents around places where a seed may stand; ``said`` is a digest of all words."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)  # FILTER_BITS bits
     room = longest + longest // 4 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         hashes, known = WordHashes(), shared.value
         for batch in batches:
             at, starts, words, seeds = [], [], [], []
@@ -98,12 +100,13 @@ def passages(docs: DataFrame, doc_id: str, text: str, bits: np.ndarray, longest:
                     seeds.append(np.unique(run_values[part]))
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int64()), _lists(words), _lists(seeds)],
-                ["doc_id", "row", "start", "words", "seeds"])
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int64()), _lists(words), _lists(seeds),
+                 pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in words], pa.binary())],
+                ["doc_id", "row", "start", "words", "seeds", "said"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id), row_key(doc_id, text), F.col(text).cast("string")).mapInArrow(
-        run, f"doc_id {kind}, row bigint, start bigint, words array<bigint>, seeds array<bigint>")
+        run, f"doc_id {kind}, row bigint, start bigint, words array<bigint>, seeds array<bigint>, said binary")
 
 
 def align(items: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,32 +159,32 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     longest = known.agg(F.max(F.size("words"))).collect()[0][0] or 0
     cut = written(passages(docs, doc_id, text, bits, longest), "passages")
 
-    found = cut.select("row", "start", F.explode("seeds").alias("seed"))
-    counts = found.groupBy("seed").agg(F.count("*").alias("df"))
-    usual = F.greatest(F.lit(RARE_SHARE * docs.count()), RARE_FACTOR * F.col("usual"))
-    seen = seeds.join(counts, "seed")
-    rare = seen.join(seen.groupBy("item_id").agg(F.median("df").alias("usual")), "item_id").where(F.col("df") <= usual).select("item_id", "seed")
-    pairs = found.join(rare, "seed").select("row", "start", "item_id").distinct()
-    both = (pairs.join(cut.drop("seeds"), ["row", "start"])
-            .join(known.select("item_id", F.col("words").alias("item")), "item_id")
-            .select("doc_id", "row", "start", "item_id", "words", "item"))
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+    # One passage, and one item, for all of the same words.
+    texts = cut.groupBy("said").agg(F.min_by(F.struct("words", "seeds"), F.struct("row", "start")).alias("of")).select("said", "of.*")
+    asked = known.groupBy("words").agg(F.first("seeds").alias("seeds")).select(F.xxhash64("words").alias("ask"), F.col("words").alias("item"), "seeds")
+    pairs = (texts.select("said", F.explode("seeds").alias("seed")).join(asked.select("ask", F.explode("seeds").alias("seed")), "seed")
+             .select("said", "ask").distinct())
+    both = pairs.join(texts.drop("seeds"), "said").join(asked.drop("seeds"), "ask").select("said", "words", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 batch = whole.slice(s, 256)
-                part, item = ([np.asarray(v.values, np.int64) for v in batch.column(c)] for c in (4, 5))
+                part, item = ([np.asarray(v.values, np.int64) for v in batch.column(c)] for c in (1, 2))
+                # Only words of the item that stand in the passage can match, each once.
+                may = [k for k, (p, q) in enumerate(zip(part, item)) if np.isin(q, p).sum() >= similarity * len(q)]
+                part, item, batch = [part[k] for k in may], [item[k] for k in may], batch.take(pa.array(may, pa.int64()))
                 score, end = align(item, part)
                 share = score / (MATCH * np.fromiter(map(len, item), np.int64, len(item)))
-                start = batch.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(3), pa.array(score, pa.int64()), pa.array(share, pa.float64()),
-                     pa.array(start, pa.int64()), pa.array(start + end, pa.int64())],
-                    ["doc_id", "row", "item_id", "score", "similarity", "start_word", "end_word"])
-
-    scored = both.mapInArrow(run, f"doc_id {kinds['doc_id']}, row bigint, item_id {kinds['item_id']}, score bigint, "
-                                  "similarity double, start_word bigint, end_word bigint").where(F.col("similarity") >= similarity)
+                    [batch.column(0), batch.column(2), pa.array(score, pa.int64()), pa.array(share, pa.float64()), pa.array(end, pa.int64())],
+                    ["said", "item", "score", "similarity", "end"])
+
+    scored = both.mapInArrow(run, "said binary, item array<bigint>, score bigint, similarity double, end bigint").where(
+        F.col("similarity") >= similarity)
+    scored = (scored.join(cut.select("doc_id", "row", "start", "said"), "said")
+              .join(known.select("item_id", F.col("words").alias("item")), "item")
+              .select("doc_id", "row", "item_id", "score", "similarity", F.col("start").alias("start_word"), (F.col("start") + F.col("end")).alias("end_word")))
     best = F.max(F.struct("score", "similarity", -F.col("start_word"), "end_word")).alias("best")
     return scored.groupBy("doc_id", "row", "item_id").agg(best).select(
         "doc_id", "row", "item_id", "best.score", "best.similarity", (-F.col("best.col3")).alias("start_word"), "best.end_word")

@@ -209,6 +209,18 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(docs_of(spark, texts), bench).collect()} == {0, 1, 2, 5}
 
 
+def test_decontamination_finds_large_groups_of_edited_copies(spark):
+    rng = random.Random(16)
+    words = prose(36, rng).split()
+    edited = [f"zz{i}" if i % 5 == 4 else w for i, w in enumerate(words)]
+    own = [" ".join(edited) + " " + prose(3, rng) for _ in range(30)]
+    texts = [" ".join(words)] + [" ".join(edited)] * 30 + own + [prose(20, rng) for _ in range(5)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words).upper())], "item_id bigint, text string")
+    got = decontaminate.contaminated(docs_of(spark, texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, k) for i in range(61) for k in (1, 2)]
+    assert {round(r.similarity, 2) for r in got if r.doc_id} == {0.71}
+
+
 def test_alignment_equals_dynamic_programming():
     rng = np.random.default_rng(2)
     pairs = [(rng.integers(10, 16, rng.integers(4, 12)), rng.integers(10, 16, rng.integers(1, 30))) for _ in range(60)]
