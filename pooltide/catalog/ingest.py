@@ -408,8 +408,7 @@ def odds_filled_exact(spark, sf):
     legs = _leagued(spark, sf)
     feed = T.first_per_key(legs.where("odds_1 > 0").selectExpr("coupon_id * 32 + position AS event_no", "home", "away", "odds_1", "odds_n", "odds_2"),
                            ["home", "away"], ["event_no"])
-    known = legs.join(feed.select("home", "away"), ["home", "away"], "left_semi")
-    return Z.fill_missing_odds(known, feed).select("coupon_id", "position", "odds_1", "odds_n", "odds_2", "odds_source")
+    return Z.fill_missing_odds(legs, feed).select("coupon_id", "position", "odds_1", "odds_n", "odds_2", "odds_source")
 
 
 @register("assembled_metrics", f"""WITH {LEGS}, {VIEW}, {GRID_METRICS} SELECT coupon_id AS page_id, moyenne_cote_fav, inv_spread_sum, nb_matchs_serres FROM grid_metrics""",

@@ -227,3 +227,13 @@ def test_fuzzy_match_equals_brute_force(spark):
             assert got[i] == (2.0 + at, pytest.approx(best)), (a, b)
         else:
             assert got[i] == (0.0, None)
+
+
+def test_odds_filled_exact_keeps_legs_without_an_event(spark, monkeypatch):
+    from pooltide.catalog import ingest
+
+    rows = [(1, 1, "Lyon", "Nantes", 2.0, 3.0, 4.0), (1, 2, "Lyon", "Nantes", 0.0, 0.0, 0.0), (1, 3, "Qwxzk", "Jjvvb", 0.0, 0.0, 0.0)]
+    legs = spark.createDataFrame(rows, "coupon_id bigint, position int, home string, away string, odds_1 double, odds_n double, odds_2 double")
+    monkeypatch.setattr(ingest, "_leagued", lambda spark, sf: legs)
+    got = [tuple(r) for r in ingest.odds_filled_exact(spark, "").orderBy("position").collect()]
+    assert got == [(1, 1, 2.0, 3.0, 4.0, "own"), (1, 2, 2.0, 3.0, 4.0, "events"), (1, 3, 0.0, 0.0, 0.0, "own")]
