@@ -1,8 +1,9 @@
 """Language identification by fusing evidence: text, declared markup language, address suffix and host.
 
 Text. Letter trigrams (lower case, everything else one space) are hashed into
-buckets; each language has smoothed log likelihoods fitted on at most
-PER_LANGUAGE labelled texts (those whose id hashes lowest). Trigrams of a text are
+buckets; every labelled language, however rare, has smoothed log likelihoods fitted
+on at most PER_LANGUAGE of its texts (those whose id hashes lowest). Only buckets
+that a language has are stored. Trigrams of a text are
 not independent, so its evidence is the mean log likelihood times a bounded number
 of trigrams. ``und`` (no known language) is the flat distribution over buckets.
 
@@ -35,7 +36,9 @@ from pyspark.sql import types as T
 
 from pooltide.llm.tables import written
 
-BUCKETS, PER_LANGUAGE, MAX_LANGUAGES, MIN_LABELS = 1 << 15, 300, 64, 3
+BUCKETS, PER_LANGUAGE = 1 << 15, 300
+#: Stored (bucket, language) entries of a model at most, 8 bytes each; more is an error, never a smaller model.
+MAX_ENTRIES = 1 << 26
 #: Trigrams that count as independent evidence at most; weight of the prior above in counts.
 TRIGRAMS, SMOOTH = 40, 5.0
 UNKNOWN = "und"
@@ -54,25 +57,33 @@ def trigrams(text: str | None) -> np.ndarray:
 class TextModel:
     """Log likelihoods of buckets by language; the last language is ``und``."""
 
-    def __init__(self, counts: dict[str, np.ndarray]) -> None:
-        self.languages = [*sorted(counts), UNKNOWN]
-        rows = [np.log((counts[k] + 0.1) / (counts[k].sum() + 0.1 * BUCKETS)) for k in self.languages[:-1]]
-        self.table = np.ascontiguousarray(np.array([*rows, np.full(BUCKETS, -math.log(BUCKETS))], np.float32).T)
+    def __init__(self, languages: list[str], of: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> None:
+        """From counts ``n`` of buckets in the languages numbered ``of``."""
+        self.languages = [*languages, UNKNOWN]
+        sums = np.bincount(of, weights=n, minlength=len(languages))
+        #: A bucket that a language lacks has ``base``; those it has add ``more``, ordered by bucket.
+        self.base = np.append(np.log(0.1 / (sums + 0.1 * BUCKETS)), -math.log(BUCKETS))
+        order = np.argsort(bucket, kind="stable")
+        self.first = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        self.of, self.more = of[order].astype(np.int32), np.log((n[order] + 0.1) / 0.1).astype(np.float32)
 
     def evidence(self, text: str | None) -> np.ndarray:
         at = trigrams(text)
         if not len(at):
             return np.zeros(len(self.languages))
-        mean = (np.bincount(at, minlength=BUCKETS).astype(np.float32) @ self.table if len(at) > BUCKETS else self.table[at].sum(axis=0)) / len(at)
-        return mean.astype(np.float64) * min(len(at), TRIGRAMS)
+        times = np.bincount(at, minlength=BUCKETS)
+        seen = np.flatnonzero(times)
+        sizes = self.first[seen + 1] - self.first[seen]
+        entry = np.arange(sizes.sum()) + np.repeat(self.first[seen] - np.cumsum(sizes) + sizes, sizes)
+        more = np.bincount(self.of[entry], weights=self.more[entry] * np.repeat(times[seen], sizes), minlength=len(self.languages))
+        return (self.base + more / len(at)) * min(len(at), TRIGRAMS)
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id") -> TextModel:
-    """Fit on rows with a text and a language: the MAX_LANGUAGES commonest, PER_LANGUAGE rows of each."""
+    """Fit on rows with a text and a language: every language, PER_LANGUAGE rows of each."""
     rows = labelled.select(F.col(language).alias("language"), F.col(text).cast("string").alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h")).where(
         f"language IS NOT NULL AND language <> '{UNKNOWN}' AND t IS NOT NULL")
-    common = rows.groupBy("language").count().where(F.col("count") >= MIN_LABELS).orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES)
-    ranked = rows.join(F.broadcast(common), "language").withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy("h")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -84,15 +95,20 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
                 own += np.minimum(np.bincount(at, minlength=BUCKETS), 20)
         for language, own in total.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(at)), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())],
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())],
                                              ["language", "bucket", "n"])
 
     sample = ranked.where(F.col("rank") <= PER_LANGUAGE).select("language", "t")
     found = sample.mapInArrow(run, "language string, bucket bigint, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
-    counts: dict[str, np.ndarray] = {}
-    for r in found.collect():  # at most MAX_LANGUAGES * BUCKETS
-        counts.setdefault(r["language"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
-    return TextModel(counts)
+    counts = written(found, "trigrams")
+    entries = counts.count()
+    if entries > MAX_ENTRIES:
+        raise ValueError(f"{entries} trigram counts of all languages are more than {MAX_ENTRIES}; lower PER_LANGUAGE")
+    # In order, so that sums of floats repeat.
+    table = counts.toArrow().sort_by([("language", "ascending"), ("bucket", "ascending")])  # MAX_ENTRIES at most
+    of = table.column("language").combine_chunks().dictionary_encode()
+    return TextModel(of.dictionary.to_pylist(), of.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+                     table.column("bucket").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.float64))
 
 
 def page_text(html: Column) -> Column:
@@ -168,9 +184,13 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
 
 
 def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
-    """``docs`` without the rows whose language is rejected; all columns stay. The text model is fitted on ``declared``."""
+    """``docs`` without the rows whose language is rejected; all columns stay. The text model is fitted on ``declared``.
+
+    A language of which no text has letters has no model; rows that declare one stay.
+    """
     key = F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string"), F.col(declared).cast("string"), F.col(host).cast("string"))
     model = fit(docs, text, declared, doc_id)
     slim = docs.select(key.alias("__row"), text, declared, host)
-    bad = identify(slim, model, text, declared, host).where("NOT accepted").select("__row").distinct()
+    bad = identify(slim, model, text, declared, host).where(
+        ~F.col("accepted") & F.coalesce(F.col(declared).isin(model.languages), F.lit(True))).select("__row").distinct()
     return docs.withColumn("__row", key).join(bad, "__row", "left_anti").drop("__row")

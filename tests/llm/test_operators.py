@@ -301,6 +301,23 @@ def test_language_fuses_evidence(spark):
 
 
 
+def test_every_labelled_language_has_a_model(spark):
+    rows = []
+    for k in range(70):
+        rng = random.Random(1000 + k)
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(30)]
+        for _ in range(1 if k >= 66 else 2 if k >= 64 else 4):
+            rows.append((len(rows), " ".join(rng.choice(own) for _ in range(80)), f"l{k:02}", "h.example.org", 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.fit(docs)
+    assert model.languages == [f"l{k:02}" for k in range(70)] + [language.UNKNOWN]
+    got = language.identify(docs.select("doc_id", "text", F.col("lang").alias("label")), model).collect()
+    assert all(r.language == r.label and r.accepted for r in got) and len(got) == len(rows)
+    digits = spark.createDataFrame([(-1, "12 34", "zz", None, 5)], DOCS)
+    assert language.keep_known(docs.union(digits)).count() == len(rows) + 1
+    assert language.fit(docs.limit(0)).languages == [language.UNKNOWN]
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
