@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pooltide.llm import ann, bpe, chat, decontaminate, language, line_dedup, near_dup, quality, token_counts, token_store
+from pooltide.llm import (ann, bpe, chat, decontaminate, importance, language, lexical, line_dedup, near_dup, pieces, quality,
+                          token_counts, token_store)
 from pooltide.operators.staging import staging_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +137,88 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(both, language.fit(docs), "text", "declared", "host")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), postings AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+norms AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM lengths, corpus),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, corpus GROUP BY term, docs
+), asked AS (
+  SELECT item_id, term, count(*) AS repeats FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return importance.resample(spark, docs, target, buckets=10000, max_words=1, percent=10, min_words=20, seed=2024).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i, i AS v, 0 AS k FROM range(256) AS r(i)
+  UNION ALL SELECT i, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM steps WHERE k < 8
+), crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+features AS (
+  SELECT 'doc' AS kind, doc_id AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL SELECT 'item', item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), held AS MATERIALIZED (SELECT kind, id, w, count(*) AS n FROM features GROUP BY ALL),
+spelled AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM held)),
+hashed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(h), 2), lambda i: CAST(
+    (instr('0123456789ABCDEF', h[i]) - 1) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 1 AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM spelled, crc
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'doc'), 0) AS s, coalesce(sum(n) FILTER (kind = 'item'), 0) AS t
+  FROM held JOIN hashed USING (w) GROUP BY bucket
+), totals AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(big_s + 10000 AS DOUBLE)
+    / (CAST(s + 1 AS DOUBLE) * CAST(big_t + 10000 AS DOUBLE)))) AS gain FROM counts, totals
+), sums AS (
+  SELECT id AS doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+  FROM held JOIN hashed USING (w) JOIN gains USING (bucket) WHERE kind = 'doc' GROUP BY id
+), noise AS (
+  SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 9), lambda i: CAST(
+    instr('0123456789abcdef', sha256('2024:' || doc_id)[i]) - 1 AS BIGINT))), lambda a, d: a * 16 + d) AS h FROM documents
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM noise LEFT JOIN sums USING (doc_id)
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS fit FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (10 * fit) // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = pieces.decode(pieces.encode(docs).drop("text"))
+    return back.select("doc_id", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -147,5 +230,8 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_lexical": op11_lexical,
+    "op12_importance": op12_importance,
+    "op13_pieces": op13_pieces,
 }
-ORACLE: dict[str, str] = {"op7_near_dup": OP7_SQL, "op10_chat": OP10_SQL}
+ORACLE: dict[str, str] = {"op7_near_dup": OP7_SQL, "op10_chat": OP10_SQL, "op11_lexical": OP11_SQL, "op12_importance": OP12_SQL}
