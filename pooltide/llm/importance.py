@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pooltide.llm.tables import discard, written
-from pooltide.operators.ordered import dense_sequence
 
 #: Bytes of a feature that the position table covers; also the size of a folded block.
 BLOCK = 64
@@ -248,10 +247,18 @@ def draw(scored: DataFrame, percent: int = 10, min_words: int = 20) -> DataFrame
     if low is None:
         return scored.withColumn("rank", none)
     near = fit & (step >= low)
-    numbered = dense_sequence(scored.where(near).withColumn("_none", F.col("doc_id").isNull()), [],
-                              f"-floor(score / {STEP})", "-score", ["_none", "doc_id"], "rank").drop("_none")
-    return numbered.withColumn("rank", F.when(F.col("rank") <= wanted, F.col("rank"))).unionByName(
-        scored.where(~near).withColumn("rank", none))
+    drawn = scored.where(near)
+    each = drawn.groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("step", step)
+    before = Window.partitionBy("step").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = each.groupBy("step").agg(F.sum("n").alias("n")).select("step", F.coalesce(
+        F.sum("n").over(Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("outer"))
+    # Written, so that rows are dealt by score and not by step.
+    starts = written(each.withColumn("inner", F.coalesce(F.sum("n").over(before), F.lit(0))).join(outer, "step").select(
+        "score", (F.col("inner") + F.col("outer")).alias("start")), "score-starts")
+    place = F.row_number().over(Window.partitionBy("score").orderBy(F.col("doc_id").asc_nulls_last())) + F.col("start")
+    numbered = drawn.join(starts, "score").withColumn("rank", place).select(
+        *scored.columns, F.when(F.col("rank") <= wanted, F.col("rank")).alias("rank"))
+    return numbered.unionByName(scored.where(~near).withColumn("rank", none))
 
 
 def resample(spark: SparkSession, docs: DataFrame, target: DataFrame, buckets: int = 10000, max_words: int = 1,
