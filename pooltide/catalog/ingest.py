@@ -142,6 +142,11 @@ def distribution_page_headers(spark, sf):
     return P.distribution_headers(elements_of(distribution_pages)(spark, sf))
 
 
+def _in_cents(headers):
+    """Amounts that pages show, cut to whole cents."""
+    return with_exprs(headers, {c: f"floor({c} * 100) / 100" for c in ("top_amount", "near_amount")})
+
+
 def result_page_html(spark, sf):
     row = """concat('<tr><td>', l.position, '</td><td>', l.home, ' - ', l.away, '</td><td><span class="res">', l.result, '</span></td></tr>')"""
     people = "replace(format_number({}, 0), ',', ' ')"
@@ -151,7 +156,7 @@ def result_page_html(spark, sf):
     plain = ("concat('<table><tr><th>Rapport des gagnants</th></tr>', "
              "'<tr><td>', n, ' sur ', n, '</td><td>', {p1}, '</td><td>', {c1}, '</td></tr><tr><td>', n - 1, ' sur ', n, '</td><td>', {p2}, '</td><td>', {c2}, '</td></tr></table>')")
     args = {"p1": people.format("top_winners"), "c1": cash.format("top_amount"), "p2": people.format("near_winners"), "c2": cash.format("near_amount")}
-    return _packed(spark, sf).join(A.headers(spark, sf), "coupon_id").selectExpr("coupon_id AS page_id", "n", f"""concat(
+    return _packed(spark, sf).join(_in_cents(A.headers(spark, sf)), "coupon_id").selectExpr("coupon_id AS page_id", "n", f"""concat(
       '<html><body><table class="hist">', array_join(transform(legs, l -> {row}), ''), '</table>',
       IF(n % 2 = 0, {block.format(**args)}, {plain.format(**args)}),
       '<table class="rapports"><tr><td>Somme</td><td>', n, '</td></tr></table></body></html>') AS html""")
@@ -163,8 +168,8 @@ def result_page_results(spark, sf):
 
 
 @register("result_page_payouts", f"""WITH {COUPONS}
-SELECT coupon_id AS page_id, n_legs || '_sur_' || n_legs AS rank_key, top_winners AS winners, round(top_amount, 2) AS amount FROM coupons
-UNION ALL SELECT coupon_id, (n_legs - 1) || '_sur_' || n_legs, near_winners, round(near_amount, 2) FROM coupons""", doubles="amount", digits=1)
+SELECT coupon_id AS page_id, n_legs || '_sur_' || n_legs AS rank_key, top_winners AS winners, floor(top_amount * 100) / 100 AS amount FROM coupons
+UNION ALL SELECT coupon_id, (n_legs - 1) || '_sur_' || n_legs, near_winners, floor(near_amount * 100) / 100 FROM coupons""", doubles="amount")
 def result_page_payouts(spark, sf):
     pages = result_page_html(spark, sf)
     return P.payout_rows(elements_of(result_page_html)(spark, sf), pages.selectExpr("page_id", "n AS n_legs"))
@@ -215,7 +220,7 @@ def profile_pages(spark, sf):
     # A type has (n+1)(n+2)/2 profiles.
     return rows.groupBy("page_id").agg(F.expr(f"array_join(transform(array_sort(collect_list(r)), r -> {row}), '')").alias("rows")).selectExpr(
         "bigint(page_id) AS page_id", """concat('<table class="stat_1n2"><tr><th colspan="4">Combinaisons 1N2</th></tr><tr><th>1</th></tr>', rows,
-        '</table><table class="stat_1n2"><tr><th>Signes 1</th></tr><tr><td>99</td><td>0</td><td>0</td><td>1 fois</td></tr></table>') AS html""")
+        '</table><table class="stat_1n2 autre"><tr><th colspan="4">Tirages par saison</th></tr><tr><td>3</td><td>2</td><td>2</td><td>', page_id, ' fois</td></tr></table>') AS html""")
 
 
 @register("profile_page_counts", f"WITH {COUPONS}, {SYMBOLS} SELECT CAST(n_legs AS BIGINT) AS page_id, profile, count(*) AS n FROM coupons JOIN (SELECT coupon_id, profile FROM stats) USING (coupon_id) GROUP BY ALL")
@@ -227,7 +232,7 @@ def official_pages(spark, sf):
     mark = "CASE l.result WHEN '1' THEN 'one' WHEN 'N' THEN 'n' ELSE 'two' END"
     item = f"""concat('<div class="grid-item"><span class="grid-item-team">', l.home, '</span><span class="grid-item-team">', l.away, '</span>',
       '<label class="grid-item-label"><input type="radio" formcontrolname="x"/></label><label class="grid-item-label"><input type="radio" formcontrolname="', {mark}, '"', IF(n % 2 = 0, ' checked', ''), '/></label></div>')"""
-    return _packed(spark, sf).join(A.headers(spark, sf), "coupon_id").selectExpr("coupon_id AS page_id", f"""concat(
+    return _packed(spark, sf).join(_in_cents(A.headers(spark, sf)), "coupon_id").selectExpr("coupon_id AS page_id", f"""concat(
       '<h1 class="lotofoot-grid__title">Résultat N°', coupon_id, '</h1><span class="lotofoot-grid__date">fin de valid. ', date_format(date, 'dd/MM'), ' 17h55</span>',
       array_join(transform(legs, l -> {item}), ''),
       IF(n % 2 = 0, concat('<table class="lotosport-ranking-table"><tr><th>Gagnants</th></tr><tr><td>', replace(format_number(near_winners * 1000, 0), ',', ' '),
@@ -237,12 +242,12 @@ def official_pages(spark, sf):
 @register("official_page_coupons", f"""WITH {FIXTURES}, {HEADERS}, packed AS (
   SELECT coupon_id, count(*) AS n, string_agg(home || '/' || away || CASE WHEN c % 2 = 0 THEN '/' || result ELSE '' END, ';' ORDER BY position) AS legs
   FROM (SELECT *, count(*) OVER (PARTITION BY coupon_id) AS c FROM fixtures) GROUP BY coupon_id)
-SELECT coupon_id AS page_id, coupon_id AS grid_number, strftime(date, '%m-%d') AS month_day, legs,
-  CASE WHEN n % 2 = 0 THEN near_winners * 1000 END AS top_winners, CASE WHEN n % 2 = 0 THEN round(top_amount, 2) END AS top_amount, n % 2 <> 0 AS upcoming
-FROM packed JOIN headers USING (coupon_id)""", doubles="top_amount", digits=1)
+SELECT coupon_id AS page_id, coupon_id AS grid_number, make_date(2000, month(date), day(date)) AS date, legs,
+  CASE WHEN n % 2 = 0 THEN near_winners * 1000 END AS top_winners, CASE WHEN n % 2 = 0 THEN floor(top_amount * 100) / 100 END AS top_amount, n % 2 <> 0 AS upcoming
+FROM packed JOIN headers USING (coupon_id)""", doubles="top_amount")
 def official_page_coupons(spark, sf):
     return P.official_coupons(P.page_elements(official_pages(spark, sf)), 2000).selectExpr(
-        "page_id", "grid_number", "date_format(date, 'MM-dd') AS month_day",
+        "page_id", "grid_number", "date",
         "array_join(transform(legs, l -> concat_ws('/', l.home, l.away, l.result)), ';') AS legs",
         "top_winners", "top_amount", f"{T.is_upcoming()} AS upcoming")
 
@@ -397,25 +402,45 @@ def odds_filled_from_events(spark, sf):
     return Z.fill_missing_odds(_leagued(spark, sf), event_feed(spark, sf))
 
 
-# With the feed spelled like the fixtures, the best event is the first of the same two names.
-@register("odds_filled_exact", f"""WITH {FIXTURES}, priced AS (
-  SELECT home, league AS away, odds_1, odds_n, odds_2 FROM fixtures WHERE odds_1 > 0
-  QUALIFY row_number() OVER (PARTITION BY home, league ORDER BY coupon_id, position) = 1)
-SELECT f.coupon_id, f.position, CASE WHEN f.odds_1 > 0 THEN f.odds_1 ELSE p.odds_1 END AS odds_1, CASE WHEN f.odds_1 > 0 THEN f.odds_n ELSE p.odds_n END AS odds_n,
-  CASE WHEN f.odds_1 > 0 THEN f.odds_2 ELSE p.odds_2 END AS odds_2, CASE WHEN f.odds_1 > 0 THEN 'own' ELSE 'events' END AS odds_source
-FROM fixtures f JOIN priced p ON p.home = f.home AND p.away = f.league""", doubles="odds_1 odds_n odds_2")
+# With the feed spelled like the fixtures, the best event is the first of the same two names. Home names of
+# every seventh place are in an alphabet of their own, which no event shares: the away name alone gives a mean of 0.5.
+_ALPHABET = "translate({}, 'abcdefghijklmnopqrstuvwxyz ', 'αβγδεζηθικλμνξοπρστυφχψωϊϋό')"
+_HOME = f"CASE WHEN position % 7 = 0 THEN {_ALPHABET.format('home')} ELSE home END AS home"
+
+
+@register("odds_filled_exact", f"""WITH {FIXTURES}, spelled AS (SELECT coupon_id, position, odds_1, odds_n, odds_2, league AS away, {_HOME} FROM fixtures),
+priced AS (
+  SELECT home, away, odds_1, odds_n, odds_2 FROM spelled WHERE odds_1 > 0 AND position % 7 <> 0
+  QUALIFY row_number() OVER (PARTITION BY home, away ORDER BY coupon_id, position) = 1)
+SELECT f.coupon_id, f.position, CASE WHEN f.odds_1 > 0 OR p.home IS NULL THEN f.odds_1 ELSE p.odds_1 END AS odds_1,
+  CASE WHEN f.odds_1 > 0 OR p.home IS NULL THEN f.odds_n ELSE p.odds_n END AS odds_n,
+  CASE WHEN f.odds_1 > 0 OR p.home IS NULL THEN f.odds_2 ELSE p.odds_2 END AS odds_2,
+  CASE WHEN f.odds_1 > 0 OR p.home IS NULL THEN 'own' ELSE 'events' END AS odds_source
+FROM spelled f LEFT JOIN priced p USING (home, away)""", doubles="odds_1 odds_n odds_2")
 def odds_filled_exact(spark, sf):
-    legs = _leagued(spark, sf)
-    feed = T.first_per_key(legs.where("odds_1 > 0").selectExpr("coupon_id * 32 + position AS event_no", "home", "away", "odds_1", "odds_n", "odds_2"),
-                           ["home", "away"], ["event_no"])
+    legs = _leagued(spark, sf).selectExpr("coupon_id", "position", _HOME, "away", "odds_1", "odds_n", "odds_2")
+    feed = T.first_per_key(legs.where("odds_1 > 0 AND position % 7 <> 0").selectExpr(
+        "coupon_id * 32 + position AS event_no", "home", "away", "odds_1", "odds_n", "odds_2"), ["home", "away"], ["event_no"])
     return Z.fill_missing_odds(legs, feed).select("coupon_id", "position", "odds_1", "odds_n", "odds_2", "odds_source")
 
 
-@register("assembled_metrics", f"""WITH {LEGS}, {VIEW}, {GRID_METRICS} SELECT coupon_id AS page_id, moyenne_cote_fav, inv_spread_sum, nb_matchs_serres FROM grid_metrics""",
-          doubles="moyenne_cote_fav inv_spread_sum")
+# Every two teams have an event; its odds follow from their first fixture.
+_FEED = ("120 + {n} % 300", "280 + {n} % 90", "150 + {n} % 410")
+
+
+@register("assembled_metrics", f"""WITH {FIXTURES}, {HEADERS}, feed AS (
+  SELECT home, away, {", ".join(f"({x.format(n='(min(coupon_id * 32 + position))')}) / 100e0 AS e{k}" for k, x in zip("1n2", _FEED))} FROM fixtures GROUP BY home, away
+), filled AS (
+  SELECT f.* REPLACE ({", ".join(f"CASE WHEN odds_1 > 0 THEN odds_{k} ELSE e{k} END AS odds_{k}" for k in "1n2")}), odds_1 <= 0 AS gap
+  FROM fixtures f JOIN feed USING (home, away)
+), {VIEW.replace("FROM legs", "FROM filled")}, {GRID_METRICS}
+SELECT coupon_id AS page_id, h.difficulty, h.n_tips, m.* EXCLUDE (coupon_id), gaps FROM grid_metrics m JOIN headers h USING (coupon_id)
+JOIN (SELECT coupon_id, count(*) FILTER (gap) AS gaps FROM filled GROUP BY coupon_id) USING (coupon_id)""",
+          doubles="difficulty somme_cotes_fav moyenne_cote_fav mediane_cote_fav ecart_type_cotes std_cote_fav inv_spread_sum accord_cotes_joueurs coeff_variation_fav")
 def assembled_metrics(spark, sf):
-    """Page to metrics in one chain: cells, legs, results, coupon metrics."""
-    legs = P.assembled_legs(P.distribution_legs(elements_of(distribution_pages)(spark, sf)),
-                            P.result_pages(elements_of(result_page_html)(spark, sf)))
-    return C.grid_metrics(legs.withColumnRenamed("page_id", "coupon_id")).selectExpr(
-        "coupon_id AS page_id", "moyenne_cote_fav", "inv_spread_sum", "nb_matchs_serres")
+    """Page to metrics in one chain: cells, legs, results, odds for the gaps, coupon metrics, header."""
+    elements = elements_of(distribution_pages)(spark, sf)
+    legs = P.assembled_legs(P.distribution_legs(elements), P.result_pages(elements_of(result_page_html)(spark, sf)))
+    feed = A.fixtures(spark, sf).groupBy("home", "away").agg(F.expr("min(coupon_id * 32 + position)").alias("event_no")).selectExpr(
+        "event_no", "home", "away", *(f"({x.format(n='event_no')}) / 100.0D AS odds_{k}" for k, x in zip("1n2", _FEED)))
+    return P.assembled_coupons(legs, feed, P.distribution_headers(elements))

@@ -1,8 +1,11 @@
 """Reduced covering systems for many selections at once.
 
-A system is one row: the outcomes chosen per leg and the guarantees asked for.
-Spark spreads systems over tasks; inside a task a greedy set cover runs on one
-system's combinations, of which there are at most 5000.
+A system is one row: the outcomes chosen per leg and the guarantees asked for. A
+system of many combinations is split on its widest legs: all outcomes of those are
+played, and what is left is covered. Such a part meets the guarantees wherever the
+split legs stand, so the whole does, and all parts have the same cover. A cover
+depends only on how many outcomes each leg has, so every shape is solved once, by a
+greedy set cover in one task over at most ``PART_COMBINATIONS`` combinations.
 """
 
 from __future__ import annotations
@@ -16,10 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from pooltide.operators.legs import with_exprs
-from pooltide.operators.staging import spread
+from pooltide.operators.staging import spread, staged
 
-# Fixed value: largest number of combinations of one system.
-MAX_COMBINATIONS = 5000
+# Fixed value: combinations that are covered as a whole; larger systems are split until their parts have no more.
+PART_COMBINATIONS = 5000
+
+#: Stands in a chosen combination for a leg whose outcomes are all played.
+ALL = "*"
 
 # Legs of a system as a SQL array of outcome arrays, in combination order.
 COMBINATIONS = """aggregate(selections, array(''), (acc, options) ->
@@ -33,15 +39,15 @@ _ERRORS = f"""CASE
   WHEN guarantees IS NULL OR size(guarantees) = 0 THEN 'no guarantee'
   WHEN exists(guarantees, g -> g.radius < 0 OR g.radius >= size(selections)) THEN 'invalid radius'
   WHEN exists(guarantees, g -> g.coverage <= 0 OR g.coverage > 1) THEN 'invalid coverage'
-  WHEN n_combinations > {MAX_COMBINATIONS} THEN 'too many combinations' END"""
+  WHEN n_combinations IS NULL THEN 'too many combinations' END"""
 
 
 def combination_counts(systems: DataFrame) -> DataFrame:
-    """Doubles, triples and the number of combinations per system."""
+    """Doubles, triples and the number of combinations per system (null beyond 64 bits)."""
     return with_exprs(systems, {
         "n_doubles": "size(filter(selections, s -> size(s) = 2))",
         "n_triples": "size(filter(selections, s -> size(s) = 3))",
-        "n_combinations": "aggregate(selections, CAST(1 AS BIGINT), (acc, s) -> acc * size(s))",
+        "n_combinations": "aggregate(selections, CAST(1 AS BIGINT), (acc, s) -> try_multiply(acc, CAST(size(s) AS BIGINT)))",
     })
 
 
@@ -50,13 +56,15 @@ def validated(systems: DataFrame) -> DataFrame:
     return with_exprs(combination_counts(systems), {"error": _ERRORS})
 
 
-def _cover(selections: list[list[str]], guarantees: list[tuple[int, float]]) -> list[str]:
-    """Greedy cover: per tier, in ascending radius, take the combination that covers most of what is left."""
-    combos = ["".join(c) for c in product(*selections)]
-    total = len(combos)
+def _cover(sizes: list[int], guarantees: list[tuple[int, float]]) -> list[bytes]:
+    """Greedy cover of all choices of one of ``sizes[k]`` outcomes per leg, as bytes of outcome numbers.
+
+    Per tier, in ascending radius, take the combination that covers most of what is left.
+    """
+    codes = np.array(list(product(*map(range, sizes))), dtype=np.uint8)
+    total = len(codes)
     if total == 1:
-        return combos
-    codes = np.array([np.frombuffer(c.encode("ascii"), dtype=np.uint8) for c in combos])
+        return [codes[0].tobytes()]
     distance = np.zeros((total, total), dtype=np.uint8)
     for leg in range(codes.shape[1]):
         distance += codes[:, leg][:, None] != codes[:, leg][None, :]
@@ -77,7 +85,18 @@ def _cover(selections: list[list[str]], guarantees: list[tuple[int, float]]) ->
             n_covered += len(fresh)
             gains -= within[fresh].sum(axis=0, dtype=np.int32)
             gains[best] = -1
-    return [combos[i] for i in chosen]
+    return [codes[i].tobytes() for i in chosen]
+
+
+def split_systems(systems: DataFrame) -> DataFrame:
+    """Valid systems with the legs to play in full (``split``, widest first) and the legs that vary beside them."""
+    order = "array_sort(transform(selections, (s, i) -> struct(-size(s) AS neg, i AS leg)))"
+    split = (f"aggregate({order}, named_struct('left', n_combinations, 'legs', CAST(array() AS ARRAY<INT>)), (acc, x) -> "
+             f"IF(acc.left > {PART_COMBINATIONS}, named_struct('left', acc.left DIV -x.neg, 'legs', array_append(acc.legs, x.leg)), acc), acc -> acc.legs)")
+    legs = with_exprs(validated(systems).where("error IS NULL"), {"split": split})
+    varied = "filter(sequence(0, size(selections) - 1), i -> size(selections[i]) > 1 AND NOT array_contains(split, i))"
+    return with_exprs(with_exprs(legs, {"varied": varied}), {
+        "shape": "transform(varied, i -> size(selections[i]))", "tiers": "array_sort(transform(guarantees, g -> struct(g.radius, g.coverage)))"})
 
 
 def covering_systems(systems: DataFrame) -> DataFrame:
@@ -85,47 +104,54 @@ def covering_systems(systems: DataFrame) -> DataFrame:
 
     ``systems`` has ``system_id``, ``selections`` (array of outcome arrays) and
     ``guarantees`` (array of radius/coverage structs: that share of all
-    combinations lies within ``radius`` wrong legs of a chosen one).
+    combinations lies within ``radius`` wrong legs of a chosen one). ``grids`` has
+    ``*`` for a leg whose outcomes are all played: such an entry stands for several
+    combinations, which ``n_grids`` counts and ``expanded_grids`` lists.
     """
-    checked = validated(systems)
+    parts = staged(split_systems(systems), "system_parts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grids = [
-                _cover([list(s) for s in row.selections],
-                       sorted(((g["radius"], g["coverage"]) for g in row.guarantees), key=lambda g: g[0]))
-                for row in batch.itertuples(index=False)]
-            yield pd.DataFrame({"system_id": batch["system_id"], "grids": grids})
-
-    solvable = checked.where("error IS NULL").select("system_id", "selections", "guarantees")
-    solved = spread(solvable, "system_id").mapInPandas(
-        run, "system_id bigint, grids array<string>")
-    return with_exprs(checked.join(solved, "system_id", "left"), {
-        "n_grids": "size(grids)", "reduction": "1 - size(grids) / n_combinations"})
-
+            covers = [[list(c) for c in _cover(list(row.shape), [(t["radius"], t["coverage"]) for t in row.tiers])]
+                      for row in batch.itertuples(index=False)]
+            yield batch[["shape", "tiers"]].assign(cover=covers)
 
-def _code(text: str) -> str:
-    """SQL: a results string as a number, two bits per leg."""
-    return (f"aggregate(split({text}, ''), CAST(0 AS BIGINT), (acc, s) -> "
-            "acc * 4 + CASE s WHEN '1' THEN 1 WHEN 'N' THEN 2 ELSE 3 END)")
+    shapes = spread(parts.select("shape", "tiers").distinct(), "shape", "tiers")
+    kinds = dict(parts.dtypes)
+    solved = shapes.mapInPandas(run, f"shape {kinds['shape']}, tiers {kinds['tiers']}, cover array<array<int>>")
+    leg = (f"CASE WHEN array_contains(split, i) THEN '{ALL}' WHEN size(s) = 1 THEN s[0] "
+           "ELSE s[c[int(array_position(varied, i)) - 1]] END")
+    joined = parts.join(solved, ["shape", "tiers"]).selectExpr(
+        "system_id", f"transform(cover, c -> array_join(transform(selections, (s, i) -> {leg}), '')) AS grids",
+        "size(cover) * aggregate(split, CAST(1 AS BIGINT), (acc, i) -> acc * size(selections[i])) AS n_grids")
+    return with_exprs(validated(systems).join(joined, "system_id", "left"), {"reduction": "1 - n_grids / n_combinations"})
 
 
-def _wrong_legs(a: str, b: str) -> str:
-    """SQL: number of legs where two coded strings differ (up to 31 legs)."""
-    return f"bit_count((({a} ^ {b}) | shiftright({a} ^ {b}, 1)) & {0x1555555555555555})"
+def expanded_grids(covered: DataFrame) -> DataFrame:
+    """(system_id, grid): every chosen combination as a row of its own."""
+    rows = spread(covered.where("error IS NULL"), "system_id").selectExpr("system_id", "selections", "explode(grids) AS g")
+    pick = (f"aggregate(selections, array(''), (acc, options) -> flatten(transform(acc, a -> transform("
+            f"IF(substr(g, length(a) + 1, 1) = '{ALL}', options, array(substr(g, length(a) + 1, 1))), o -> concat(a, o)))))")
+    return rows.selectExpr("system_id", f"explode({pick}) AS grid")
 
 
 def coverage(covered: DataFrame) -> DataFrame:
     """Share of a system's combinations within each guaranteed radius of a chosen one.
 
-    The chosen set travels as an array beside each combination: pairs are
-    compared in place and never become rows.
+    A leg with one outcome, or played in full, is never wrong; the others are
+    compared as numbers of two bits a leg. They have at most ``PART_COMBINATIONS``
+    combinations, so at most twelve legs. The chosen set travels as an array beside
+    each combination: pairs are compared in place and never become rows.
     """
-    coded = with_exprs(spread(covered.where("error IS NULL"), "system_id"), {
-        "codes": f"transform(grids, g -> {_code('g')})"})
-    combos = coded.selectExpr("system_id", "codes", "guarantees", f"explode({COMBINATIONS}) AS combo")
-    wrong = f"array_min(transform(codes, g -> {_wrong_legs('g', 'code')}))"
-    nearest = with_exprs(combos, {"code": _code("combo")}).selectExpr(
-        "system_id", f"{wrong} AS wrong", "inline(guarantees)")
+    legs = with_exprs(covered.where("error IS NULL"), {
+        "compared": f"filter(sequence(0, size(selections) - 1), i -> size(selections[i]) > 1 AND NOT exists(grids, g -> substr(g, i + 1, 1) = '{ALL}'))"})
+    digit = "CASE {} WHEN '1' THEN 1 WHEN 'N' THEN 2 ELSE 3 END"
+    grid_code = f"aggregate(compared, CAST(0 AS BIGINT), (acc, i) -> acc * 4 + {digit.format('substr(g, i + 1, 1)')})"
+    combo_codes = ("aggregate(compared, array(CAST(0 AS BIGINT)), (acc, i) -> flatten(transform(acc, a -> "
+                   f"transform(selections[i], o -> a * 4 + {digit.format('o')}))))")
+    coded = spread(legs, "system_id").selectExpr(
+        "system_id", "guarantees", f"transform(grids, g -> {grid_code}) AS codes", f"explode({combo_codes}) AS code")
+    differs = "bit_count(((c ^ code) | shiftright(c ^ code, 1)) & 0x5555555555555555L)".replace("0x5555555555555555L", f"{0x5555555555555555}L")
+    nearest = coded.selectExpr("system_id", f"array_min(transform(codes, c -> {differs})) AS wrong", "inline(guarantees)")
     return nearest.groupBy("system_id", "radius").agg(
         F.expr("max(coverage)").alias("target"), F.expr("avg(int(wrong <= radius))").alias("covered"))

@@ -105,10 +105,31 @@ def test_covering_meets_guarantees(spark):
     assert cov[3, 1] == 1.0 and cov[4, 1] >= 0.6 and cov[4, 2] == 1.0
 
 
+@pytest.mark.parametrize("selections, guarantees", [
+    ([T] * 8, [(1, 1.0)]), ([T, D1, S1, T, T, T, D1, T, T, T, ["1", "2"], S1], [(1, 0.7), (2, 1.0)]), ([D1] * 14, [(2, 1.0)]),
+])
+def test_large_systems_are_split_and_reduced(spark, selections, guarantees):
+    covered = V.covering_systems(_systems(spark, [(1, selections, guarantees)]))
+    row = covered.first()
+    total = 1
+    for s in selections:
+        total *= len(s)
+    grids = [r.grid for r in V.expanded_grids(covered).collect()]
+    assert row.error is None and total == row.n_combinations > V.PART_COMBINATIONS and len(set(grids)) == len(grids) == row.n_grids
+    assert row.reduction == pytest.approx(1 - len(grids) / total) and row.reduction > 0.5
+    assert all(g[i] in s for g in grids for i, s in enumerate(selections))
+    # Brute force on every so many-th combination, and the share over all of them from the operator.
+    combos = ["".join(c) for c in product(*selections)]
+    for radius, coverage in guarantees:
+        near = sum(any(sum(a != b for a, b in zip(c, g)) <= radius for g in grids) for c in combos[::len(combos) // 300])
+        assert coverage < 1 or near == len(combos[::len(combos) // 300])
+    assert {r.radius: r.covered >= r.target for r in V.coverage(covered).collect()} == {r: True for r, _ in guarantees}
+
+
 @pytest.mark.parametrize("selections, guarantees, error", [
     ([], [(0, 1.0)], "no selection"), ([[]], [(0, 1.0)], "leg without option"), ([["1", "1"]], [(0, 1.0)], "duplicate option"),
     ([["X"]], [(0, 1.0)], "invalid option"), ([["1"]], [], "no guarantee"), ([["1"]], [(1, 1.0)], "invalid radius"),
-    ([["1"]], [(0, 0.0)], "invalid coverage"), ([T] * 8, [(1, 1.0)], "too many combinations"), ([T], [(0, 1.0)], None),
+    ([["1"]], [(0, 0.0)], "invalid coverage"), ([T] * 8, [(1, 1.0)], None), ([T] * 40, [(1, 1.0)], "too many combinations"), ([T], [(0, 1.0)], None),
 ])
 def test_covering_validation(spark, selections, guarantees, error):
     assert V.validated(_systems(spark, [(1, selections, guarantees)])).first().error == error
