@@ -182,12 +182,12 @@ FROM scores JOIN headers USING (coupon_id) GROUP BY candidate, w_name"""
 
 
 def _sweep(spark, sf, candidates=SWEEP):
-    return B.candidate_scores(rated_legs(spark, sf), None, candidates)
+    return B.candidate_hits(rated_legs(spark, sf), None, candidates)
 
 
 @register("weight_sweep", f"{_sweep_sql(SWEEP)} {_EVALUATE}", doubles="accuracy roi")
 def weight_sweep(spark, sf):
-    return W.evaluate_candidates(_sweep(spark, sf), A.headers(spark, sf))
+    return W.evaluate_hits(_sweep(spark, sf), A.headers(spark, sf), SWEEP)
 
 
 DRAWS = W.random_candidates(40)
@@ -196,7 +196,7 @@ DRAWS = W.random_candidates(40)
 @register("weight_search_best", f"{_sweep_sql(DRAWS)}, evaluated AS ({_EVALUATE}) SELECT * FROM evaluated ORDER BY n_near_perfect DESC, candidate LIMIT 1",
           doubles="accuracy roi")
 def weight_search_best(spark, sf):
-    return W.best_candidate(W.evaluate_candidates(_sweep(spark, sf, DRAWS), A.headers(spark, sf)), "n_near_perfect")
+    return W.best_candidate(W.evaluate_hits(_sweep(spark, sf, DRAWS), A.headers(spark, sf), DRAWS), "n_near_perfect")
 
 
 @register("sliding_weights", f"""{_sweep_sql(SWEEP)}, listed AS (
@@ -209,14 +209,14 @@ def weight_search_best(spark, sf):
 SELECT coupon_id, seq, CAST(candidate AS INTEGER) AS candidate, score FROM rolled WHERE seq > 20
 QUALIFY row_number() OVER (PARTITION BY coupon_id ORDER BY score DESC, candidate) = 1""", doubles="score")
 def sliding_weights(spark, sf):
-    return W.sliding_weights(A.headers(spark, sf), _sweep(spark, sf), len(SWEEP))
+    return W.sliding_hits(A.headers(spark, sf), _sweep(spark, sf), len(SWEEP))
 
 
 @register("current_weights", f"""{_sweep_sql(SWEEP)}, recent AS (SELECT coupon_id FROM headers ORDER BY date DESC, coupon_id DESC LIMIT 20)
 SELECT candidate, w_name, sum(n_correct) / sum(n_legs)::DOUBLE AS accuracy FROM scores JOIN recent USING (coupon_id)
 GROUP BY candidate, w_name ORDER BY accuracy DESC, candidate LIMIT 1""", doubles="accuracy")
 def current_weights(spark, sf):
-    return W.current_weights(A.headers(spark, sf), _sweep(spark, sf))
+    return W.current_weights(A.headers(spark, sf), A.legs(spark, sf), SWEEP)
 
 
 @register("optimized_backtest", f"""{_sweep_sql(SWEEP)}, evaluated AS ({_EVALUATE}),

@@ -65,7 +65,6 @@ def with_halo(df: DataFrame, seq: str, width: int, block_rows: int = 1 << 14) ->
     inside a block is then complete for every row that is not ``_halo``.
     """
     home = f"(({seq} - 1) div {block_rows})"
-    tail = f"(({seq} - 1) % {block_rows} >= {block_rows - width})"
     return df.withColumn(
-        "_block", F.expr(f"explode(IF({tail}, array({home}, {home} + 1), array({home})))")
+        "_block", F.expr(f"explode(sequence({home}, ({seq} - 1 + {width}) div {block_rows}))")
     ).withColumn("_halo", F.expr(f"_block <> {home}"))

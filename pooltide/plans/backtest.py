@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pooltide.functions import odds as O
 from pooltide.operators.legs import with_exprs
-from pooltide.operators.predict import (
-    BALANCED, STRATEGIES, Weights, blended, predict_legs, signals, with_metrics)
+from pooltide.operators.predict import BALANCED, STRATEGIES, Weights, predict_legs, signals, with_metrics
+from pooltide.operators.staging import staged
 
 
 def played_only(legs: DataFrame) -> DataFrame:
@@ -54,26 +59,62 @@ def correct_distribution(leg_results: DataFrame) -> DataFrame:
     return _coupon_scores(leg_results).groupBy("n_legs", "n_correct").agg(F.count(F.lit(1)).alias("n_coupons"))
 
 
-def weight_table(candidates: dict[str, Weights]) -> str:
-    """Candidates as an inline table for ``selectExpr``, in order."""
-    rows = ", ".join(
-        f"named_struct('candidate', {i}, 'w_name', '{name}', "
-        + ", ".join(f"'w{k}', {x!r}D" for k, x in enumerate(w, start=1)) + ")"
-        for i, (name, w) in enumerate(candidates.items()))
-    return f"inline(array({rows}))"
+def candidate_hits(legs: DataFrame, metrics: DataFrame | None, candidates: dict[str, Weights]) -> DataFrame:
+    """(coupon_id, n_legs, hits): correct legs per coupon, ``hits`` with one entry per candidate in order.
+
+    A leg stays one row: numpy mixes its signals with all candidates' weights at once, and
+    only sums of neighbouring legs of a coupon leave the task. Which signals a leg has is
+    one of eight cases, so the weights a missing signal passes on are a table made once.
+    """
+    weights = [list(w) for w in candidates.values()]
+    table = np.zeros((8, len(weights), 5))
+    for case in range(8):
+        for c, (odds, crowd, tip, difficulty, prior) in enumerate(weights):
+            kept = (odds if case & 1 else 0.0, crowd if case & 2 else 0.0, tip if case & 4 else 0.0, difficulty, prior)
+            total = kept[0] + kept[1] + kept[2] + kept[3] + kept[4]
+            table[case, c] = [k / total if total > 0 else k for k in kept]
+    names = [f"{signal}_p{k}" for k in O.SUFFIXES for signal in ("odds", "crowd", "tip", "adjusted")]
+    ready = signals(with_metrics(played_only(legs), metrics)).selectExpr(
+        "coupon_id", "int(coalesce(has_odds, false)) + 2 * int(coalesce(has_crowd, false)) + 4 * int(coalesce(has_tip, false)) AS signs",
+        "int(array_position(array('1', 'N', '2'), result)) - 1 AS won", *(f"coalesce({n}, double('NaN')) AS {n}" for n in names))
+    n = len(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signs, won, *probs = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 15))
+            w = table[signs]
+            mixed = []
+            for k, prior in enumerate(O.PRIOR):
+                odds, crowd, tip, adjusted = (p[:, None] for p in probs[4 * k:4 * k + 4])
+                mixed.append(w[..., 0] * odds + w[..., 1] * crowd + w[..., 2] * tip + w[..., 3] * adjusted + w[..., 4] * prior)
+            total = mixed[0] + mixed[1] + mixed[2]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shares = np.stack([np.where(total > 0, m / total, 1 / 3) for m in mixed])
+            hit = (shares.argmax(axis=0) == won[:, None]).astype(np.int32)
+            coupon = batch.column(0).to_numpy(zero_copy_only=False)
+            head = np.flatnonzero(np.append(True, coupon[1:] != coupon[:-1]))
+            sums = np.add.reduceat(hit, head, axis=0).astype(np.int32)
+            legs = np.diff(np.append(head, len(coupon)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(coupon[head]), pa.array(legs, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(head) + 1) * n, pa.int32()), pa.array(sums.ravel()))], ["coupon_id", "n_legs", "hits"])
+
+    parts = ready.mapInArrow(run, f"coupon_id {dict(ready.dtypes)['coupon_id']}, n_legs bigint, hits array<int>")
+    return parts.groupBy("coupon_id").agg(
+        F.sum("n_legs").alias("n_legs"), F.expr(f"array({', '.join(f'int(sum(hits[{k}]))' for k in range(n))})").alias("hits"))
 
 
 def candidate_scores(legs: DataFrame, metrics: DataFrame | None, candidates: dict[str, Weights]) -> DataFrame:
-    """Correct legs per coupon and weight candidate.
+    """Correct legs per coupon and weight candidate, as rows."""
+    return long_scores(candidate_hits(legs, metrics, candidates), candidates)
 
-    Every leg is scored by every candidate inside one projection; the count per
-    (coupon, candidate) needs no further shuffle because the legs are already
-    partitioned by coupon.
-    """
-    spread = signals(with_metrics(played_only(legs), metrics)).selectExpr("*", weight_table(candidates))
-    hits = blended(spread, ("w1", "w2", "w3", "w4", "w5"))
-    return hits.groupBy("coupon_id", "candidate", "w_name").agg(
-        F.count(F.lit(1)).alias("n_legs"), F.expr("count_if(prediction = result)").alias("n_correct"))
+
+def long_scores(hits: DataFrame, candidates: dict[str, Weights]) -> DataFrame:
+    names = ", ".join(f"'{name}'" for name in candidates)
+    return hits.selectExpr("coupon_id", "n_legs", "posexplode(hits) AS (candidate, n_correct)").selectExpr(
+        "coupon_id", "candidate", f"array({names})[candidate] AS w_name", "n_legs", "bigint(n_correct) AS n_correct")
 
 
 def compare_strategies(scores: DataFrame) -> DataFrame:
@@ -85,14 +126,17 @@ def compare_strategies(scores: DataFrame) -> DataFrame:
 
 
 def full_backtest(legs: DataFrame, metrics: DataFrame | None, headers: DataFrame, candidates: dict[str, Weights]) -> dict[str, DataFrame]:
-    """Default backtest, strategy comparison, best candidate and its scores, as lazy DataFrames."""
-    from pooltide.plans.weights import evaluate_candidates, best_candidate
-
-    scores = candidate_scores(legs, metrics, candidates)
-    best = best_candidate(evaluate_candidates(scores, headers), "accuracy")
+    """Default backtest, strategy comparison, best candidate and its scores. The sweep is stored once (runs a job)."""
+    from pooltide.plans.weights import best_candidate, evaluate_hits
+
+    hits = staged(candidate_hits(legs, metrics, candidates), "candidate_hits")
+    best = best_candidate(evaluate_hits(hits, headers, candidates), "accuracy")
+    # The chosen candidate is one row; the coupons keep its entry only.
+    chosen = hits.crossJoin(F.broadcast(best.select("candidate", "w_name"))).selectExpr(
+        "coupon_id", "n_legs", "w_name", "bigint(hits[candidate]) AS n_correct")
     return {
         "default": backtest_summary(backtest_legs(legs, metrics)),
         "strategies": compare_strategies(candidate_scores(legs, metrics, STRATEGIES)),
         "optimized": best,
-        "optimized_backtest": compare_strategies(scores.join(F.broadcast(best.select("candidate")), "candidate", "left_semi")),
+        "optimized_backtest": compare_strategies(chosen),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pooltide.functions import odds as O
 from pooltide.operators.legs import with_exprs
@@ -11,20 +11,31 @@ _PROBS = ("prob_1", "prob_n", "prob_2")
 _CLIP = "greatest(1e-7D, least(1.0D - 1e-7D, {}))"
 
 
+def _sums(prefix: str, prediction: str, probs: tuple[str, str, str]) -> list[Column]:
+    """Aggregates of one predictor, given as SQL expressions over a leg."""
+    truth = "CASE result WHEN '1' THEN {} WHEN 'N' THEN {} ELSE {} END".format(*probs)
+    backed = f"CASE {prediction} WHEN '1' THEN odds_1 WHEN 'N' THEN odds_n ELSE odds_2 END"
+    return [F.expr(x).alias(f"{prefix}_{k}") for k, x in {
+        "accuracy": f"avg(int({prediction} = result))", "log_loss": f"avg(-ln({_CLIP.format(truth)}))", "stake": f"count_if({backed} > 0)",
+        "gains": f"coalesce(sum(CASE WHEN {backed} > 0 AND {prediction} = result THEN {backed} END), 0.0D)"}.items()]
+
+
+def _measures(prefix: str) -> str:
+    p = f"{prefix}_"
+    return (f"n_legs, {p}accuracy AS accuracy, {p}log_loss AS log_loss, {p}stake AS stake, {p}gains AS gains, "
+            f"coalesce(try_divide({p}gains - {p}stake, {p}stake), 0.0D) AS roi")
+
+
+_PLAYED = "result IN ('1', 'N', '2')"
+
+
 def evaluate(predictions: DataFrame) -> DataFrame:
     """Accuracy, clipped log loss and flat-stake ROI of ``prediction`` and ``prob_*`` against ``result``.
 
     One unit is staked on every leg whose predicted outcome has positive odds.
     """
-    truth = "CASE result WHEN '1' THEN prob_1 WHEN 'N' THEN prob_n ELSE prob_2 END"
-    backed = "CASE prediction WHEN '1' THEN odds_1 WHEN 'N' THEN odds_n ELSE odds_2 END"
-    sums = predictions.where("result IN ('1', 'N', '2')").agg(
-        F.count(F.lit(1)).alias("n_legs"),
-        F.expr("avg(int(prediction = result))").alias("accuracy"),
-        F.expr(f"avg(-ln({_CLIP.format(truth)}))").alias("log_loss"),
-        F.expr(f"count_if({backed} > 0)").alias("stake"),
-        F.expr(f"coalesce(sum(CASE WHEN {backed} > 0 AND prediction = result THEN {backed} END), 0.0D)").alias("gains"))
-    return with_exprs(sums, {"roi": "coalesce(try_divide(gains - stake, stake), 0.0D)"})
+    sums = predictions.where(_PLAYED).agg(F.count(F.lit(1)).alias("n_legs"), *_sums("own", "prediction", _PROBS))
+    return sums.selectExpr(f"inline(array(struct({_measures('own')})))")
 
 
 def _draw(seed: int) -> str:
@@ -64,12 +75,18 @@ def distribution_baseline(legs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def compare_baselines(legs: DataFrame, seed: int = 42) -> DataFrame:
-    """The four baselines side by side."""
-    named = {
-        "random": random_baseline(legs, seed), "always_home": home_baseline(legs),
-        "odds_favorite": favourite_baseline(legs), "distribution": distribution_baseline(legs, seed)}
-    rows = [evaluate(df).selectExpr(f"'{name}' AS name", "*") for name, df in named.items()]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+    """The four baselines side by side: one pass over the legs, all predictors' sums in one aggregate.
+
+    The shares that the distribution draws from come from the same legs first, as one scalar.
+    """
+    played = legs.where(_PLAYED)
+    shares = played.agg(F.expr("named_struct(" + ", ".join(f"'p{k}', avg(int(result = '{k}'))" for k in "1N2") + ")").alias("s")).scalar()
+    third, own = (O.THIRD,) * 3, ("_s.p1", "_s.pN", "_s.p2")
+    ready = favourite_baseline(played).withColumnRenamed("prediction", "favourite").withColumn("_s", shares).withColumn("_u", F.expr(_draw(seed)))
+    predictors = {
+        "random": (_at("_u", O.THIRD, f"2 * {O.THIRD}"), third), "always_home": ("'1'", ("1.0D", "0.0D", "0.0D")),
+        "odds_favorite": ("favourite", _PROBS), "distribution": (_at("_u", own[0], f"{own[0]} + {own[1]}"), own)}
+    picks = ready.selectExpr("*", *(f"{pick} AS pick_{name}" for name, (pick, _) in predictors.items()))
+    sums = picks.agg(F.count(F.lit(1)).alias("n_legs"), *(x for name, (_, probs) in predictors.items() for x in _sums(name, f"pick_{name}", probs)))
+    rows = ", ".join("struct('{0}' AS name, {1})".format(name, _measures(name)) for name in predictors)
+    return sums.selectExpr(f"inline(array({rows}))")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from pooltide.operators.ordered import dense_sequence, with_halo
-from pooltide.operators.predict import BALANCED, Weights
+from pooltide.operators.predict import BALANCED, Weights, with_window_metrics
+from pooltide.plans.backtest import candidate_hits, long_scores
 
 # Steps around the default weights and four further profiles.
 STEPS = (-0.10, -0.05, 0.05, 0.10)
@@ -48,18 +52,37 @@ def random_candidates(n: int, seed: int = 42, base: Weights = BALANCED, spread:
     return out
 
 
-def evaluate_candidates(scores: DataFrame, headers: DataFrame) -> DataFrame:
-    """All metrics per candidate. ROI stakes 1 per coupon and wins the top payout when perfect.
+def _matrix(batch: pa.RecordBatch | pa.Table, column: str, width: int) -> np.ndarray:
+    """An array column of equal sizes as rows by entries."""
+    values = batch.column(column)
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
-    Coupon scores combine map-side, so the shuffle carries one row per candidate and task.
+
+def evaluate_hits(hits: DataFrame, headers: DataFrame, candidates: dict[str, Weights]) -> DataFrame:
+    """All metrics per candidate from ``candidate_hits``. ROI stakes 1 per coupon and wins the top payout when perfect.
+
+    A batch of coupons sends one row per candidate.
     """
-    paid = scores.join(headers.select("coupon_id", "top_amount"), "coupon_id", "left")
-    return paid.groupBy("candidate", "w_name").agg(
-        F.count(F.lit(1)).alias("n_coupons"),
-        F.expr("sum(n_correct) / sum(n_legs)").alias("accuracy"),
-        F.expr("count_if(n_correct = n_legs)").alias("n_perfect"),
-        F.expr("count_if(n_correct >= n_legs - 1)").alias("n_near_perfect"),
-        F.expr("avg(CASE WHEN n_correct = n_legs THEN coalesce(top_amount, 0.0D) - 1 ELSE -1.0D END)").alias("roi"))
+    n = len(candidates)
+    names = ", ".join(f"'{name}'" for name in candidates)
+    paid = hits.join(headers.select("coupon_id", "top_amount"), "coupon_id", "left").selectExpr(
+        "n_legs", "hits", "coalesce(top_amount, 0.0D) AS top_amount")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            legs, won = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("n_legs", "top_amount"))
+            correct = _matrix(batch, "hits", n)
+            perfect = correct == legs
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                np.arange(n, dtype=np.int32), np.full(n, len(legs), np.int64), np.full(n, legs.sum(), np.int64), correct.sum(0, dtype=np.int64),
+                perfect.sum(0, dtype=np.int64), (correct >= legs - 1).sum(0, dtype=np.int64), np.where(perfect, won - 1, -1.0).sum(0))], columns)
+
+    columns = ["candidate", "n_coupons", "legs", "correct", "perfect", "near", "gain"]
+    parts = paid.mapInArrow(run, "candidate int, n_coupons bigint, legs bigint, correct bigint, perfect bigint, near bigint, gain double")
+    return parts.groupBy("candidate").agg(*(F.sum(c).alias(c) for c in columns[1:])).selectExpr(
+        "candidate", f"array({names})[candidate] AS w_name", "n_coupons", "correct / legs AS accuracy", "perfect AS n_perfect",
+        "near AS n_near_perfect", "gain / n_coupons AS roi")
 
 
 def best_candidate(evaluated: DataFrame, metric: str) -> DataFrame:
@@ -79,40 +102,58 @@ def coupon_sequence(headers: DataFrame) -> DataFrame:
 def sliding_weights(
     headers: DataFrame, scores: DataFrame, n_candidates: int, window: int = 20, metric: str = "accuracy",
     block_rows: int = 1 << 14,
+) -> DataFrame:
+    """``sliding_hits`` for scores in rows (coupon_id, candidate, n_legs, n_correct)."""
+    slots = ", ".join(f"coalesce(max(CASE WHEN candidate = {k} THEN int(n_correct) END), 0)" for k in range(n_candidates))
+    hits = scores.groupBy("coupon_id").agg(F.first("n_legs").alias("n_legs"), F.expr(f"array({slots})").alias("hits"))
+    return sliding_hits(headers, hits, n_candidates, window, metric, block_rows)
+
+
+def sliding_hits(
+    headers: DataFrame, hits: DataFrame, n_candidates: int, window: int = 20, metric: str = "accuracy",
+    block_rows: int = 1 << 14,
 ) -> DataFrame:
     """Best candidate over the ``window`` coupons before each coupon.
 
     A coupon without scores (not fully played) still takes a place in the
-    window. Coupons with fewer than ``window`` predecessors have no row. The
-    candidates of a coupon travel as one array, so the window shuffles one row
-    per coupon.
+    window. Coupons with fewer than ``window`` predecessors have no row. Coupons
+    stand in blocks of their sequence together with the ``window`` before; inside
+    a block a window is the difference of two prefix sums, for all candidates at once.
     """
-    slots = range(n_candidates)
-    wide = scores.groupBy("coupon_id").agg(
-        F.first("n_legs").alias("n_legs"),
-        *(F.expr(f"coalesce(max(CASE WHEN candidate = {k} THEN n_correct END), 0)").alias(f"c{k}") for k in slots))
-    listed = coupon_sequence(headers).join(wide, "coupon_id", "left")
-    if metric == "roi":
-        listed = listed.join(headers.select("coupon_id", "top_amount"), "coupon_id", "left")
-    hit = {
-        "accuracy": "c{k}", "n_perfect": "int(c{k} = n_legs)", "n_near_perfect": "int(c{k} >= n_legs - 1)",
-        "roi": "IF(c{k} = n_legs, coalesce(top_amount, 0.0D) - 1, -1.0D)",
-    }[metric]
-    per_leg, per_coupon = "sum(n_legs)", "count(n_legs)"
-    over = "OVER (PARTITION BY _block ORDER BY seq ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)".format(w=window)
-    size = {"accuracy": f"{per_leg} {over}", "roi": f"{per_coupon} {over}"}.get(metric, "1")
-    ahead = with_halo(listed, "seq", window, block_rows)
-    values = ", ".join(
-        f"coalesce(try_divide(sum({hit.format(k=k)}) {over}, {size}), 0.0D)" for k in slots)
-    scored = ahead.selectExpr("coupon_id", "seq", "_halo", f"array({values}) AS by_candidate").where("NOT _halo")
-    return scored.where(F.col("seq") > window).selectExpr(
-        "coupon_id", "seq", "int(array_position(by_candidate, array_max(by_candidate)) - 1) AS candidate",
-        "array_max(by_candidate) AS score")
-
-
-def current_weights(headers: DataFrame, scores: DataFrame, window: int = 20) -> DataFrame:
-    """The candidate with the best accuracy on the last ``window`` coupons."""
-    recent = headers.orderBy(F.col("date").desc(), F.col("coupon_id").desc()).limit(window).select("coupon_id")
-    return best_candidate(
-        scores.join(F.broadcast(recent), "coupon_id", "left_semi").groupBy("candidate", "w_name").agg(
-            F.expr("sum(n_correct) / sum(n_legs)").alias("accuracy")), "accuracy")
+    listed = coupon_sequence(headers).join(hits, "coupon_id", "left").join(headers.select("coupon_id", "top_amount") if metric == "roi" else
+             headers.select("coupon_id", F.lit(0.0).alias("top_amount")), "coupon_id", "left")
+    ready = with_halo(listed.selectExpr(
+        "coupon_id", "seq", "n_legs IS NOT NULL AS played", "coalesce(n_legs, 0) AS n_legs", "coalesce(top_amount, 0.0D) AS top_amount",
+        f"coalesce(hits, array_repeat(0, {n_candidates})) AS hits"), "seq", window, block_rows)
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("seq")
+        seq, played, legs, won, halo = (block.column(c).to_numpy() for c in ("seq", "played", "n_legs", "top_amount", "_halo"))
+        correct, legs, ones = _matrix(block, "hits", n_candidates), legs[:, None], played[:, None].astype(np.int64)
+        value, size = {
+            "accuracy": lambda: (correct.astype(np.int64), legs),
+            "n_perfect": lambda: ((correct == legs) * ones, None),
+            "n_near_perfect": lambda: ((correct >= legs - 1) * ones, None),
+            "roi": lambda: (np.where(correct == legs, won[:, None] - 1, -1.0) * ones, ones),
+        }[metric]()
+        at = np.flatnonzero(~halo & (seq > window))
+        # Sequence numbers follow each other, so the window before a row is the rows before it.
+        before = lambda x: (s := np.concatenate((np.zeros((1, x.shape[1]), x.dtype), np.cumsum(x, axis=0))))[at] - s[at - window]
+        total = before(value) if len(at) else np.zeros((0, n_candidates))
+        if size is not None and len(at):
+            count = before(size)
+            total = np.divide(total, count, out=np.zeros(total.shape), where=count > 0)
+        best = total.argmax(axis=1) if len(at) else np.zeros(0, np.int64)
+        return pa.table({"coupon_id": block.column("coupon_id").take(at), "seq": seq[at], "candidate": best.astype(np.int32),
+                         "score": total[np.arange(len(at)), best].astype(float)})
+
+    kind = dict(ready.dtypes)["coupon_id"]
+    return ready.groupBy("_block").applyInArrow(run, f"coupon_id {kind}, seq bigint, candidate int, score double")
+
+
+def current_weights(headers: DataFrame, legs: DataFrame, candidates: dict[str, Weights], window: int = 20) -> DataFrame:
+    """The candidate with the best accuracy on the last ``window`` coupons; only their legs are scored."""
+    recent = headers.orderBy(F.col("date").desc(), F.col("coupon_id").desc()).limit(window).select("coupon_id", "difficulty")
+    hits = candidate_hits(with_window_metrics(legs.join(F.broadcast(recent.select("coupon_id")), "coupon_id", "left_semi"), recent), None, candidates)
+    return best_candidate(long_scores(hits, candidates).groupBy("candidate", "w_name").agg(
+        F.expr("sum(n_correct) / sum(n_legs)").alias("accuracy")), "accuracy")

@@ -82,3 +82,11 @@ def test_pair_moments_match_numpy(spark, monkeypatch):
         assert r.residual_sd == pytest.approx(np.std(part.b - (part.a * r.slope + r.intercept)))
         assert got[g, "c", "b"].r is None and got[g, "c", "b"].distinct_x == 1
         assert got[g, "d", "b"].distinct_x == 2 and r.distinct_x >= 3
+
+
+def test_halo_wider_than_a_block(spark):
+    rows = with_halo(spark.range(1, 101).selectExpr("id AS seq"), "seq", 23, block_rows=8).collect()
+    for block in range(13):
+        own = sorted(r.seq for r in rows if r._block == block and not r._halo)
+        assert own == [x for x in range(8 * block + 1, 8 * block + 9) if x <= 100]
+        assert sorted(r.seq for r in rows if r._block == block and r._halo) == list(range(max(1, 8 * block - 22), 8 * block + 1))

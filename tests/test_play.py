@@ -190,3 +190,37 @@ def test_sliding_window_small_blocks(spark):
         window = [i for i in order[at - 5:at] if i % 9]
         acc = [sum(hits[i, c] for i in window) / (3 * len(window)) if window else 0.0 for c in range(3)]
         assert got[order[at]] == (acc.index(max(acc)), pytest.approx(max(acc)))
+
+
+@pytest.mark.parametrize("metric", ["accuracy", "n_perfect", "n_near_perfect", "roi"])
+def test_sliding_window_longer_than_a_block(spark, metric):
+    import random
+    rng = random.Random(2)
+    n, width = 60, 11
+    headers = spark.createDataFrame([(i, 10.0 + i % 4) for i in range(n)], "coupon_id bigint, top_amount double").selectExpr(
+        "coupon_id", "DATE'2020-01-01' AS date", "top_amount")
+    played = {i: [rng.randint(0, 3) for _ in range(4)] for i in range(n) if i % 7}
+    hits = spark.createDataFrame([(i, 3, h) for i, h in played.items()], "coupon_id bigint, n_legs bigint, hits array<int>")
+    got = {r.coupon_id: (r.candidate, r.score) for r in W.sliding_hits(headers, hits, 4, window=width, metric=metric, block_rows=4).collect()}
+    assert sorted(got) == list(range(width, n))
+    for at in range(width, n):
+        before = [(i, played[i]) for i in range(at - width, at) if i in played]
+        value = {"accuracy": lambda i, h: h / (3 * len(before)), "n_perfect": lambda i, h: h == 3, "n_near_perfect": lambda i, h: h >= 2,
+                 "roi": lambda i, h: (9.0 + i % 4 if h == 3 else -1.0) / len(before)}[metric]
+        each = [sum(value(i, h[c]) for i, h in before) for c in range(4)]
+        assert got[at][1] == pytest.approx(max(each)) and each[got[at][0]] == pytest.approx(max(each))
+
+
+def test_hits_equal_single_predictions(spark, make_legs):
+    import random
+    from pooltide.operators import predict as P
+    from pooltide.plans import backtest as B
+    rng = random.Random(3)
+    rows = [(c, p, [rng.choice([0.0, 1.0 + rng.random() * 3]) for _ in range(3)], [rng.choice([0.0, 30.0]) for _ in range(3)],
+             rng.choice(["", "1", "N2", "1N2", "-"]), rng.choice("1N2") if c % 6 else rng.choice(["1", None])) for c in range(40) for p in range(1, 8)]
+    legs, some = make_legs(rows), W.random_candidates(3)
+    got = {r.coupon_id: (r.n_legs, r.hits) for r in B.candidate_hits(legs, None, some).collect()}
+    want = [{r.coupon_id: (r.n_legs, r.n_correct) for r in B._coupon_scores(B.backtest_legs(legs, None, w)).collect()} for w in some.values()]
+    assert got == {c: (n, [w[c][1] for w in want]) for c, (n, _) in want[0].items()} and len(got) > 30
+    long = B.long_scores(B.candidate_hits(legs, None, some), some).where("candidate = 2").first()
+    assert long.w_name == list(some)[2] and long.n_correct == got[long.coupon_id][1][2]
