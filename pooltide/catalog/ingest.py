@@ -259,6 +259,43 @@ def page_elements(spark, sf):
         F.expr(f"count_if(tag = '{t}')").alias(f"n_{t}") for t in ("h1", "p", "div", "nav")))
 
 
+# Text of a paragraph: up to where it or the article ends, or the next paragraph begins; texts between tags without outer blanks.
+def _plain(html: str) -> str:
+    pieces = f"list_transform(regexp_split_to_array({html}, '<[^>]*>'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)))"
+    text = f"array_to_string({pieces}, '')"
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{sign}')"
+    return text
+
+
+_TEXTS = {"a": ("<a [^>]*>", "</a>"), "li": ("<li>", "</li>"), "h1": ("<h1>", "</h1>"), "title": ("<title>", "</title>"), "footer": ("<footer>", "</footer>")}
+
+
+@register("page_element_texts", f"""WITH texts AS (
+  {" UNION ALL ".join(f"SELECT page_id, '{tag}' AS tag, unnest(regexp_extract_all(html, '(?s){opens}(.*?){ends}', 1)) AS html, generate_subscripts(regexp_extract_all(html, '(?s){opens}(.*?){ends}', 1), 1) AS i FROM pages" for tag, (opens, ends) in _TEXTS.items())}
+  UNION ALL SELECT page_id, 'p', split_part(split_part(unnest(string_split(html, '<p>')[2:]), '</p>', 1), '</article>', 1), generate_subscripts(string_split(html, '<p>')[2:], 1) FROM pages
+  UNION ALL SELECT page_id, 'article', unnest(regexp_extract_all(html, '(?s)<article>(.*?)</article>', 1)), 1 FROM pages
+)
+SELECT page_id, tag, count(*) AS n, md5(string_agg({_plain("html")}, chr(10) ORDER BY i)) AS texts_md5 FROM texts GROUP BY page_id, tag""")
+def page_element_texts(spark, sf):
+    kept = ", ".join(f"'{t}'" for t in (*_TEXTS, "p", "article"))
+    return P.page_elements(A.table(spark, sf, "pages")).where(f"tag IN ({kept})").groupBy("page_id", "tag").agg(
+        F.count(F.lit(1)).alias("n"), F.expr("md5(array_join(transform(array_sort(collect_list(struct(node, text))), x -> x.text), '\n'))").alias("texts_md5"))
+
+
+# Nested sets: links are inside exactly one list item, one list and one navigation.
+@register("page_nesting", """SELECT page_id, len(regexp_extract_all(html, '<a [^>]*>')) AS links, len(regexp_extract_all(html, '<li>')) AS items,
+  len(regexp_extract_all(html, '<a [^>]*>')) AS links_in_items, len(regexp_extract_all(html, '<a [^>]*>')) AS links_in_lists,
+  len(regexp_extract_all(html, '<a [^>]*>')) AS links_in_navigations FROM pages""")
+def page_nesting(spark, sf):
+    elements = P.page_elements(A.table(spark, sf, "pages")).groupBy("page_id").agg(
+        F.expr("collect_list(node) FILTER (WHERE tag = 'a')").alias("links"),
+        *(F.expr(f"collect_list(struct(node, last)) FILTER (WHERE tag = '{t}')").alias(t) for t in ("li", "ul", "nav")))
+    inside = "bigint(size(filter(links, l -> exists({0}, o -> l > o.node AND l <= o.last)))) AS links_in_{1}"
+    return elements.selectExpr("page_id", "bigint(size(links)) AS links", "bigint(size(li)) AS items", *(
+        inside.format(t, name) for t, name in (("li", "items"), ("ul", "lists"), ("nav", "navigations"))))
+
+
 # ---- table maintenance ----
 
 MATCH_ORDER = ["coupon_id", "position"]
