@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pooltide.catalog.base import LEGS, register, rnd, stored
 from pooltide.catalog.legs import BALANCED_SQL, BLEND, STRATEGY_WEIGHTS_SQL, _metrics, predicted, rated_legs
 from pooltide.operators.predict import STRATEGIES
+from pooltide.operators.staging import staging_dir
 from pooltide.plans import backtest as B
 from pooltide.plans import baselines as L
 from pooltide.plans import rules as R
 from pooltide.plans import weights as W
 from pooltide.sources import adapter as A
+from pooltide.sources import documents as D
 
 DEFAULT = f"WITH {BLEND}, {predicted(BALANCED_SQL)}"
 PER_COUPON = f"""{DEFAULT}, per_coupon AS (
@@ -128,6 +132,14 @@ def strategy_rules(spark, sf):
     return R.mine_rules(stored(spark, sf, "performance", _performance))
 
 
+@register("rules_document", f"{RULES} SELECT * FROM rules", doubles="threshold accuracy")
+def rules_document(spark, sf):
+    """Rules stored as a document and read back."""
+    path = f"{staging_dir(spark)}/pooltide/rules-{uuid.uuid4().hex}"
+    D.write_document(D.rules_document(R.mine_rules(stored(spark, sf, "performance", _performance))), path)
+    return D.read_rules(spark, path)
+
+
 VOTES = f"""{RULES}, votes AS (
   SELECT coupon_id, recommended, sum(accuracy) AS vote, min(rule_id) AS first_rule FROM long JOIN rules USING (metric)
   WHERE (direction = 'low' AND x < threshold) OR (direction = 'high' AND x >= threshold) GROUP BY coupon_id, recommended

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pooltide.catalog.base import COUPONS, FIXTURES, HEADERS, LEGS, VIEW, register, rnd, stored
@@ -12,7 +14,7 @@ from pooltide.operators import coupon_stats as S
 from pooltide.operators import coupons as C
 from pooltide.operators import fuzzy as Z
 from pooltide.operators.legs import with_exprs
-from pooltide.operators.staging import spread
+from pooltide.operators.staging import spread, staged, staging_dir
 from pooltide.sources import adapter as A
 from pooltide.sources import documents as D
 from pooltide.sources import pages as P
@@ -59,6 +61,133 @@ def season_csv_rows(spark, sf):
         "league_code", "season", "date", "home", "away", "result", "home_score", "away_score", "odds_1", "odds_n", "odds_2")
 
 
+# The same as files: of four kinds by file, whole; with other columns in another order, in Latin-1; with lines that
+# lack a date, have too many fields or no home team; and without a required column.
+_KIND = "(shiftright(coupon_id, 14) + int(substr(league, 8))) % 4"
+_FTR = "CASE result WHEN '1' THEN 'H' WHEN 'N' THEN 'D' ELSE 'A' END"
+_HEADERS = ("Div,Date,HomeTeam,AwayTeam,FTR,FTHG,FTAG", "FTR,Referee,AwayTeam,HomeTeam,Date", "Date,HomeTeam,AwayTeam,FTR", "Div,Date,HomeTeam,AwayTeam,Result")
+
+
+def landed_season_files(spark, sf):
+    """The folder of season files, written once."""
+    lines = dated_fixtures(spark, sf).selectExpr(
+        "concat(replace(league, 'NATION_', 'L'), '_', shiftright(coupon_id, 14), '_', date_format(date, 'yy'), lpad((year(date) + 1) % 100, 2, '0'), '.csv') AS file",
+        f"int({_KIND}) AS kind", "struct(date, coupon_id, position) AS o", f"""CASE {_KIND}
+          WHEN 0 THEN concat_ws(',', league, date_format(date, 'dd/MM/yyyy'), home, away, {_FTR}, position, coupon_id % 4)
+          WHEN 1 THEN concat_ws(',', {_FTR}, '"Dupont, J"', concat('"', away, '"'), concat(home, ' é'), date_format(date, 'dd/MM/yy'))
+          WHEN 2 THEN concat_ws(',', IF(position = 1, '31/02/x', date_format(date, 'dd/MM/yyyy')), IF(position = 3, ' ', home), away, {_FTR}, IF(position = 2, 'more', NULL))
+          ELSE concat_ws(',', league, date_format(date, 'dd/MM/yyyy'), home, away, {_FTR}) END AS line""")
+    header = "array({})[kind]".format(", ".join(f"'{h}'" for h in _HEADERS))
+    files = lines.groupBy("file", "kind").agg(F.expr("array_join(transform(array_sort(collect_list(struct(o, line))), x -> x.line), '\r\n')").alias("body"))
+    # A string column is written byte by byte, so it may carry Latin-1.
+    content = files.selectExpr("file", f"CAST(encode(concat({header}, '\r\n', body), IF(kind = 1, 'ISO-8859-1', 'UTF-8')) AS STRING) AS content")
+
+    path = f"{staging_dir(spark)}/pooltide/season-files-{uuid.uuid4().hex}"
+    content.write.partitionBy("file").text(path)
+    return path
+
+
+LANDED_SQL = f"""WITH {FIXTURES}, {HEADERS}, landed AS (
+  SELECT f.coupon_id, position, h.date, away, result, league, CASE kind WHEN 1 THEN home || ' é' ELSE home END AS home, kind,
+    replace(league, 'NATION_', 'L') || '_' || (f.coupon_id >> 14) || '_' || strftime(h.date, '%y') || lpad(CAST((year(h.date) + 1) % 100 AS VARCHAR), 2, '0') || '.csv' AS file
+  FROM (SELECT *, ((coupon_id >> 14) + CAST(substr(league, 8) AS INTEGER)) % 4 AS kind FROM fixtures) f JOIN headers h USING (coupon_id)
+), sound AS (SELECT *, row_number() OVER (PARTITION BY date, home, away ORDER BY file, date, coupon_id, position) AS place FROM landed
+  WHERE kind < 2 OR kind = 2 AND position > 3)"""
+
+
+@register("season_file_rows", f"{LANDED_SQL} SELECT file, date, home, away, result, count(*) AS n FROM sound GROUP BY ALL")
+def season_file_rows(spark, sf):
+    parsed = CSV.parse_season_files(CSV.read_season_files(spark, landed_season_files(spark, sf)))
+    return parsed.where("valid").groupBy("file", "date", "home", "away", "result").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("season_file_report", f"""{LANDED_SQL}
+SELECT file, count(s.file) FILTER (place = 1) AS inserted, count(s.file) FILTER (place > 1) AS skipped, any_value(errors) AS errors FROM (
+  SELECT file, CASE WHEN any_value(kind) = 3 THEN 1 ELSE count(*) FILTER (kind = 2 AND position IN (1, 3)) END AS errors FROM landed GROUP BY file) e
+LEFT JOIN sound s USING (file) GROUP BY file""")
+def season_file_report(spark, sf):
+    parsed = staged(CSV.parse_season_files(CSV.read_season_files(spark, landed_season_files(spark, sf))), "season_rows")
+    target = parsed.select(*CSV.MATCH_KEY).where("false")
+    return CSV.load_report(parsed, T.new_rows(parsed.where("valid"), target, CSV.MATCH_KEY, ["file", "row_no"]))
+
+
+# ---- documents: written as JSON files, read back ----
+
+def _written_text(rows, name):
+    """One file per row of ``content``, under a fresh folder."""
+    path = f"{staging_dir(rows.sparkSession)}/pooltide/{name}-{uuid.uuid4().hex}"
+    rows.select("part", "content").write.partitionBy("part").text(path)
+    return path
+
+
+# Coupons of 4096 neighbouring ids and one year are a file; every fifth file is cut off.
+_PART = "concat(shiftright(coupon_id, 12), '_', year(date))"
+_CUT = "(shiftright(coupon_id, 12) + year(date)) % 5 = 0"
+
+
+def history_files(spark, sf):
+    match = ("struct(position, home, away, odds_1 AS cote_1, odds_n AS cote_n, odds_2 AS cote_2, share_1 AS pct_1, share_n AS pct_n, share_2 AS pct_2, "
+             "tip AS prono_cyborg, CAST(NULL AS STRING) AS score, result AS resultat)")
+    coupons = A.fixtures(spark, sf).groupBy("coupon_id").agg(F.expr(f"array_sort(collect_list({match}))").alias("matches")).join(A.headers(spark, sf), "coupon_id")
+    docs = coupons.selectExpr(f"{_PART} AS part", f"{_CUT} AS cut", """struct(coupon_id AS grid_number, year(date) + 1 AS year, IF(coupon_id % 2 = 0, season, NULL) AS season,
+      IF(coupon_id % 3 = 0, concat('LF', size(matches)), '') AS grid_type, matches, difficulty, n_tips AS nb_pronostics,
+      array_join(transform(matches, m -> m.resultat), '') AS resultats, map('top', struct(top_winners AS gagnants, top_amount AS montant)) AS rapports) AS doc""")
+    files = docs.groupBy("part", "cut").agg(F.expr("to_json(collect_list(doc))").alias("json"))
+    return _written_text(files.selectExpr("part", "IF(cut, substr(json, 1, length(json) - 7), json) AS content"), "history")
+
+
+HISTORY_SQL = f"""WITH {FIXTURES}, {HEADERS}, sized AS (SELECT coupon_id, count(*) AS n FROM legs GROUP BY coupon_id),
+filed AS (SELECT h.*, n, (coupon_id >> 12) || '_' || year(date) AS part, ((coupon_id >> 12) + year(date)) % 5 = 0 AS cut FROM headers h JOIN sized USING (coupon_id))"""
+
+
+@register("history_document_report", f"{HISTORY_SQL} SELECT part, CASE WHEN any_value(cut) THEN 0 ELSE count(*) END AS n_docs, any_value(cut) AS corrupt FROM filed GROUP BY part")
+def history_document_report(spark, sf):
+    found = D.document_report(D.read_documents(spark, history_files(spark, sf), D.schemas.HISTORY_DOC))
+    return found.selectExpr("regexp_extract(file, 'part=([^/]+)/', 1) AS part", "n_docs", "corrupt")
+
+
+@register("history_document_coupons", f"""{HISTORY_SQL} SELECT coupon_id AS grid_number, season, 'LF' || n AS grid_type, CAST(n AS INTEGER) AS n_legs, difficulty, n_tips,
+  top_winners AS winners, top_amount AS amount FROM filed WHERE NOT cut""", doubles="difficulty amount")
+def history_document_coupons(spark, sf):
+    return D.history_coupons(D.read_history(spark, history_files(spark, sf))).selectExpr(
+        "grid_number", "season", "grid_type", "n_legs", "difficulty", "n_tips", "payouts['top'].winners AS winners", "payouts['top'].amount AS amount")
+
+
+@register("history_document_legs", f"""{HISTORY_SQL} SELECT coupon_id AS grid_number, position, home, away, odds_1, odds_n, odds_2, share_1, share_n, share_2, tip, result
+FROM fixtures JOIN filed USING (coupon_id) WHERE NOT cut""", doubles="odds_1 odds_n odds_2 share_1 share_n share_2")
+def history_document_legs(spark, sf):
+    history = staged(D.read_history(spark, history_files(spark, sf)), "history_docs")
+    numbers = D.history_coupons(history).select("coupon_id", "grid_number")
+    return D.history_legs(history).join(numbers, "coupon_id").drop("coupon_id", "score")
+
+
+@register("stored_history_of_a_type", f"""WITH {COUPONS} SELECT coupon_id, season, CASE WHEN season = '1997-1998' THEN difficulty + 1 ELSE difficulty END AS difficulty, results
+FROM coupons WHERE grid_type = 'LF4'""", doubles="difficulty")
+def stored_history_of_a_type(spark, sf):
+    """All types and seasons are stored, one season is stored anew, one type is read back."""
+    path = f"{staging_dir(spark)}/pooltide/stored-history-{uuid.uuid4().hex}"
+    coupons = A.coupons(spark, sf).select("coupon_id", "season", "grid_type", "difficulty", "results")
+    D.write_history(coupons, path)
+    D.write_history(with_exprs(coupons.where("season = '1997-1998'"), {"difficulty": "difficulty + 1"}), path)
+    return D.read_stored_history(spark, path, "LF4").select("coupon_id", "season", "difficulty", "results")
+
+
+# A ledger document per account: its purchases as entries, stakes by number; every sixth document is cut off.
+@register("ledger_document_entries", """WITH bought AS (
+  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'purchase')
+SELECT user_id AS account, CAST(seq - 1 AS INTEGER) AS seq, 'LF7-' || event_id AS entry_id, d AS entry_date, value AS cost, '1N' AS bet, 50e0 + user_id AS initial_bankroll
+FROM bought WHERE user_id % 6 <> 0""", doubles="cost initial_bankroll")
+def ledger_document_entries(spark, sf):
+    entry = ("struct(concat('LF7-', event_id) AS id, event_id AS grid_number, 'LF7' AS grid_type, date_format(ts, 'yyyy-MM-dd') AS date, 'pending' AS status, "
+             "array(struct('1N' AS resultats)) AS grids_submitted, value AS cost)")
+    bought = A.table(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id").agg(
+        F.expr(f"transform(array_sort(collect_list(struct(ts, event_id, {entry} AS e))), x -> x.e)").alias("entries"))
+    docs = bought.selectExpr("user_id", "to_json(struct(50.0D + user_id AS initial_bankroll, 1.0D AS cost_per_grid, 5 AS grids_per_draw, entries)) AS json")
+    path = _written_text(docs.selectExpr("user_id AS part", "IF(user_id % 6 = 0, substr(json, 1, length(json) - 3), json) AS content"), "ledgers")
+    return D.ledger_entries(D.read_ledger(spark, path)).selectExpr(
+        "bigint(initial_bankroll - 50) AS account", "seq", "entry_id", "entry_date", "cost", "bets[0] AS bet", "initial_bankroll")
+
+
 @register("text_functions", f"""WITH {HEADERS}, coded AS (SELECT coupon_id, date, strftime(date, '%y') AS y, year(date) AS yr FROM headers)
 SELECT coupon_id, CAST(yr AS VARCHAR) || '/' || CAST(yr + 1 AS VARCHAR) AS label, date AS long_date, date AS short_date,
   CASE coupon_id % 3 WHEN 0 THEN '1' WHEN 1 THEN 'N' ELSE '2' END AS result,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from pooltide import schemas
@@ -11,14 +12,31 @@ from pooltide.functions.numeric import rounded
 from pooltide.operators.legs import with_exprs
 
 
-def _read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Documents under ``path``; an absent path gives no rows, a corrupt document is left out."""
+def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Every file under ``path`` as (file, corrupt, docs); an absent path gives no rows.
+
+    A file holds one document or an array of them, and is read whole. One that is no JSON of
+    that kind is marked ``corrupt`` and has no ``docs``; nothing is left out unseen.
+    """
+    kind = T.ArrayType(schema)
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], T.StructType([T.StructField("file", T.StringType()), T.StructField("corrupt", T.BooleanType()), T.StructField("docs", kind)]))
+    parsed = files.select(F.col("file_path").alias("file"), F.from_json("value", kind).alias("docs"))
+    return parsed.selectExpr("file", "docs IS NULL AS corrupt", "docs")
+
+
+def document_report(documents: DataFrame) -> DataFrame:
+    """Documents and corruption per file of ``read_documents``."""
+    return documents.selectExpr("file", "bigint(coalesce(size(docs), 0)) AS n_docs", "corrupt")
+
+
+def _read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The documents of all readable files under ``path``; ``document_report`` names the others."""
+    return read_documents(spark, path, schema).selectExpr("inline(docs)")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -50,8 +68,16 @@ def history_legs(history: DataFrame) -> DataFrame:
 
 
 def write_history(coupons: DataFrame, path: str) -> None:
-    """Store coupons as Parquet, one folder per type and season (runs a job)."""
-    coupons.write.mode("overwrite").partitionBy("grid_type", "season").parquet(path)
+    """Store coupons as Parquet, one folder per type and season; other types and seasons there stay (runs a job)."""
+    coupons.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grid_type", "season").parquet(path)
+
+
+def read_stored_history(spark: SparkSession, path: str, grid_type: str | None = None, season: str | None = None) -> DataFrame:
+    """Stored coupons, of one type or season if named; only the folders asked for are read."""
+    stored = spark.read.parquet(path)
+    for column, value in (("grid_type", grid_type), ("season", season)):
+        stored = stored.where(F.col(column) == value) if value is not None else stored
+    return stored
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -85,6 +111,12 @@ def write_document(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def rules_document(rules: DataFrame) -> DataFrame:
+    """Mined rules (a handful) as one document, in order."""
+    fields = ", ".join(schemas.RULE.fieldNames())
+    return rules.agg(F.expr(f"transform(array_sort(collect_list(struct(rule_id, {fields}))), r -> struct({', '.join('r.' + f for f in schemas.RULE.fieldNames())}))").alias("rules"))
+
+
 def mean_event_odds(events: DataFrame) -> DataFrame:
     """Mean home, draw and away odds over the bookmakers' ``h2h`` markets, to 2 decimals; 0 when none quotes it."""
     markets = with_exprs(events, {
