@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pooltide.catalog.base import register, rnd, stored
 from pooltide.catalog.features import FEATURE_CTES, features
+from pooltide.operators.legs import with_exprs
 from pooltide.plans import correlations as K
 from pooltide.plans import crosstype as X
 from pooltide.plans import metrics as M
@@ -204,20 +205,25 @@ def type_roi(spark, sf):
     return X.roi_by_type(feats(spark, sf))
 
 
-@register("type_recommendations", f"""{F_SQL},
-sim_means AS (SELECT grid_type, metric, avg(x) AS mean, stddev_samp(x) AS sd FROM {long_sql(M.SIMILARITY, "grid_type")}
-  GROUP BY grid_type, metric HAVING count(*) >= 5 AND stddev_samp(x) > 0),
-pm AS (SELECT grid_type, metric, avg(x) AS mean FROM {long_sql(M.PREDICTABILITY, "grid_type")} GROUP BY grid_type, metric),
-predictable AS (SELECT grid_type, {rnd("avg(mean)", 4)} AS score FROM pm GROUP BY grid_type), {VALUE},
-near AS (SELECT coupon_id, m.grid_type, avg(exp(-0.5 * ((x - mean) / sd) ** 2)) AS sim
-  FROM {long_sql(M.SIMILARITY, "coupon_id")} f JOIN sim_means m USING (metric) GROUP BY coupon_id, m.grid_type),
-type_scores AS (SELECT f.coupon_id, t.grid_type, CAST(substr(t.grid_type, 3) AS INTEGER) AS size,
-  {rnd("0.4 * coalesce(sim, 0) + 0.35 * greatest(0, (expected + 1) / 2) + 0.25 * p.score", 4)} AS score
-  FROM (SELECT coupon_id FROM features) f CROSS JOIN worth t JOIN predictable p USING (grid_type) LEFT JOIN near n ON n.coupon_id = f.coupon_id AND n.grid_type = t.grid_type),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY coupon_id ORDER BY score DESC, size) AS place FROM type_scores)
-SELECT a.coupon_id, a.grid_type AS recommended, a.score,
-  CASE WHEN coalesce(b.score, 0) > 0 THEN {rnd("least(1.0, (a.score - b.score) * 5 + 0.3)", 3)} ELSE 0.5e0 END AS confidence
-FROM ranked a LEFT JOIN ranked b ON a.coupon_id = b.coupon_id AND b.place = 2 WHERE a.place = 1""", doubles="score confidence")
+# Payouts of the test tables are thousands of stakes; as shares of 2000 they let similarity and predictability count too.
+_SCALED = "montant_parfait / 2000e0 AS montant_parfait, montant_presque / 2000e0 AS montant_presque"
+_KNOWN = " + ".join(f"(s_{m} IS NOT NULL)::INT" for m in M.SIMILARITY)
+
+
+@register("type_recommendations", f"""{F_SQL}, scaled AS MATERIALIZED (SELECT * REPLACE ({_SCALED}) FROM features),
+profiles AS MATERIALIZED (SELECT grid_type, {", ".join(
+    f"CASE WHEN count({m}) >= 5 AND stddev_samp({m}) > 0 THEN avg({m}) END AS m_{m}, CASE WHEN count({m}) >= 5 AND stddev_samp({m}) > 0 THEN stddev_samp({m}) END AS s_{m}"
+    for m in M.SIMILARITY)}, {" + ".join(f"avg({m})" for m in M.PREDICTABILITY)} AS p FROM scaled GROUP BY grid_type), {VALUE.replace("FROM features", "FROM scaled")},
+types AS MATERIALIZED (SELECT *, CAST(substr(grid_type, 3) AS INTEGER) AS size, {rnd(f"p / {len(M.PREDICTABILITY)}", 4)} AS predictable FROM profiles JOIN worth USING (grid_type)),
+scores AS (SELECT f.coupon_id, t.grid_type, t.size,
+  ({" + ".join(f"coalesce(exp(-0.5 * ((f.{m} - m_{m}) / s_{m}) ** 2), 0)" for m in M.SIMILARITY)}) / greatest(1, {_KNOWN}) AS sim, expected, predictable
+  FROM scaled f CROSS JOIN types t),
+best AS (SELECT coupon_id, list(struct_pack(score := {rnd("0.4 * sim + 0.35 * greatest(0, (expected + 1) / 2) + 0.25 * predictable", 4)}, neg := -size, grid_type := grid_type)) AS all_types
+  FROM scores GROUP BY coupon_id),
+ranked AS (SELECT coupon_id, list_reverse_sort(all_types) AS r FROM best)
+SELECT coupon_id, r[1].grid_type AS recommended, r[1].score AS score,
+  CASE WHEN coalesce(r[2].score, 0) > 0 THEN {rnd("least(1.0, (r[1].score - r[2].score) * 5 + 0.3)", 3)} ELSE 0.5e0 END AS confidence FROM ranked""", doubles="score confidence")
 def type_recommendations(spark, sf):
     table = feats(spark, sf)
-    return X.recommend_type(table, table)
+    scaled = with_exprs(table, {c: f"{c} / 2000.0D" for c in ("montant_parfait", "montant_presque")})
+    return X.recommend_type(scaled, scaled)

@@ -115,13 +115,12 @@ def profile_analysis(features: DataFrame) -> DataFrame:
 def _with_distinct(long: DataFrame, least: int) -> DataFrame:
     """Metrics holding at least ``least`` distinct values.
 
-    The sketch decides the clear cases; only columns it finds poor are counted exactly.
+    Values of different hash are different, so a bitmap of hashes with that many bits proves it;
+    columns it doesn't prove are counted exactly.
     """
-    clear = 50
-    sketch = long.groupBy("metric").agg(F.approx_count_distinct("x").alias("d"))
-    poor = long.join(F.broadcast(sketch.where(f"d < {clear}")), "metric").groupBy("metric").agg(
-        F.countDistinct("x").alias("d"))
-    return sketch.where(f"d >= {clear}").select("metric").unionByName(poor.where(f"d >= {least}").select("metric"))
+    bits = long.groupBy("metric").agg(F.expr("bitmap_count(bitmap_construct_agg(pmod(xxhash64(x), 32768)))").alias("d"))
+    poor = long.join(F.broadcast(bits.where(f"d < {least}")), "metric").groupBy("metric").agg(F.countDistinct("x").alias("d"))
+    return bits.where(f"d >= {least}").select("metric").unionByName(poor.where(f"d >= {least}").select("metric"))
 
 
 def threshold_effects(features: DataFrame) -> DataFrame:

@@ -18,3 +18,21 @@ def test_large_mean_and_constant_columns(spark, parts):
     assert abs(got["x"].r - np.corrcoef(x, y)[0, 1]) < 1e-6 and got["x"].distinct_x == 3
     assert got["same"].r is None and got["same"].distinct_x == 1
     assert got["nearly"].r is None and got["nearly"].distinct_x == 2
+
+
+@pytest.mark.parametrize("margins", [(0.0003, 0.03, None), (-0.3, None), (-0.2, 0.05, None), (None,)])
+def test_quantiles_when_brackets_miss(spark, monkeypatch, margins):
+    from pooltide.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "MARGINS", margins)
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=400), "b": np.repeat([1.0, 2.0, 7.0], [1, 300, 2]), "c": np.array([5.0]), "d": np.arange(97.0)}
+    df = spark.createDataFrame([(k, float(x), None if i % 3 else float(i)) for k, v in groups.items() for i, x in enumerate(v)], "k string, x double, y double")
+    probs = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
+    got = {(r.k, r.metric, r.prob): r.value for r in Q.exact_quantiles(df, ["x", "y"], probs, ["k"]).collect()}
+    want = {}
+    for k, v in groups.items():
+        for p in probs:
+            want[k, "x", p] = np.quantile(v, p)
+            want[k, "y", p] = np.quantile(np.arange(0, len(v), 3.0), p)
+    assert got == pytest.approx(want)

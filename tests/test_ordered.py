@@ -48,10 +48,10 @@ def test_halo_completes_trailing_frames(rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("whole", [100_000, 0])
-def test_exact_quantiles(spark, monkeypatch, whole):
+@pytest.mark.parametrize("margins", [Q.MARGINS, (0.0, None)])
+def test_exact_quantiles(spark, monkeypatch, margins):
     # whole = 0 sends every group through the sketch bracket.
-    monkeypatch.setattr(Q, "_WHOLE_GROUP", whole)
+    monkeypatch.setattr(Q, "MARGINS", margins)
     gen = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": np.where(np.arange(30_000) % 3 == 0, "a", "b"), "x": gen.lognormal(0, 3, 30_000),
                         "y": gen.integers(0, 4, 30_000).astype(float)})
