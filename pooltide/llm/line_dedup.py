@@ -12,6 +12,9 @@ nodes, and of all occurrences of a connected group the first by document id, the
 by line number stays. Bands are drawn by hash: a pair may be missed, and the README
 gives the share that is found.
 
+Most keys belong to one line only. They are never rows: tasks send packed keys by
+buckets of bounded size, and only keys that several lines have come out of a bucket.
+
 Lines without words (blank ones, and those of punctuation only) take no part and
 stay. All others can equal another; lines of fewer than FUZZY_CHARS characters,
 which one edit takes below the edit similarity, are no more than that. A
@@ -44,6 +47,8 @@ ROUNDS = 4
 BLOCKS = (13, 13, 13, 13, 12)
 #: Words a worker remembers before it forgets all of them; words whose weights are summed together.
 MAX_WORDS, SLICE_WORDS = 100_000, 50_000
+#: Keys of a bucket, about; letters of lines whose keys are made together; lines a task remembers to have sent.
+BUCKET_KEYS, SLICE_LETTERS, MAX_SEEN = 1 << 19, 4 << 20, 1_000_000
 #: Bits of the filter for documents that hold lines to be compared: 1 MB, however many there are.
 FILTER_BITS = 1 << 23
 _PUNCTUATION = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
@@ -121,32 +126,103 @@ def bands(lines: list[bytes], letters: int) -> np.ndarray:
     return keys.astype(np.uint32)
 
 
-def band_lists(lines: list[bytes], chars: np.ndarray) -> pa.Array:
-    """Keys of each line, each with the number of its band: of its short n-grams, its long ones or both, as its length wants."""
-    of: list[list[np.ndarray]] = [[] for _ in lines]
-    kinds = ((GRAM_SHORT, chars <= SHORT), (GRAM_LONG, chars >= SIMILARITY * SHORT))
-    for kind, (letters, wanted) in enumerate(kinds):
-        rows = np.flatnonzero(wanted)
-        if len(rows):
-            number = np.int64(1 << 40) + (np.arange(BANDS) + kind * BANDS << 32)  # above all keys of blocks
-            for r, own in zip(rows, bands([lines[r] for r in rows], letters).astype(np.int64) + number):
-                of[r].append(own)
-    ends = np.cumsum([0, *(sum(map(len, own)) for own in of)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([k for own in of for k in own]), pa.int64()))
+def line_keys(lines: list[bytes], chars: np.ndarray, simhash: np.ndarray, banded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines (64 bits, mixed) and the line of each: pairs of SimHash blocks and, if ``banded``, bands of the n-grams its length wants."""
+    starts = np.cumsum([0, *BLOCKS[:-1]]).tolist()
+    parts = [(simhash.view(np.uint64) >> np.uint64(at)) & np.uint64((1 << w) - 1) for at, w in zip(starts, BLOCKS)]
+    keys = [(parts[i] << np.uint64(17)) | (parts[j] << np.uint64(4)) | np.uint64(n) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
+    owner = [np.arange(len(lines))] * len(keys)
+    if banded:
+        for kind, (letters, wanted) in enumerate(((GRAM_SHORT, chars <= SHORT), (GRAM_LONG, chars >= SIMILARITY * SHORT))):
+            rows = np.flatnonzero(wanted)
+            if len(rows):
+                number = np.uint64(1 << 40) + (np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS) << np.uint64(32))  # above all keys of blocks
+                keys.append((bands([lines[r] for r in rows], letters) + number).ravel())
+                owner.append(np.repeat(rows, BANDS))
+    return _mixed(np.concatenate(keys)), np.concatenate(owner)
+
+
+def shared_keys(docs: DataFrame, banded: bool, n_lines: int) -> DataFrame:
+    """(key, num): the keys that several lines have, with the lines' numbers; most keys are one line's and never become rows.
+
+    A task sends its keys as packed pairs of 32 bits of the key and 64 of the line, one
+    binary a bucket; a bucket holds BUCKET_KEYS or so and is sorted in one task. A key of
+    another line by chance only costs a comparison.
+    """
+    buckets = 1 << max(0, (n_lines * (BANDS + 10) // BUCKET_KEYS).bit_length())
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    pair = np.dtype([("key", "<u4"), ("num", "<i8")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hasher = SimHasher()
+        seen: set[bytes] = set()
+        held: list[list[bytes]] = []
+        said: list[bytes] = []
+        letters = 0
+
+        def flush() -> pa.RecordBatch:
+            chars = np.array([len(j.decode("utf-8", "replace")) for j in said])
+            keys, owner = line_keys(said, chars, hasher.of(held), banded)
+            nums = np.array([line_number(xxhash.xxh3_128_digest(j)) for j in said], np.int64)
+            keep = chars[owner] >= FUZZY_CHARS
+            keys, owner = keys[keep], owner[keep]
+            bucket = (keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
+            order = np.argsort(bucket, kind="stable")
+            packed = np.empty(len(keys), pair)
+            packed["key"], packed["num"] = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), nums[owner[order]]
+            there, first = np.unique(bucket[order], return_index=True)
+            ends = [*first[1:].tolist(), len(packed)]
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(
+                [packed[a:z].tobytes() for a, z in zip(first.tolist(), ends)], pa.binary())], ["bucket", "packed"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                for words in split_lines(value.as_py()):
+                    if len(words) >= MIN_WORDS:
+                        line = b" ".join(words)
+                        digest = xxhash.xxh3_128_digest(line)
+                        if digest not in seen:
+                            if len(seen) >= MAX_SEEN:
+                                seen.clear()
+                            seen.add(digest)
+                            held.append(words)
+                            said.append(line)
+                            letters += len(line)
+                            if letters >= SLICE_LETTERS:
+                                yield flush()
+                                held, said, letters = [], [], 0
+        if held:
+            yield flush()
+
+    def find(bucket: tuple, table: pa.Table) -> pa.Table:
+        pairs = np.unique(np.frombuffer(b"".join(table.column("packed").to_pylist()), pair))
+        same = pairs["key"][1:] == pairs["key"][:-1]
+        several = np.append(same, False) | np.append(False, same)
+        return pa.table({"key": (pairs["key"][several].astype(np.int64) | (bucket[0].as_py() << 32)), "num": pairs["num"][several]})
+
+    packed = docs.where("text IS NOT NULL").select("text").mapInArrow(run, "bucket int, packed binary")
+    return packed.groupBy("bucket").applyInArrow(find, "key bigint, num bigint")
+
+
+def line_number(digest: bytes) -> int:
+    """The first half of a line's digest; two lines of one number are both looked at."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
 
 
-def occurrences(docs: DataFrame, banded: bool = False) -> DataFrame:
-    """(row, doc, line, node, simhash, chars, bands) of every line that takes part, from (row, doc, text)."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(row, doc, line, node, num, simhash, chars) of every line that takes part, from (row, doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hasher = SimHasher()
-        names = ["row", "doc", "line", "node", "simhash", "chars", "bands"]
+        names = ["row", "doc", "line", "node", "num", "simhash", "chars"]
         for batch in batches:
             held: list[list[bytes]] = []
             at: list[tuple[int, int]] = []
@@ -155,11 +231,11 @@ def occurrences(docs: DataFrame, banded: bool = False) -> DataFrame:
             def flush() -> pa.RecordBatch:
                 joined = [b" ".join(w) for w in held]
                 take = pa.array([a for a, _ in at], pa.int64())
-                chars = np.array([len(j.decode("utf-8", "replace")) for j in joined])
+                digests = list(map(xxhash.xxh3_128_digest, joined))
                 return pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array([n for _, n in at], pa.int32()),
-                     pa.array(map(xxhash.xxh3_128_digest, joined), pa.binary()), pa.array(hasher.of(held), pa.int64()),
-                     pa.array(chars, pa.int32()), band_lists(joined, chars) if banded else pa.nulls(len(joined), pa.list_(pa.int64()))], names)
+                     pa.array(digests, pa.binary()), pa.array(map(line_number, digests), pa.int64()), pa.array(hasher.of(held), pa.int64()),
+                     pa.array([len(j.decode("utf-8", "replace")) for j in joined], pa.int32())], names)
 
             for i, value in enumerate(batch.column(2)):
                 for n, line in enumerate(split_lines(value.as_py())):
@@ -174,25 +250,22 @@ def occurrences(docs: DataFrame, banded: bool = False) -> DataFrame:
                 yield flush()
 
     return docs.where("text IS NOT NULL").select("row", "doc", "text").mapInArrow(
-        run, "row bigint, doc bigint, line int, node binary, simhash bigint, chars int, bands array<bigint>")
-
+        run, "row bigint, doc bigint, line int, node binary, num bigint, simhash bigint, chars int")
 
-def block_keys(simhash: str) -> Column:
-    """The ten pairs of blocks of a SimHash, each with the number of its pair."""
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    parts = [F.expr(f"shiftrightunsigned({simhash}, {s}) & {(1 << w) - 1}L") for s, w in zip(starts, BLOCKS)]
-    return F.array(*(F.shiftleft(parts[i], 17) + F.shiftleft(parts[j], 4) + F.lit(n)
-                     for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))))
 
-
-def in_filter(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """Rows of ``df`` whose key may be among the wanted keys: a bitmap of FILTER_BITS bits, so its size is bounded."""
+def flagged(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, flag: str) -> DataFrame:
+    """``df`` with ``flag``: whether a row's key may be among the wanted keys, by a bitmap of FILTER_BITS bits, so its size is bounded."""
     bits = wanted.select(F.pmod(wanted_key, F.lit(FILTER_BITS)).alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("__bucket")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("__bits"))
     with_bit = df.withColumn("__b", F.pmod(key, F.lit(FILTER_BITS))).withColumn("__bucket", F.expr("bitmap_bucket_number(__b)"))
     byte = "CAST(conv(hex(substring(__bits, CAST(bitmap_bit_position(__b) DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
-    return with_bit.join(F.broadcast(bits), "__bucket").where(
-        F.expr(f"shiftright({byte}, CAST(bitmap_bit_position(__b) % 8 AS INT)) & 1 = 1")).drop("__b", "__bucket", "__bits")
+    return with_bit.join(F.broadcast(bits), "__bucket", "left").withColumn(flag, F.expr(
+        f"coalesce(shiftright({byte}, CAST(bitmap_bit_position(__b) % 8 AS INT)) & 1 = 1, false)")).drop("__b", "__bucket", "__bits")
+
+
+def in_filter(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows of ``df`` whose key may be among the wanted keys."""
+    return flagged(df, key, wanted, wanted_key, "__may").where("__may").drop("__may")
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -213,8 +286,8 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("text", "lines").mapInArrow(run, "node binary, said string").groupBy("node").agg(F.max("said").alias("said"))
 
 
-def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = BITS) -> DataFrame:
-    """Verified pairs (a, b) that connect all similar nodes (node, row, line, simhash, chars, bands, n) that meet.
+def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = None) -> DataFrame:
+    """Verified pairs (a, b) that connect all similar nodes (node, num, row, line, simhash, chars, n) that meet.
 
     Nodes of a key are first compared with its commonest node, then, in ROUNDS - 1
     further rounds, with one drawn by hash, each time only across components; what
@@ -222,11 +295,9 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = BITS)
     each, and no pair that could connect two components is left out.
     """
     near = f"least(ca, cb) >= {SIMILARITY}D * greatest(ca, cb)" + ("" if radius is None else f" AND bit_count(ha ^ hb) <= {radius}")
-    keys = block_keys("simhash") if radius is not None else F.concat(block_keys("simhash"), F.col("bands"))
-    keyed = nodes.where(F.col("chars") >= FUZZY_CHARS).select(F.explode(keys).alias("key"), F.col("node").alias("a"),
-                         F.col("simhash").alias("ha"), F.col("chars").alias("ca"), F.col("n").alias("na"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    crowded = written(keyed.join(full, "key"), "crowded")
+    keyed = shared_keys(docs, radius is None, nodes.count())
+    crowded = written(keyed.join(nodes.where(F.col("chars") >= FUZZY_CHARS).select(
+        "num", F.col("node").alias("a"), F.col("simhash").alias("ha"), F.col("chars").alias("ca"), F.col("n").alias("na")), "num").drop("num"), "crowded")
     other = crowded.select("key", F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("ca").alias("cb"))
     close = written(crowded.alias("x").join(other.alias("y"), F.expr(f"x.key = y.key AND a <> b AND {near}"), "left_semi"), "close")
     discard(crowded)
@@ -269,27 +340,27 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = BITS)
     return links
 
 
-def duplicate_lines(docs: DataFrame, radius: int | None = BITS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, radius: int | None = None) -> DataFrame:
     """(row, lines): numbers of the lines of each document (row, doc, text) that go."""
-    held = written(occurrences(docs, radius is None), "occurrences")
+    held = written(occurrences(docs), "occurrences")
     nodes = written(held.groupBy("node").agg(
         F.min(F.struct(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), "row", "line")).alias("first"), F.count("*").alias("n"),
-        F.min("simhash").alias("simhash"), F.min("chars").alias("chars"), F.min("bands").alias("bands")), "line-nodes")
-    links = written(similar_lines(nodes.select("node", "first.row", "first.line", "simhash", "chars", "bands", "n"), docs, radius), "line-links")
+        F.min("num").alias("num"), F.min("simhash").alias("simhash"), F.min("chars").alias("chars")), "line-nodes")
+    links = written(similar_lines(nodes.select("node", "num", "first.row", "first.line", "simhash", "chars", "n"), docs, radius), "line-links")
     groups = components(links)
     joined = nodes.join(groups, "node")
     best = joined.groupBy("component").agg(F.min("first").alias("best"))
     linked = joined.select("node", "component").join(best, "component").select("node", "best")
     alone = nodes.where("n > 1").join(groups, "node", "left_anti").select("node", F.col("first").alias("best"))
     stays = linked.unionByName(alone)
-    gone = held.drop("bands").join(stays, "node").where("NOT (row = best.row AND line = best.line)")
+    gone = held.join(stays, "node").where("NOT (row = best.row AND line = best.line)")
     out = written(gone.groupBy("row").agg(F.collect_set("line").alias("lines")), "gone-lines")  # lines of one document
     for table in (held, nodes):
         discard(table)
     return out
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int | None = BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and how many: ``lines`` and ``dropped`` (long). Runs jobs.
 
     ``radius`` None compares all lines that meet; a number only those whose
@@ -300,8 +371,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     schema = T.StructType([*(f for f in docs.schema.fields if f.name not in ("lines", "dropped")),
                            T.StructField("lines", T.LongType()), T.StructField("dropped", T.LongType())])
     stay = schema.names[:-2]
-    joined = docs.select(*stay).withColumn("__row", row_key(doc_id, text)).join(
-        gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone")), "__row", "left").drop("__row")
+    # Only documents that may lose a line are dealt by their key; the others stay where they are.
+    rows = flagged(docs.select(*stay).withColumn("__row", row_key(doc_id, text)), F.col("__row"), gone, F.col("row"), "__may")
+    lists = gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone"))
+    joined = rows.where("__may").join(lists, "__row", "left").select(*stay, "__gone").unionByName(
+        rows.where("NOT __may").select(*stay, F.lit(None).cast("array<int>").alias("__gone")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,4 +389,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
             columns = [pa.array(texts, pa.string()) if n == text else batch.column(batch.schema.get_field_index(n)) for n in stay]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], schema.names)
 
-    return joined.select(*stay, "__gone").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)

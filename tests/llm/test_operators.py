@@ -1,5 +1,6 @@
 """Every operator against brute force on small rows, with the cases its docstring defines."""
 
+import functools
 import random
 
 import numpy as np
@@ -130,7 +131,9 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("radius, bucket_keys", [(3, 1 << 19), (None, 500)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, radius, bucket_keys):
+    monkeypatch.setattr(line_dedup, "BUCKET_KEYS", bucket_keys)
     rng = random.Random(4)
     lines = [prose(60, rng) for _ in range(8)]
     near = []
@@ -145,6 +148,7 @@ def test_line_dedup_equals_brute_force(spark):
     hasher = line_dedup.SimHasher()
     codes = [int(c) & (2**64 - 1) for c in hasher.of([said.encode().split() for _, _, said in occ])]
 
+    @functools.cache
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -156,11 +160,11 @@ def test_line_dedup_equals_brute_force(spark):
     def linked(a, b):
         x, y = occ[a][2], occ[b][2]
         most = max(len(x), len(y))
-        return x == y or bin(codes[a] ^ codes[b]).count("1") <= 3 and min(len(x), len(y)) >= 0.8 * most and distance(x, y) <= 0.2 * most
+        return x == y or (radius is None or bin(codes[a] ^ codes[b]).count("1") <= radius) and min(len(x), len(y)) >= 0.8 * most and distance(x, y) <= 0.2 * most
 
     root = brute_components(len(occ), linked)
     gone = {(i, n) for k, (i, n, _) in enumerate(occ) if root[k] != k}
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, texts).withColumn("lines", F.lit("clash"))).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, texts).withColumn("lines", F.lit("clash")), radius=radius).collect()}
     for i, t in enumerate(texts):
         want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
         assert got[i].text == want and got[i].dropped == sum(a == i for a, _ in gone)
