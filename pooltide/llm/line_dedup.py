@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pooltide.llm.edits import distances
 from pooltide.llm.tables import components, discard, written
 
 MIN_WORDS, FUZZY_CHARS, BITS, SIMILARITY = 1, 5, 3, 0.8
@@ -47,6 +48,8 @@ ROUNDS = 4
 BLOCKS = (13, 13, 13, 13, 12)
 #: Words a worker remembers before it forgets all of them; words whose weights are summed together.
 MAX_WORDS, SLICE_WORDS = 100_000, 50_000
+#: Longer lines are compared by Spark's own edit distance, which stops at a limit; the others many at once.
+LONG_CHARS = 1024
 #: Keys of a bucket, about; letters of lines whose keys are made together; lines a task remembers to have sent.
 BUCKET_KEYS, SLICE_LETTERS, MAX_SEEN = 1 << 19, 4 << 20, 1_000_000
 #: Bits of the filter for documents that hold lines to be compared: 1 MB, however many there are.
@@ -286,6 +289,19 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("text", "lines").mapInArrow(run, "node binary, said string").groupBy("node").agg(F.max("said").alias("said"))
 
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, sa, sb, most) those within ``most`` edits, and unchanged those of more than LONG_CHARS characters."""
+    for batch in batches:
+        left, right, most = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_numpy()
+        short = np.fromiter((max(len(x), len(y)) <= LONG_CHARS for x, y in zip(left, right)), bool, len(left))
+        rows = np.flatnonzero(short)
+        close = rows[distances([left[r] for r in rows], [right[r] for r in rows]) <= most[rows]]
+        for kept, said in ((close, False), (np.flatnonzero(~short), True)):
+            part = batch.take(pa.array(kept))
+            none = pa.nulls(len(kept), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(part.column(i) if said else none for i in (2, 3)), part.column(4)], batch.schema.names)
+
+
 def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = None) -> DataFrame:
     """Verified pairs (a, b) that connect all similar nodes (node, num, row, line, simhash, chars, n) that meet.
 
@@ -316,7 +332,9 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = None)
         both = (pairs.join(said.select(F.col("node").alias("a"), F.col("said").alias("sa")), "a")
                 .join(said.select(F.col("node").alias("b"), F.col("said").alias("sb")), "b")
                 .withColumn("most", F.expr(f"CAST(floor({round(1 - SIMILARITY, 6)} * greatest(length(sa), length(sb))) AS INT)")))
-        fresh = written(both.where("levenshtein(sa, sb, most) >= 0").select("a", "b"), "line-links")
+        # Verified pairs come back without their lines; those of long lines still have them.
+        fresh = written(both.select("a", "b", "sa", "sb", "most").mapInArrow(_verified, "a binary, b binary, sa string, sb string, most int").where(
+            "sa IS NULL OR levenshtein(sa, sb, most) >= 0").select("a", "b"), "line-links")
         links = fresh if links is None else links.unionByName(fresh)
 
     def apart(rows: DataFrame) -> DataFrame:

@@ -131,9 +131,27 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
-@pytest.mark.parametrize("radius, bucket_keys", [(3, 1 << 19), (None, 500)])
-def test_line_dedup_equals_brute_force(spark, monkeypatch, radius, bucket_keys):
+def test_edit_distances_of_many_pairs(spark):
+    from pooltide.llm.edits import distances
+
+    rng = random.Random(1)
+    pairs = [("", ""), ("", "ab"), ("日本", "日"), ("😀" * 70, "😀" * 66 + "é")]
+    for size in (1, 5, 63, 64, 65, 128, 129, 300) * 30:
+        one = [rng.choice("abcé日 ") for _ in range(size)]
+        other = list(one)
+        for _ in range(rng.choice([0, 1, 3, 20, 90])):
+            at = rng.randrange(len(other) + 1)
+            other[at:at + rng.choice([0, 1])] = rng.choice(["", "x", "😀"])
+        pairs.append(("".join(one), "".join(other)))
+    want = [r.d for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string").selectExpr(
+        "i", "levenshtein(x, y) AS d").orderBy("i").collect()]
+    assert distances(*map(list, zip(*pairs))).tolist() == want
+
+
+@pytest.mark.parametrize("radius, bucket_keys, long_chars", [(3, 1 << 19, 1024), (None, 500, 300)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, radius, bucket_keys, long_chars):
     monkeypatch.setattr(line_dedup, "BUCKET_KEYS", bucket_keys)
+    monkeypatch.setattr(line_dedup, "LONG_CHARS", long_chars)
     rng = random.Random(4)
     lines = [prose(60, rng) for _ in range(8)]
     near = []
