@@ -350,11 +350,15 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = None)
         centre = left.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "a", "ha", "ca", "own")).alias("c")).select(
             "key", F.col("c.a").alias("b"), F.col("c.ha").alias("hb"), F.col("c.ca").alias("cb"), F.col("c.own").alias("other_own"))
         compare(left.join(centre, "key").where(f"own <> other_own AND {near}").select("a", "b"))
-        left = apart(left)
+        before, left = left, apart(left)
+        discard(before)
         if left.isEmpty():
-            return links
-    second = left.select("key", F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("ca").alias("cb"), F.col("own").alias("other_own"))
-    compare(left.join(second, "key").where(f"own < other_own AND {near}").select("a", "b"))
+            break
+    else:
+        second = left.select("key", F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("ca").alias("cb"), F.col("own").alias("other_own"))
+        compare(left.join(second, "key").where(f"own < other_own AND {near}").select("a", "b"))
+    for table in (said, left, tested):
+        discard(table)
     return links
 
 
