@@ -56,15 +56,13 @@ def validated(systems: DataFrame) -> DataFrame:
     return with_exprs(combination_counts(systems), {"error": _ERRORS})
 
 
-def _cover(sizes: list[int], guarantees: list[tuple[int, float]]) -> list[bytes]:
-    """Greedy cover of all choices of one of ``sizes[k]`` outcomes per leg, as bytes of outcome numbers.
-
-    Per tier, in ascending radius, take the combination that covers most of what is left.
-    """
-    codes = np.array(list(product(*map(range, sizes))), dtype=np.uint8)
-    total = len(codes)
+def _cover(selections: list[list[str]], guarantees: list[tuple[int, float]]) -> list[str]:
+    """Greedy cover: per tier, in ascending radius, take the combination that covers most of what is left."""
+    combos = ["".join(c) for c in product(*selections)]
+    total = len(combos)
     if total == 1:
-        return [codes[0].tobytes()]
+        return combos
+    codes = np.array([np.frombuffer(c.encode("ascii"), dtype=np.uint8) for c in combos])
     distance = np.zeros((total, total), dtype=np.uint8)
     for leg in range(codes.shape[1]):
         distance += codes[:, leg][:, None] != codes[:, leg][None, :]
@@ -85,7 +83,7 @@ def _cover(sizes: list[int], guarantees: list[tuple[int, float]]) -> list[bytes]
             n_covered += len(fresh)
             gains -= within[fresh].sum(axis=0, dtype=np.int32)
             gains[best] = -1
-    return [codes[i].tobytes() for i in chosen]
+    return [combos[i] for i in chosen]
 
 
 def split_systems(systems: DataFrame) -> DataFrame:
@@ -112,7 +110,7 @@ def covering_systems(systems: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            covers = [[list(c) for c in _cover(list(row.shape), [(t["radius"], t["coverage"]) for t in row.tiers])]
+            covers = [[[int(o) for o in c] for c in _cover(["012"[:n] for n in row.shape], [(t["radius"], t["coverage"]) for t in row.tiers])]
                       for row in batch.itertuples(index=False)]
             yield batch[["shape", "tiers"]].assign(cover=covers)
 
