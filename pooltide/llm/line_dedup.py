@@ -41,7 +41,7 @@ from pooltide.llm.tables import components, discard, written
 MIN_WORDS, FUZZY_CHARS, BITS, SIMILARITY = 1, 5, 3, 0.8
 #: Bands of a line, minima in each, and the letters of an n-gram: the short ones for lines of at most SHORT
 #: characters, the long ones from SIMILARITY * SHORT on, so that lines of similar length have a kind in common.
-BANDS, MINIMA, SHORT, GRAM_SHORT, GRAM_LONG = 40, 3, 40, 3, 6
+BANDS, MINIMA, SHORT, GRAM_SHORT, GRAM_LONG = 48, 3, 40, 3, 8
 #: Rounds of comparison with one node of each key, before the rest is compared pairwise.
 ROUNDS = 4
 #: Widths of the blocks of a SimHash.
@@ -50,8 +50,8 @@ BLOCKS = (13, 13, 13, 13, 12)
 MAX_WORDS, SLICE_WORDS = 100_000, 50_000
 #: Longer lines are compared by Spark's own edit distance, which stops at a limit; the others many at once.
 LONG_CHARS = 1024
-#: Keys of a bucket, about; letters of lines whose keys are made together; lines a task remembers to have sent.
-BUCKET_KEYS, SLICE_LETTERS, MAX_SEEN = 1 << 19, 4 << 20, 1_000_000
+#: Keys of a bucket, about; letters of lines whose keys are sent together, and of those whose n-grams are one array; lines a task remembers to have sent.
+BUCKET_KEYS, SLICE_LETTERS, PART_LETTERS, MAX_SEEN = 1 << 19, 4 << 20, 1 << 18, 1_000_000
 #: Bits of the filter for documents that hold lines to be compared: 1 MB, however many there are.
 FILTER_BITS = 1 << 23
 _PUNCTUATION = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
@@ -103,30 +103,30 @@ def _mixed(value: np.ndarray) -> np.ndarray:
 
 
 def bands(lines: list[bytes], letters: int) -> np.ndarray:
-    """Keys of the BANDS bands of each line (32 bits each): minima over its n-grams, which are dealt over the bands by hash."""
-    padded = [b" " * letters + line + b" " * letters for line in lines]
-    b = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    value = np.zeros(len(b) - letters + 1, np.uint64)
+    """Keys of the BANDS bands of each line: minima over its n-grams, which are dealt by hash over all minima of all bands at once."""
+    text = np.frombuffer(b" " * letters + (b" " * letters).join(lines) + b" " * letters, np.uint8)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    value = np.zeros(len(text) - letters + 1, np.uint64)
     for i in range(letters):
-        value = value * np.uint64(0x9E3779B97F4A7C15) + b[i:len(value) + i] + np.uint64(1)
-    # Windows that begin in the last letters - 1 places of a line would reach into the next one; the first and last of the others are blank.
-    line = np.repeat(np.arange(len(lines)), sizes - letters - 1)
-    at = np.arange(len(line)) + np.repeat(np.cumsum(sizes) - sizes + 1 - np.cumsum(sizes - letters - 1) + (sizes - letters - 1), sizes - letters - 1)
-    value, keys, none = _mixed(value[at]), np.zeros((len(lines), BANDS), np.uint64), np.uint64(2**64 - 1)
+        value *= np.uint64(0x9E3779B97F4A7C15)
+        value += text[i:len(value) + i]
+        value += np.uint64(1)
+    windows = sizes + letters - 1  # those that hold a letter of the line
+    line = np.repeat(np.arange(len(lines)), windows)
+    first = np.cumsum(sizes + letters) - sizes - letters + 1
+    drawn = _mixed(value[np.arange(len(line)) + np.repeat(first - np.cumsum(windows) + windows, windows)])
+    bins, none = BANDS * MINIMA, np.uint64(2**64 - 1)
+    least = np.full(len(lines) * bins, none)
+    np.minimum.at(least, line * bins + ((drawn >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64),
+                  _mixed(drawn + np.uint64(0x9E3779B97F4A7C15)))
+    least = least.reshape(-1, bins)
+    # A minimum without n-grams takes over from the last one before it that has some, the first ones from the end.
+    source = np.maximum.accumulate(np.where(least != none, np.arange(bins), -1), axis=1)
+    least = np.take_along_axis(least, np.where(source < 0, source[:, -1:], source), axis=1)
+    keys = np.zeros((len(lines), BANDS), np.uint64)
     for turn in range(MINIMA):
-        drawn = _mixed(value + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        band = ((drawn >> np.uint64(32)) * np.uint64(BANDS) >> np.uint64(32)).astype(np.int64)
-        least = np.full(len(lines) * BANDS, none)
-        np.minimum.at(least, line * BANDS + band, _mixed(drawn))
-        least = least.reshape(-1, BANDS)
-        for _ in range(BANDS):  # a band without n-grams takes over from the one before it
-            if not (least == none).any():
-                break
-            before = np.roll(least, 1, axis=1)
-            least = np.where((least == none) & (before != none), _mixed(before + np.uint64(1)), least)
-        keys = _mixed(keys + least)
-    return keys.astype(np.uint32)
+        keys = _mixed(keys + least[:, turn * BANDS:(turn + 1) * BANDS] + np.uint64(1))
+    return keys
 
 
 def line_keys(lines: list[bytes], chars: np.ndarray, simhash: np.ndarray, banded: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +139,8 @@ def line_keys(lines: list[bytes], chars: np.ndarray, simhash: np.ndarray, banded
         for kind, (letters, wanted) in enumerate(((GRAM_SHORT, chars <= SHORT), (GRAM_LONG, chars >= SIMILARITY * SHORT))):
             rows = np.flatnonzero(wanted)
             if len(rows):
-                number = np.uint64(1 << 40) + (np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS) << np.uint64(32))  # above all keys of blocks
-                keys.append((bands([lines[r] for r in rows], letters) + number).ravel())
+                number = np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(kind * BANDS)  # keys of 64 bits: those of blocks are met by chance only
+                keys.append(_mixed(bands([lines[r] for r in rows], letters) + number * np.uint64(0x9E3779B97F4A7C15)).ravel())
                 owner.append(np.repeat(rows, BANDS))
     return _mixed(np.concatenate(keys)), np.concatenate(owner)
 
@@ -148,11 +148,12 @@ def line_keys(lines: list[bytes], chars: np.ndarray, simhash: np.ndarray, banded
 def shared_keys(docs: DataFrame, banded: bool, n_lines: int) -> DataFrame:
     """(key, num): the keys that several lines have, with the lines' numbers; most keys are one line's and never become rows.
 
-    A task sends its keys as packed pairs of 32 bits of the key and 64 of the line, one
-    binary a bucket; a bucket holds BUCKET_KEYS or so and is sorted in one task. A key of
-    another line by chance only costs a comparison.
+    A task sends its keys as packed pairs of 32 bits of the key and ``number_bytes`` of the
+    line's number, one binary a bucket; a bucket holds BUCKET_KEYS or so and is sorted in one
+    task. A key of another line by chance only costs a comparison.
     """
     buckets = 1 << max(0, (n_lines * (BANDS + 10) // BUCKET_KEYS).bit_length())
+    width = number_bytes(n_lines)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     pair = np.dtype([("key", "<u4"), ("num", "<i8")])
 
@@ -167,14 +168,19 @@ def shared_keys(docs: DataFrame, banded: bool, n_lines: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             chars = np.array([len(j.decode("utf-8", "replace")) for j in said])
-            keys, owner = line_keys(said, chars, hasher.of(held), banded)
+            simhash = hasher.of(held)
+            ends = np.cumsum(np.fromiter(map(len, said), np.int64, len(said)))
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(PART_LETTERS, ends[-1], PART_LETTERS)) + 1, len(said))).tolist()
+            parts = [(a, line_keys(said[a:z], chars[a:z], simhash[a:z], banded)) for a, z in zip([0, *cuts], cuts)]
+            keys, owner = np.concatenate([k for _, (k, _) in parts]), np.concatenate([o + a for a, (_, o) in parts])
             nums = np.array([line_number(xxhash.xxh3_128_digest(j)) for j in said], np.int64)
             keep = chars[owner] >= FUZZY_CHARS
             keys, owner = keys[keep], owner[keep]
             bucket = (keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
             order = np.argsort(bucket, kind="stable")
-            packed = np.empty(len(keys), pair)
-            packed["key"], packed["num"] = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), nums[owner[order]]
+            packed = np.empty((len(keys), 4 + width), np.uint8)
+            packed[:, :4] = keys[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :4]
+            packed[:, 4:] = nums.astype("<i8").view(np.uint8).reshape(-1, 8)[owner[order], :width]
             there, first = np.unique(bucket[order], return_index=True)
             ends = [*first[1:].tolist(), len(packed)]
             return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(
@@ -200,7 +206,14 @@ def shared_keys(docs: DataFrame, banded: bool, n_lines: int) -> DataFrame:
             yield flush()
 
     def find(bucket: tuple, table: pa.Table) -> pa.Table:
-        pairs = np.unique(np.frombuffer(b"".join(table.column("packed").to_pylist()), pair))
+        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint8).reshape(-1, 4 + width)
+        num = np.zeros((len(packed), 8), np.uint8)
+        num[:, :width] = packed[:, 4:]
+        pairs = np.empty(len(packed), pair)
+        pairs["key"], pairs["num"] = np.ascontiguousarray(packed[:, :4]).view("<u4").ravel(), num.view("<i8").ravel()
+        order = np.argsort(pairs["key"], kind="stable")
+        same = pairs["key"][order[1:]] == pairs["key"][order[:-1]]
+        pairs = np.unique(pairs[order[np.append(same, False) | np.append(False, same)]])
         same = pairs["key"][1:] == pairs["key"][:-1]
         several = np.append(same, False) | np.append(False, same)
         return pa.table({"key": (pairs["key"][several].astype(np.int64) | (bucket[0].as_py() << 32)), "num": pairs["num"][several]})
@@ -214,12 +227,17 @@ def line_number(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def number_bytes(n_lines: int) -> int:
+    """The lowest bytes of a line's number that are sent: with so many hardly any two of the lines are taken for each other."""
+    return min(8, -(-(2 * max(n_lines, 1).bit_length() + 2) // 8))
+
+
 def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(row, doc, line, node, num, simhash, chars) of every line that takes part, from (row, doc, text)."""
+def occurrences(docs: DataFrame, hashed: bool = True) -> DataFrame:
+    """(row, doc, line, node, num, simhash, chars) of every line that takes part, from (row, doc, text); ``simhash`` is 0 unless ``hashed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -237,7 +255,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 digests = list(map(xxhash.xxh3_128_digest, joined))
                 return pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array([n for _, n in at], pa.int32()),
-                     pa.array(digests, pa.binary()), pa.array(map(line_number, digests), pa.int64()), pa.array(hasher.of(held), pa.int64()),
+                     pa.array(digests, pa.binary()), pa.array(map(line_number, digests), pa.int64()), pa.array(hasher.of(held) if hashed else np.zeros(len(held), np.int64), pa.int64()),
                      pa.array([len(j.decode("utf-8", "replace")) for j in joined], pa.int32())], names)
 
             for i, value in enumerate(batch.column(2)):
@@ -311,9 +329,12 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = None)
     each, and no pair that could connect two components is left out.
     """
     near = f"least(ca, cb) >= {SIMILARITY}D * greatest(ca, cb)" + ("" if radius is None else f" AND bit_count(ha ^ hb) <= {radius}")
-    keyed = shared_keys(docs, radius is None, nodes.count())
+    n_lines = nodes.count()
+    keyed = shared_keys(docs, radius is None, n_lines)
+    sent = number_bytes(n_lines)
+    num = F.col("num") if sent == 8 else F.col("num").bitwiseAND(F.lit((1 << 8 * sent) - 1))
     crowded = written(keyed.join(nodes.where(F.col("chars") >= FUZZY_CHARS).select(
-        "num", F.col("node").alias("a"), F.col("simhash").alias("ha"), F.col("chars").alias("ca"), F.col("n").alias("na")), "num").drop("num"), "crowded")
+        num.alias("num"), F.col("node").alias("a"), F.col("simhash").alias("ha"), F.col("chars").alias("ca"), F.col("n").alias("na")), "num").drop("num"), "crowded")
     other = crowded.select("key", F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("ca").alias("cb"))
     close = written(crowded.alias("x").join(other.alias("y"), F.expr(f"x.key = y.key AND a <> b AND {near}"), "left_semi"), "close")
     discard(crowded)
@@ -364,7 +385,7 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = None)
 
 def duplicate_lines(docs: DataFrame, radius: int | None = None) -> DataFrame:
     """(row, lines): numbers of the lines of each document (row, doc, text) that go."""
-    held = written(occurrences(docs), "occurrences")
+    held = written(occurrences(docs, radius is not None), "occurrences")
     nodes = written(held.groupBy("node").agg(
         F.min(F.struct(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), "row", "line")).alias("first"), F.count("*").alias("n"),
         F.min("num").alias("num"), F.min("simhash").alias("simhash"), F.min("chars").alias("chars")), "line-nodes")
