@@ -50,7 +50,7 @@ BLOCKS = (13, 13, 13, 13, 12)
 MAX_WORDS, SLICE_WORDS = 100_000, 50_000
 #: Longer lines are compared by Spark's own edit distance, which stops at a limit; the others many at once.
 LONG_CHARS = 1024
-#: Keys of a bucket, about; letters of lines whose keys are sent together, and of those whose n-grams are one array; lines a task remembers to have sent.
+#: Keys of a bucket, about; letters of lines whose keys are sent together, and of those whose words and n-grams are one array; lines a task remembers to have sent.
 BUCKET_KEYS, SLICE_LETTERS, PART_LETTERS, MAX_SEEN = 1 << 19, 4 << 20, 1 << 18, 1_000_000
 #: Bits of the filter for documents that hold lines to be compared: 1 MB, however many there are.
 FILTER_BITS = 1 << 23
@@ -162,16 +162,14 @@ def shared_keys(docs: DataFrame, banded: bool, n_lines: int) -> DataFrame:
 
         hasher = SimHasher()
         seen: set[bytes] = set()
-        held: list[list[bytes]] = []
         said: list[bytes] = []
         letters = 0
 
         def flush() -> pa.RecordBatch:
             chars = np.array([len(j.decode("utf-8", "replace")) for j in said])
-            simhash = hasher.of(held)
             ends = np.cumsum(np.fromiter(map(len, said), np.int64, len(said)))
             cuts = np.unique(np.append(np.searchsorted(ends, np.arange(PART_LETTERS, ends[-1], PART_LETTERS)) + 1, len(said))).tolist()
-            parts = [(a, line_keys(said[a:z], chars[a:z], simhash[a:z], banded)) for a, z in zip([0, *cuts], cuts)]
+            parts = [(a, line_keys(said[a:z], chars[a:z], hasher.of([j.split() for j in said[a:z]]), banded)) for a, z in zip([0, *cuts], cuts)]
             keys, owner = np.concatenate([k for _, (k, _) in parts]), np.concatenate([o + a for a, (_, o) in parts])
             nums = np.array([line_number(xxhash.xxh3_128_digest(j)) for j in said], np.int64)
             keep = chars[owner] >= FUZZY_CHARS
@@ -196,13 +194,12 @@ def shared_keys(docs: DataFrame, banded: bool, n_lines: int) -> DataFrame:
                             if len(seen) >= MAX_SEEN:
                                 seen.clear()
                             seen.add(digest)
-                            held.append(words)
                             said.append(line)
                             letters += len(line)
                             if letters >= SLICE_LETTERS:
                                 yield flush()
-                                held, said, letters = [], [], 0
-        if held:
+                                said, letters = [], 0
+        if said:
             yield flush()
 
     def find(bucket: tuple, table: pa.Table) -> pa.Table:
