@@ -145,8 +145,8 @@ def line_keys(lines: list[bytes], chars: np.ndarray, simhash: np.ndarray, banded
     return _mixed(np.concatenate(keys)), np.concatenate(owner)
 
 
-def shared_keys(docs: DataFrame, banded: bool, n_lines: int) -> DataFrame:
-    """(key, num): the keys that several lines have, with the lines' numbers; most keys are one line's and never become rows.
+def shared_keys(docs: DataFrame, banded: bool, n_lines: int) -> tuple[DataFrame, DataFrame]:
+    """(key, num): the keys that several lines have, with the lines' numbers, and the table to discard after it. Most keys are one line's and never become rows.
 
     A task sends its keys as packed pairs of 32 bits of the key and ``number_bytes`` of the
     line's number, one binary a bucket; a bucket holds BUCKET_KEYS or so and is sorted in one
@@ -213,10 +213,19 @@ def shared_keys(docs: DataFrame, banded: bool, n_lines: int) -> DataFrame:
         pairs = np.unique(pairs[order[np.append(same, False) | np.append(False, same)]])
         same = pairs["key"][1:] == pairs["key"][:-1]
         several = np.append(same, False) | np.append(False, same)
-        return pa.table({"key": (pairs["key"][several].astype(np.int64) | (bucket[0].as_py() << 32)), "num": pairs["num"][several]})
+        pairs = pairs[several]
+        starts = np.flatnonzero(np.append(True, pairs["key"][1:] != pairs["key"][:-1])) if len(pairs) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(pairs)))
+        mixed = _mixed(pairs["num"].astype(np.uint64) + np.uint64(1))
+        folds = [np.repeat(f.reduceat(m, starts), sizes).view(np.int64) if len(pairs) else np.zeros(0, np.int64)
+                 for f, m in ((np.bitwise_xor, mixed), (np.add, _mixed(mixed + np.uint64(1))))]
+        return pa.table({"key": (pairs["key"].astype(np.int64) | (bucket[0].as_py() << 32)), "num": pairs["num"], "fold": folds[0], "fold2": folds[1]})
 
     packed = docs.where("text IS NOT NULL").select("text").mapInArrow(run, "bucket int, packed binary")
-    return packed.groupBy("bucket").applyInArrow(find, "key bigint, num bigint")
+    keyed = written(packed.groupBy("bucket").applyInArrow(find, "key bigint, num bigint, fold bigint, fold2 bigint"), "line-keys")
+    # Near copies share most of their keys: of keys with the same lines (128 bits of their numbers folded) one is enough.
+    one = keyed.groupBy("fold", "fold2").agg(F.min("key").alias("key")).select("key")
+    return keyed.join(one, "key", "left_semi").select("key", "num"), keyed
 
 
 def line_number(digest: bytes) -> int:
@@ -327,11 +336,12 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = None)
     """
     near = f"least(ca, cb) >= {SIMILARITY}D * greatest(ca, cb)" + ("" if radius is None else f" AND bit_count(ha ^ hb) <= {radius}")
     n_lines = nodes.count()
-    keyed = shared_keys(docs, radius is None, n_lines)
+    keyed, stored = shared_keys(docs, radius is None, n_lines)
     sent = number_bytes(n_lines)
     num = F.col("num") if sent == 8 else F.col("num").bitwiseAND(F.lit((1 << 8 * sent) - 1))
     crowded = written(keyed.join(nodes.where(F.col("chars") >= FUZZY_CHARS).select(
         num.alias("num"), F.col("node").alias("a"), F.col("simhash").alias("ha"), F.col("chars").alias("ca"), F.col("n").alias("na")), "num").drop("num"), "crowded")
+    discard(stored)
     other = crowded.select("key", F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("ca").alias("cb"))
     close = written(crowded.alias("x").join(other.alias("y"), F.expr(f"x.key = y.key AND a <> b AND {near}"), "left_semi"), "close")
     discard(crowded)
@@ -359,7 +369,9 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, radius: int | None = None)
         """Rows of the keys whose nodes are still in several components, with their component."""
         own = rows.drop("own").join(components(links).select(F.col("node").alias("a"), F.col("component").alias("own")), "a", "left")
         own = own.withColumn("own", F.coalesce("own", "a"))
-        mixed = own.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key")
+        # The one pair of a key with two nodes is behind us.
+        mixed = own.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("nodes")).where(
+            "low < high AND nodes > 2").select("key")
         return written(own.join(mixed, "key"), "apart")
 
     left = close.withColumn("own", F.col("a"))
